@@ -30,7 +30,9 @@ def arc_km(lat0: Column, lon0: Column, lat1: Column, lon1: Column, formula: str
     chord = half_along * half_along + (
         F.cos(F.radians(along0)) * F.cos(F.radians(along1)) * half_across * half_across
     )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    # Not least(), which would turn a missing coordinate into 1.
+    bounded = F.when(chord > 1, F.lit(1.0)).otherwise(chord)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(bounded))
 
 
 def distance_reward(km: Column) -> Column:

@@ -20,7 +20,6 @@ IGNORED = -1
 TIME_WEIGHT = 10
 # Fixed values of the monitoring score.
 MONITOR_WEIGHTS = {"top1": 0.3, "top5": 0.2, "mrr": 0.2, "ndcg20": 0.2, "recall20": 0.1}
-SALTS = 8
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -36,36 +35,29 @@ def argmax_decode(scores: DataFrame) -> DataFrame:
     return top_k(scores, 1).select("traj_id", "step", "item")
 
 
-def label_stats(scores: DataFrame, labels: DataFrame, loss: bool = False, salts: int = SALTS) -> DataFrame:
+def label_stats(
+    scores: DataFrame, labels: DataFrame, loss: bool = False, salts: int | None = None
+) -> DataFrame:
     """Per labelled step the label's score, its rank and, with ``loss``, log-sum-exp.
 
     The rank is one more than the number of better candidates, so nothing is
-    sorted. Candidates of a step are spread over ``salts`` parts and counted
-    part by part. A label without a score has no rank.
+    sorted. A step has one row per item at most and its candidates meet in one
+    task, moved once. Where item lists are too long for that, ``salts`` spreads
+    a step over so many tasks, at the price of moving the scores twice.
+    A label without a score has no rank.
     """
-    keys = ["traj_id", "step"]
-    own = scores.select(*keys, "item", F.col("score").alias("label_score"))
-    known = labels.join(own, [*keys, "item"], "left").withColumnRenamed("item", "label")
-    if loss:
-        known = known.join(scores.groupBy(*keys).agg(F.max("score").alias("_top")), keys, "left")
-    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = scores.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    spread = _spread_candidates(scores, labels, loss, salts) if salts else _candidates(scores, labels, loss)
     ahead = (F.col("score") > F.col("label_score")) | (
         (F.col("score") == F.col("label_score")) & (F.col("item") < F.col("label"))
     )
-    fixed = [*keys, "label", "label_score", *(["_top"] if loss else [])]
-    partial = [F.count_if(ahead).alias("_ahead"), F.count("item").alias("_n")]
-    merged = [F.sum("_ahead").alias("_ahead"), F.sum("_n").alias("candidates")]
+    part = ["_salt"] if salts else []
+    keys = ["traj_id", "step", "label", "label_score", *(["_top"] if loss else [])]
+    measures = {"_ahead": F.count_if(ahead), "candidates": F.count("item")}
     if loss:
-        partial.append(F.sum(F.exp(F.col("score") - F.col("_top"))).alias("_exp"))
-        merged.append(F.sum("_exp").alias("_exp"))
-    counted = (
-        spread.join(salted, [*keys, "_salt"], "left")
-        .groupBy(*fixed, "_salt")
-        .agg(*partial)
-        .groupBy(*fixed)
-        .agg(*merged)
-    )
+        measures["_exp"] = F.sum(F.exp(F.col("score") - F.col("_top")))
+    counted = spread.groupBy(*keys, *part).agg(*[m.alias(c) for c, m in measures.items()])
+    if salts:
+        counted = counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
     rank = F.when(F.col("label_score").isNotNull(), F.col("_ahead") + 1)
     out = ["traj_id", "step", "label", "label_score", rank.alias("rank"), "candidates"]
     if loss:
@@ -73,6 +65,27 @@ def label_stats(scores: DataFrame, labels: DataFrame, loss: bool = False, salts:
     return counted.select(*out)
 
 
+def _candidates(scores: DataFrame, labels: DataFrame, loss: bool) -> DataFrame:
+    """Every label with all candidates of its step; one move of the scores."""
+    step = Window.partitionBy("traj_id", "step", "label")
+    both = labels.withColumnRenamed("item", "label").join(scores, ["traj_id", "step"], "left")
+    found = F.max(F.when(F.col("item") == F.col("label"), F.col("score"))).over(step)
+    extra = [F.max("score").over(step).alias("_top")] if loss else []
+    return both.select("*", found.alias("label_score"), *extra)
+
+
+def _spread_candidates(scores: DataFrame, labels: DataFrame, loss: bool, salts: int) -> DataFrame:
+    """The same rows with a step's candidates in ``salts`` parts."""
+    keys = ["traj_id", "step"]
+    own = scores.select(*keys, "item", F.col("score").alias("label_score"))
+    known = labels.join(own, [*keys, "item"], "left").withColumnRenamed("item", "label")
+    if loss:
+        known = known.join(scores.groupBy(*keys).agg(F.max("score").alias("_top")), keys, "left")
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = scores.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    return copies.join(salted, [*keys, "_salt"], "left")
+
+
 def _within(k: int) -> Column:
     return F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))
 
@@ -109,32 +122,40 @@ def metrics_last_step(
     """
     if min(*cutoffs, k) < 1:
         raise ValueError("k must be at least 1")
-    last = labels.groupBy("traj_id").agg(F.max("step").alias("step"), F.max_by("item", "step").alias("item"))
-    final = scores.join(last.select("traj_id", "step"), ["traj_id", "step"], "left_semi")
-    ranks = label_stats(final, last).select(
-        "traj_id",
-        *[_within(c).alias(f"top{c}") for c in cutoffs],
-        (_within(k) * _reciprocal()).alias(f"map{k}"),
-        _reciprocal().alias("mrr"),
+    last = labels.groupBy("traj_id").agg(F.max("step").alias("step"), F.max_by("item", "step").alias("_label"))
+    best = Window.partitionBy("traj_id", "step").orderBy(F.desc("score"), "item")
+    is_label = F.col("item") == F.col("_label")
+    # At most k + 1 rows of a trajectory go on.
+    listed = (
+        last.join(scores, ["traj_id", "step"])
+        .withColumn("_rk", F.row_number().over(best))
+        .filter((F.col("_rk") <= k) | is_label)
     )
-    relevant = labels.select("traj_id", "item").distinct()
-    hits = (
-        top_k(final, k)
-        .join(relevant, ["traj_id", "item"])
+    relevant = labels.select("traj_id", "item", F.lit(True).alias("_relevant")).distinct()
+    gain = F.when(F.col("_relevant") & (F.col("_rk") <= k), 1.0 / F.log2(F.col("_rk") + 1))
+    found = (
+        listed.join(relevant, ["traj_id", "item"], "left")
         .groupBy("traj_id")
-        .agg(F.sum(1.0 / F.log2(F.col("rk") + 1)).alias("_dcg"), F.count("*").alias("_hits"))
+        .agg(
+            F.max(F.when(is_label, F.col("_rk"))).alias("rank"),
+            F.sum(gain).alias("_dcg"),
+            F.count(gain).alias("_hits"),
+        )
     )
-    sizes = relevant.groupBy("traj_id").agg(F.count("*").alias("_relevant"))
-    ideal, gain = [], 0.0
+    sizes = relevant.groupBy("traj_id").agg(F.count("*").alias("_size"))
+    joined = sizes.join(found, "traj_id", "left").fillna(0, ["_dcg", "_hits"])
+    ideal, total = [], 0.0
     for r in range(1, k + 1):
-        gain += 1.0 / math.log2(r + 1)
-        ideal.append(F.lit(gain))
-    best = F.element_at(F.array(*ideal), F.least(F.col("_relevant"), F.lit(k)).cast("int"))
-    joined = ranks.join(sizes, "traj_id").join(hits, "traj_id", "left").fillna(0, ["_dcg", "_hits"])
+        total += 1.0 / math.log2(r + 1)
+        ideal.append(F.lit(total))
+    best_gain = F.element_at(F.array(*ideal), F.least(F.col("_size"), F.lit(k)).cast("int"))
     return joined.select(
-        *ranks.columns,
-        (F.col("_dcg") / best).alias(f"ndcg{k}"),
-        (F.col("_hits") / F.col("_relevant")).alias(f"recall{k}"),
+        "traj_id",
+        *[_within(c).alias(f"top{c}") for c in cutoffs],
+        (_within(k) * _reciprocal()).alias(f"map{k}"),
+        _reciprocal().alias("mrr"),
+        (F.col("_dcg") / best_gain).alias(f"ndcg{k}"),
+        (F.col("_hits") / F.col("_size")).alias(f"recall{k}"),
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trajflow.session import estimated_bytes
 
 # Inputs under this estimate cannot hold a key too large for one task.
-CHECK_BYTES = 4 << 30
+CHECK_BYTES = 1 << 30
 # Rows one task orders comfortably.
 HOT_ROWS = 5_000_000
 # Bounds of the table of cuts, which is broadcast.

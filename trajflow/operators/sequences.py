@@ -17,6 +17,7 @@ from trajflow.functions.expressions import owner
 from trajflow.operators.features import encode
 from trajflow.operators.flow import ROW_ORDER
 from trajflow.operators.ordered import dense_index, find_cuts, ordered
+from trajflow.session import spread
 
 SHORT_TRAJECTORY = 4
 BATCH = 20
@@ -257,7 +258,11 @@ def rank_next(
     else:
         best = Window.partitionBy("src").orderBy(F.desc("score"), "item")
         listed = shares.withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") <= k).drop("_rk")
-    lookup = steps.select("trajectory_id", "step", F.col(place).alias("src"))
+    # Hashed before the fan-out, so that the candidates of a step stay together
+    # and need no move of their own where the lists are broadcast.
+    lookup = spread(
+        steps.select("trajectory_id", "step", F.col(place).alias("src")), "trajectory_id", "step"
+    )
     if k is not None and popular is not None:
         # 2k places suffice: at most k of them are in a list already.
         top = popular.orderBy(F.desc("checkin_cnt"), "node").limit(2 * k)

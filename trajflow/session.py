@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -33,16 +34,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="trajflow-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
     Only a session that names none (a local test) gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="trajflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or _local_folder(spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,6 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``; ``None`` where the client has none."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
+
+
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """``df`` hashed on ``keys`` over the session's full number of partitions.
+
+    For inputs that the next step multiplies: their own size says little about
+    the work, so adaptive coalescing must not merge them.
+    """
+    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
