@@ -4,3 +4,10 @@
 ``functions`` the column helpers they share, ``plans`` the named queries that
 run the operators over the event tables.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

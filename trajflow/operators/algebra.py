@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,26 +48,21 @@ def laplacian(
     """
     if kind not in KINDS:
         raise ValueError(f"unknown matrix kind: {kind}")
-    cells = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
-    deg = row_sums(edges, nodes, weight)
-    loops = cells.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), "w")
-    # Only self-loops meet the diagonal, so the other cells need no regrouping.
-    diagonal = deg.join(loops, "node", "left").fillna(0.0, ["w"])
-    off = cells.filter(F.col("src") != F.col("dst")).join(
-        deg.select(F.col("node").alias("src"), "deg"), "src"
-    )
-    w, d = F.col("w"), F.col("deg")
+    # One pass over the edges: every node adds an empty diagonal cell, and the
+    # cells of a source (at most one per node) meet in one place.
+    diagonal = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"))
+    stored = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
+    cells = stored.unionByName(diagonal).repartition("src").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    summed = cells.withColumn("d", F.sum("w").over(Window.partitionBy("src")))
+    on_diagonal, w, d = F.col("src") == F.col("dst"), F.col("w"), F.col("d")
     if kind == "com_lap_mat":
-        on_value, off_value = d - w, -w
+        value = F.when(on_diagonal, d).otherwise(0.0) - w
     elif kind == "hat_rw_normd_lap_mat":
-        on_value, off_value = (w + 1) / (d + 1), w / (d + 1)
+        value = (w + F.when(on_diagonal, 1.0).otherwise(0.0)) / (d + 1)
     else:
         scale = 2.0 / lambda_max
-        on_value = F.lit(scale - 1) - w * scale / _nonzero(d, F.col("node"))
-        off_value = -w * scale / _nonzero(d, F.col("src"))
-    return diagonal.select(
-        F.col("node").alias("src"), F.col("node").alias("dst"), on_value.alias("value")
-    ).unionByName(off.select("src", "dst", off_value.alias("value")))
+        value = F.when(on_diagonal, scale - 1).otherwise(0.0) - w * scale / _nonzero(d, F.col("src"))
+    return summed.select("src", "dst", value.alias("value"))
 
 
 def dominant_eigenvalue(

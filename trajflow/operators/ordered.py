@@ -53,21 +53,24 @@ def find_cuts(
     n_hot, rows = largest.agg(F.count("*"), F.max("_rows")).first()
     if not n_hot:
         return None
-    parts = min(MAX_PARTS, math.ceil(rows / hot_rows))
     # The rows with the smallest hashes of a key are a uniform sample of it; they
-    # only choose where to cut, so the result does not depend on them.
+    # only choose where to cut, so the result does not depend on them. A key gets
+    # cuts in proportion to its rows.
+    most = min(MAX_PARTS, math.ceil(rows / hot_rows))
+    parts = F.least(F.lit(most), F.ceil(F.col("_rows") / hot_rows))
     sampled = Window.partitionBy(*keys).orderBy(F.xxhash64(*order), *order)
     cut = F.col(order[0])
     return (
-        df.join(F.broadcast(largest.select(*keys)), list(keys), "left_semi")
+        df.select(*keys, *order)
+        .join(F.broadcast(largest.select(*keys, parts.cast("int").alias("_parts"))), list(keys))
         .filter(cut.isNotNull())
         .withColumn("_rk", F.row_number().over(sampled))
-        .filter(F.col("_rk") <= parts * SAMPLE_PER_CUT)
-        .groupBy(*keys)
+        .filter(F.col("_rk") <= most * SAMPLE_PER_CUT)
+        .groupBy(*keys, "_parts")
         .agg(F.array_sort(F.collect_list(cut)).alias("_sample"))
+        .withColumn("_every", F.ceil(F.size("_sample") / F.col("_parts")))
         .select(
-            *keys,
-            F.filter("_sample", lambda _, i: i % SAMPLE_PER_CUT == SAMPLE_PER_CUT - 1).alias("_cuts"),
+            *keys, F.filter("_sample", lambda _, i: i % F.col("_every") == F.col("_every") - 1).alias("_cuts")
         )
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajflow.session import over_all_cores
+
 # Event tables carry no row position; a user's events never share a timestamp.
 ORDER = ("ts", "event_id")
 
@@ -18,7 +20,8 @@ def checkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts")
     week = F.floor((F.dayofmonth(ts) - 1) / 7)
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", k.alias("k"))
+    events = over_all_cores(table(spark, sf_dir, "events"))
+    events = events.select("event_id", "ts", "user_id", k.alias("k"))
     return events.select(
         "event_id",
         "ts",

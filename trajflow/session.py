@@ -76,3 +76,14 @@ def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     """
     n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def over_all_cores(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """A table too small to be split by its files, dealt out to all cores.
+
+    Anything larger already comes in many splits and stays as it is.
+    """
+    size = estimated_bytes(df)
+    if size is None or size > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
