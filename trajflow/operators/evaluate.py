@@ -263,8 +263,11 @@ def best_record(scored: DataFrame, epochs: DataFrame) -> DataFrame:
 
 
 def metric_series(epochs: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    """``split, metric, values``: one rounded value per epoch, in epoch order."""
+    """``split, metric, values``: one value per epoch, in epoch order.
+
+    Values are rounded half to even.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns])
     rows = epochs.select("epoch", "split", F.inline(pairs))
-    listed = F.array_sort(F.collect_list(F.struct("epoch", F.round("value", digits).alias("value"))))
+    listed = F.array_sort(F.collect_list(F.struct("epoch", F.bround("value", digits).alias("value"))))
     return rows.groupBy("split", "metric").agg(F.transform(listed, lambda x: x["value"]).alias("values"))

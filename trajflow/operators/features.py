@@ -33,6 +33,15 @@ def poi_categories(df: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame
     return rows.select("POI_id", "_last.POI_catname", "_last.POI_category")
 
 
+def category_index(
+    df: DataFrame, places: DataFrame, names: DataFrame, types: DataFrame, order: Sequence[str] = ROW_ORDER
+) -> DataFrame:
+    """``poi, cat, category``: each place's name and type as vocabulary indices."""
+    mapped = encode(poi_categories(df, order), places, "POI_id", "poi", "inner")
+    mapped = encode(mapped, names, "POI_catname", "cat")
+    return encode(mapped, types, "POI_category", "category").select("poi", "cat", "category")
+
+
 def time_features(df: DataFrame, column: str = "local_time") -> DataFrame:
     """Append ``hour, weekday`` (Monday 0) and ``time_period``; unreadable times drop out."""
     timed = df.withColumn(column, F.try_to_timestamp(column)).dropna(subset=[column])

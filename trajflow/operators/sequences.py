@@ -130,6 +130,21 @@ def val_sequences(
     return _steps(pairs.filter(full), shift_week)
 
 
+def step_categories(
+    steps: DataFrame, categories: DataFrame, places: Sequence[str] = ("in_poi", "label_poi")
+) -> DataFrame:
+    """Append name and type index (``in_cat``, ``in_category``, …) of both places of a step."""
+    for place in places:
+        side = place.removesuffix("poi")
+        named = categories.select(
+            F.col("poi").alias(place),
+            F.col("cat").alias(f"{side}cat"),
+            F.col("category").alias(f"{side}category"),
+        )
+        steps = steps.join(named, place, "left")
+    return steps
+
+
 def pack(steps: DataFrame) -> DataFrame:
     """``trajectory_id, input_seq, label_seq``: one row of arrays per sequence.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajflow.operators import algebra, flow
 from trajflow.plans.registry import cte, query, sql
-from trajflow.plans.testdata import ORDER, checkins
+from trajflow.plans.testdata import LINE_ORDER, ORDER, checkins, purchases
 from trajflow.sources.schema import PLACE_ATTRIBUTES
 
 ATTRIBUTES = ", ".join(f"arg_min({c}, (user_id, ts, event_id)) AS {c}" for c in PLACE_ATTRIBUTES)
@@ -111,6 +111,22 @@ def flow_edges_excluding_user(spark, sf_dir):
     return flow.flow_edges(checkins(spark, sf_dir), order=ORDER, exclude_user="3")
 
 
+@query(
+    "flow_edges_purchases",
+    sql(
+        "pur",
+        """SELECT src, dst, count(*) AS weight FROM (
+          SELECT POI_id AS dst, trajectory_id, lag(POI_id) OVER w AS src, lag(trajectory_id) OVER w AS ptr FROM pur
+          WINDOW w AS (PARTITION BY user_id ORDER BY o_orderdate, o_orderkey, l_linenumber, l_suppkey, l_quantity,
+            l_extendedprice, l_shipdate, l_partkey))
+        WHERE src IS NOT NULL AND ptr = trajectory_id GROUP BY src, dst""",
+    ),
+)
+def flow_edges_purchases(spark, sf_dir):
+    """Part-to-part flow map of the customers' orders, the largest table at hand."""
+    return flow.flow_edges(purchases(spark, sf_dir), order=(*LINE_ORDER, "l_partkey"))
+
+
 cte("ix_poi", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM no_poi")
 cte("ix_type", "SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM no_type")
 
@@ -201,6 +217,11 @@ def _laplacian(spark, sf_dir, kind):
     return out.withColumn("value", F.round("value", 9))
 
 
+@query("row_sums", sql(POI + " rs_poi", "SELECT * FROM rs_poi"))
+def row_sums(spark, sf_dir):
+    return algebra.row_sums(edges(spark, sf_dir), nodes(spark, sf_dir))
+
+
 @query(
     "laplacian_com",
     sql(

@@ -255,7 +255,7 @@ def best_record(spark, sf_dir):
         "log btc epo",
         " UNION ALL ".join(
             f"SELECT split, '{c}' AS metric, CAST(row_number() OVER (PARTITION BY split ORDER BY epoch) - 1 AS INTEGER) AS pos,"
-            f" round({c}, 4) AS value FROM epo"
+            f" round_even({c}, 4) AS value FROM epo"
             for c in ["top1", "mrr", "poi_loss", "time_loss"]
         ),
     ),

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajflow.plans.testdata import CHECKINS_SQL, TRAINING_SQL, VALIDATION_SQL
+from trajflow.plans.testdata import CHECKINS_SQL, PURCHASES_SQL, TRAINING_SQL, VALIDATION_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-CTES: dict[str, str] = {"ck": CHECKINS_SQL, "tr": TRAINING_SQL, "va": VALIDATION_SQL}
+CTES: dict[str, str] = {"ck": CHECKINS_SQL, "tr": TRAINING_SQL, "va": VALIDATION_SQL, "pur": PURCHASES_SQL}
 
 
 def cte(name: str, body: str) -> str:

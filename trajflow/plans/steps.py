@@ -167,6 +167,33 @@ def train_sequences(spark, sf_dir):
     return training_steps(spark, sf_dir)
 
 
+cte("vnm", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_catname AS v FROM tr)")
+cte("vty", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_category AS v FROM tr)")
+cte(
+    "cix",
+    """SELECT voc.idx AS poi, vnm.i AS cat, vty.i AS category FROM (
+      SELECT POI_id, arg_max(POI_catname, (ts, event_id)) AS n, arg_max(POI_category, (ts, event_id)) AS t
+      FROM tr GROUP BY POI_id) JOIN voc ON value = POI_id JOIN vnm ON vnm.v = n JOIN vty ON vty.v = t""",
+)
+
+
+@query(
+    "step_categories",
+    sql(
+        TRAIN + " vnm vty cix",
+        """SELECT trajectory_id, step, a.cat AS in_cat, a.category AS in_category,
+          b.cat AS label_cat, b.category AS label_category
+        FROM trs JOIN cix a ON a.poi = in_poi JOIN cix b ON b.poi = label_poi""",
+    ),
+)
+def step_categories(spark, sf_dir):
+    rows = training(spark, sf_dir)
+    vocabularies = [features.build_vocab(rows, c) for c in ("POI_id", "POI_catname", "POI_category")]
+    categories = features.category_index(rows, *vocabularies, order=ORDER)
+    named = sequences.step_categories(training_steps(spark, sf_dir), categories)
+    return named.select("trajectory_id", "step", "in_cat", "in_category", "label_cat", "label_category")
+
+
 @query("train_sequences_packed", sql(TRAIN, "SELECT trajectory_id, step, in_poi, in_time, label_poi, label_week FROM trs"))
 def train_sequences_packed(spark, sf_dir):
     """The array form, flattened again."""

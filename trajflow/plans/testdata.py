@@ -55,6 +55,36 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkins(spark, sf_dir).filter(F.col("week") >= 3)
 
 
+LINE_ORDER = ("at", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as visits: the customer visits the part, an order is a trajectory.
+
+    Line numbers repeat, so the order columns include the item's other values;
+    rows equal in all of them are interchangeable.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *LINE_ORDER[1:])
+    both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    customer, part = F.col("o_custkey").cast("string"), F.col("l_partkey").cast("string")
+    return both.select(
+        customer.alias("user_id"),
+        part.alias("POI_id"),
+        F.concat_ws("_", customer, F.col("o_orderkey").cast("string")).alias("trajectory_id"),
+        F.struct("o_orderdate", "o_orderkey").alias("at"),
+        *LINE_ORDER[1:],
+        "l_partkey",
+    )
+
+
+PURCHASES_SQL = """
+pur AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS POI_id,
+    o_custkey || '_' || o_orderkey AS trajectory_id, o_orderdate, o_orderkey,
+    l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_partkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
 CHECKINS_SQL = """
 ck AS (
   SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, CAST(k AS VARCHAR) AS POI_id,
