@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from trajflow.session import estimated_bytes
 
-# Inputs under this estimate cannot hold a key too large for one task.
-CHECK_BYTES = 1 << 30
+# Tables under this size hold no key too large for one task.
+CHECK_BYTES = 256 << 20
 # Rows one task orders comfortably.
 HOT_ROWS = 5_000_000
 # Bounds of the table of cuts, which is broadcast.
 MAX_PARTS = 1_000
 MAX_HOT_KEYS = 5_000
 SAMPLE_PER_CUT = 16
-# Estimates under this are numbered by one task.
+# Tables under this size are numbered by one task.
 INDEX_BYTES = 64 << 20
 
 

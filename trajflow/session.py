@@ -61,11 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``; ``None`` where the client has none."""
+    """Catalyst's size of the tables ``df`` reads; ``None`` where the client has none.
+
+    The estimate of a join itself is the product of its sides and says little.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     except AttributeError:
         return None
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
