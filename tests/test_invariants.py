@@ -60,7 +60,9 @@ def test_empty_and_single_inputs(checkins, spark):
     assert users.user_edges(one).count() == 0
     assert features.time_features(checkins([{"local_time": None}])).count() == 0
     stats = flow.graph_stats(flow.flow_nodes(one), flow.flow_edges(one)).filter("measure = 'weight'")
-    assert {r["value"] for r in stats.collect()} == {None}
+    assert {r["stat"]: r["value"] for r in stats.collect()} == dict.fromkeys(
+        ["mean", "p0", "p20", "p40", "p60", "p80", "p100"]
+    ) | {"count": 0.0}
     with pytest.raises(ValueError):
         flow.flow_edges(one, weight="other")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajflow.functions.expressions import arc_km, distance_reward
@@ -108,6 +108,26 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(counted, "node", "left").fillna(0, ["degree"])
 
 
+def _summary() -> list[Column]:
+    """Mean and interpolated percentiles of values ``v`` that occur ``n`` times."""
+    shares = F.array(*[F.lit(p / 100) for p in PERCENTILES])
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    return [
+        F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"),
+        F.percentile("v", shares, F.col("n")).alias("p"),
+    ]
+
+
+def _stat_rows(total: Column | None = None) -> Column:
+    rows = [F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("value"))]
+    rows += [
+        F.struct(F.lit(f"p{p}").alias("stat"), F.col("p")[i].alias("value")) for i, p in enumerate(PERCENTILES)
+    ]
+    if total is not None:
+        rows.append(F.struct(F.lit("count").alias("stat"), total.alias("value")))
+    return F.inline(F.array(*rows))
+
+
 def spread(df: DataFrame, value: str) -> DataFrame:
     """``stat, value``: mean and linearly interpolated percentiles of a column.
 
@@ -115,34 +135,37 @@ def spread(df: DataFrame, value: str) -> DataFrame:
     counts have few distinct values (their sum is bounded by the table's rows).
     """
     counted = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    shares = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    row = counted.filter(F.col("v").isNotNull()).agg(
-        (F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n"))).alias("mean"),
-        F.percentile("v", shares, F.col("n")).alias("p"),
-    )
-    pairs = [F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("value"))]
-    for i, p in enumerate(PERCENTILES):
-        pairs.append(F.struct(F.lit(f"p{p}").alias("stat"), F.col("p")[i].alias("value")))
-    return row.select(F.inline(F.array(*pairs)))
+    return counted.agg(*_summary()).select(_stat_rows())
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
-    """``measure, stat, value`` for node and edge counts, degrees and edge weights."""
+    """``measure, stat, value``: count, mean and percentiles of degrees and edge weights.
 
-    def labelled(df: DataFrame, measure: str) -> DataFrame:
-        return df.select(F.lit(measure).alias("measure"), "stat", "value")
+    The two counts are the numbers of nodes and edges. Degrees and weights are
+    taken in one pass over the edges.
+    """
+    no_node, no_weight = F.lit(None).cast(nodes.schema["node"].dataType), F.lit(None).cast("double")
 
-    def total(df: DataFrame) -> DataFrame:
-        return df.agg(F.count("*").cast("double").alias("value")).select(
-            F.lit("count").alias("stat"), "value"
-        )
+    def part(node: Column, value: Column, ends: int) -> Column:
+        return F.struct(node.alias("node"), value.alias("w"), F.lit(ends).cast("long").alias("ends"))
 
-    return (
-        labelled(total(nodes), "nodes")
-        .unionByName(labelled(total(edges), "edges"))
-        .unionByName(labelled(spread(degrees(nodes, edges), "degree"), "degree"))
-        .unionByName(labelled(spread(edges, weight), "weight"))
+    weighed = part(no_node, F.col(weight).cast("double"), 1)
+    of_edges = edges.select(
+        F.inline(F.array(part(F.col("src"), no_weight, 1), part(F.col("dst"), no_weight, 1), weighed))
+    )
+    of_nodes = nodes.select(part(F.col("node"), no_weight, 0).alias("r")).select("r.*")
+    counted = of_edges.unionByName(of_nodes).groupBy("node", "w").agg(F.sum("ends").alias("ends"))
+    is_node = F.col("node").isNotNull()
+    values = counted.select(
+        F.when(is_node, F.lit("degree")).otherwise(F.lit("weight")).alias("measure"),
+        F.when(is_node, F.col("ends").cast("double")).otherwise(F.col("w")).alias("v"),
+        F.when(is_node, F.lit(1)).otherwise(F.col("ends")).alias("n"),
     )
+    shared = values.groupBy("measure", "v").agg(F.sum("n").alias("n"))
+    stats = shared.groupBy("measure").agg(*_summary(), F.sum("n").cast("double").alias("total"))
+    measures = F.explode(F.array(F.lit("degree"), F.lit("weight"))).alias("measure")
+    named = edges.sparkSession.range(1).select(measures).join(stats, "measure", "left")
+    return named.select("measure", _stat_rows(F.coalesce("total", F.lit(0.0))))
 
 
 def node_index(nodes: DataFrame, node: str = "node", buckets: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from trajflow.functions.expressions import owner
 from trajflow.operators.features import encode
 from trajflow.operators.flow import ROW_ORDER
 from trajflow.operators.ordered import dense_index, find_cuts, ordered
-from trajflow.session import spread
+from trajflow.session import hashed
 
 SHORT_TRAJECTORY = 4
 BATCH = 20
@@ -275,7 +275,7 @@ def rank_next(
         listed = shares.withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") <= k).drop("_rk")
     # Hashed before the fan-out, so that the candidates of a step stay together
     # and need no move of their own where the lists are broadcast.
-    lookup = spread(
+    lookup = hashed(
         steps.select("trajectory_id", "step", F.col(place).alias("src")), "trajectory_id", "step"
     )
     if k is not None and popular is not None:

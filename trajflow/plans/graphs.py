@@ -174,8 +174,8 @@ def graph_stats_weight(spark, sf_dir):
     "graph_stats",
     sql(
         POI + " deg_poi",
-        f"""SELECT 'nodes' AS measure, 'count' AS stat, CAST(count(*) AS DOUBLE) AS value FROM no_poi
-        UNION ALL SELECT 'edges', 'count', CAST(count(*) AS DOUBLE) FROM ed_poi
+        f"""SELECT 'degree' AS measure, 'count' AS stat, CAST(count(*) AS DOUBLE) AS value FROM no_poi
+        UNION ALL SELECT 'weight', 'count', CAST(count(*) AS DOUBLE) FROM ed_poi
         UNION ALL SELECT 'degree', * FROM ({_spread_sql("degree", "deg_poi")})
         UNION ALL SELECT 'weight', * FROM ({_spread_sql("weight", "ed_poi")})""",
     ),

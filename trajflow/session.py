@@ -72,7 +72,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+def hashed(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     """``df`` hashed on ``keys`` over the session's full number of partitions.
 
     For inputs that the next step multiplies: their own size says little about
