@@ -39,22 +39,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    ).distinct()
-    edges = written(edges, "links")
+    )
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _starred(both, least).where(F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.col("m").alias("v")
-        ).where(F.col("u") != F.col("v")).distinct()
-        large = written(large, "large")
+        ).where(F.col("u") != F.col("v"))
         # All ends are now ordered: u > v.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _starred(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         ).where(F.col("u") != F.col("v")).distinct()
-        edges = written(small, "small")
+        edges = written(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

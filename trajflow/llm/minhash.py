@@ -7,10 +7,10 @@ signature. A signature is the minima of many universal hash functions; nodes tha
 agree in a whole band share a bucket.
 
 Pairs within a bucket aren't listed. A bucket's hub, its best connected node, is
-compared with every member. Where members are then in several components, those whose
-shingles mostly occur nowhere else can't reach the threshold with anything; the others
-are compared across components, so that in the end each pair of a bucket has been
-compared, is connected or is ruled out by that bound.
+compared with every member. Where members are then in several components, bounds on
+what two can have in common (within the hub and outside of it, without the shingles
+that only one of them has) rule out most pairs across components; the others are
+compared, so that each pair of a bucket is compared, connected or ruled out.
 The signatures first drop pairs that are hopeless (eight standard deviations below the
 threshold); the rest are decided on full sets. With 40 bands of 5 rows, a pair right at
 a threshold of 0.8 shares no bucket once in eight million; with 30 bands, one at 0.85
@@ -111,7 +111,7 @@ def _alike(pairs: DataFrame, hashes: int, least: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v, text of u, text of v) with 100 * intersection >= percent * union."""
+    """Adds to (u, v, text of u, text of v): linked if 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +126,13 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
                 twice = (doc[1:] == doc[:-1]) & (found[1:] == found[:-1])
                 common = np.bincount(doc[1:][twice], minlength=n)
                 whole = sizes[0] + sizes[1] - common
-                yield batch.slice(i, n).select([0, 1]).filter(pa.array((100 * common >= percent * whole) & (whole > 0)))
+                linked = (100 * common >= percent * whole) & (whole > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(i, n).columns[:2], pa.array(common, pa.int64()), pa.array(linked)],
+                    ["u", "v", "common", "linked"],
+                )
 
-    return pairs.mapInArrow(check, "u long, v long").distinct()
+    return pairs.mapInArrow(check, "u long, v long, common long, linked boolean")
 
 
 def _with_hubs(members: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def _with_hubs(members: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("degree", (-F.col("node")).alias("least"))).alias("top"))
         .select("bucket", (-F.col("top.least")).alias("hub"))
     )
-    return written(members.join(hubs, "bucket"), "hubs")
+    return members.join(hubs, "bucket")
 
 
 def _owned(texts: DataFrame, size: int) -> DataFrame:
@@ -183,75 +187,70 @@ def near_duplicates(
     )
     in_band = classes.select("node", "n", F.explode(keys).alias("bucket"))
     shared = in_band.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(in_band.join(shared, "bucket"), "members")
-    members = _with_hubs(members)
+    members = written(_with_hubs(in_band.join(shared, "bucket")), "members")
     share = percent / 100
     least = math.floor(hashes * share - 8 * math.sqrt(hashes * share * (1 - share)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (u, v); also writes down which pairs were compared."""
+        """Those of the pairs (u, v) that were compared on full sets: what is ``common``, whether ``linked``."""
         sides = [
             classes.select(F.col("node").alias(x), F.col("minima").alias(f"minima_{x}")) for x in ("u", "v")
         ]
         close = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "minima_u", "minima_v")
-        close = written(_alike(close, hashes, least).distinct(), "candidates")
+        close = _alike(close, hashes, least)
         both = close.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(
             texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v"
         )
-        return written(_confirmed(both.select("u", "v", "text_u", "text_v"), size, percent), "confirmed")
-
-    pairs = written(
-        members.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs"
+        return written(_confirmed(both.select("u", "v", "text_u", "text_v"), size, percent), "compared")
+
+    pairs = members.where("node != hub").select(
+        F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")
+    ).distinct()
+    compared = links_of(pairs)
+    links = compared.where("linked").select("u", "v")
+    groups = components(links)
+    named = members.join(groups, "node", "left").select(
+        "bucket", "node", "n", "hub", F.coalesce("component", "node").alias("component")
     )
-    links, tested, stuck = links_of(pairs), pairs, False
-    while True:
-        groups = written(components(links), "components")
-        named = members.join(groups, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("component")
-        )
-        mixed = named.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"),
-            F.count("*").alias("m"),
-        ).where("low != high")
-        named = written(named.join(mixed, "bucket"), "mixed")
-        pool = texts.join(named.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-        named = written(named.join(_owned(pool, size), "node", "left").na.fill(0, ["own"]), "pool")
-        # What a node shares with any other bounds its overlap with each of them.
-        common = F.col("n") - F.col("own")
-        hopeful = (100 + percent) * common >= percent * (F.col("n") + F.greatest("least", percent * F.col("n") / 100))
-        named = named.where(hopeful)
-        sides = [
-            named.select(
-                "bucket", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"),
-                common.alias(f"s{x}"), (F.col("component") == F.col("low")).alias(f"low{x}"), "m",
-            )
-            for x in ("x", "y")
-        ]
-        outside = sides[0].where("NOT lowx").drop("lowx")
-        work = outside.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
-        if not work[1]:
-            break
-        last = stuck or work[0] <= 8 * work[1] + 1_000_000
-        if not last:  # too many to compare with all at once: the best connected one of each bucket
-            hubs = _with_hubs(outside.select("bucket", F.col("x").alias("node"), F.col("nx").alias("n"), "m"))
-            hubs = hubs.where("node = hub").select("bucket", F.col("hub").alias("x"))
-            outside = outside.join(hubs, ["bucket", "x"], "left_semi")
-        fits = (
-            (F.col("cx") != F.col("cy"))
-            & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-            & ((100 + percent) * F.least("sx", "sy") >= percent * (F.col("nx") + F.col("ny")))
-        )
-        fresh = outside.drop("m").join(sides[1].drop("m", "lowy"), "bucket").where(fits)
-        fresh = fresh.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        fresh = written(fresh.join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = links_of(fresh)
-        links, tested = links.unionByName(more), tested.unionByName(fresh)
-        if last:
-            groups = written(components(links), "components")
-            break
-        stuck = more.isEmpty()
+    mixed = named.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")
+    ).where("low != high")
+    named = named.join(mixed, "bucket")
+    pool = texts.join(named.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    to_hub = compared.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.col("common").alias("a"))
+    to_hub = to_hub.unionByName(
+        compared.select(F.col("v").alias("hub"), F.col("u").alias("node"), F.col("common").alias("a"))
+    ).groupBy("hub", "node").agg(F.max("a").alias("a"))
+    named = named.join(_owned(pool, size), "node", "left").na.fill(0, ["own"]).join(to_hub, ["hub", "node"], "left")
+    # What a node shares with any other bounds its overlap with each of them.
+    shares = F.col("n") - F.col("own")
+    hopeful = (100 + percent) * shares >= percent * (F.col("n") + F.greatest("least", percent * F.col("n") / 100))
+    named = written(
+        named.where(hopeful).select(
+            "bucket", "node", "n", "component", (F.col("component") == F.col("low")).alias("main"),
+            shares.alias("s"), F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("a")).alias("a"),
+        ),
+        "pool",
+    )
+    x = named.where("NOT main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "s", "a")))
+    y = named.select("bucket", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "s", "a", "main")))
+    needed = percent * (F.col("n_x") + F.col("n_y"))
+    # Common shingles lie in the bucket's hub or outside of it, and are bounded in either part.
+    parted = F.least("a_x", "a_y") + F.least(F.col("s_x") - F.col("a_x"), F.col("s_y") - F.col("a_y"))
+    known = F.col("a_x").isNotNull() & F.col("a_y").isNotNull()
+    fits = (
+        (F.col("component_x") != F.col("component_y"))
+        & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & ((100 + percent) * F.least("s_x", "s_y") >= needed)
+        & (~known | ((100 + percent) * parted >= needed))
+    )
+    fresh = x.join(y, "bucket").where(fits).select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v"))
+    more = links_of(fresh.distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti"))
+    if not more.where("linked").isEmpty():
+        groups = components(links.unionByName(more.where("linked").select("u", "v")))
     found = made.join(classes.select("digest", "node"), "digest", "left").join(groups, "node", "left")
     unset = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(unset, F.col("doc_id")).otherwise(F.coalesce("component", "node"))

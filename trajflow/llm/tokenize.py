@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajflow.llm import wordtable
-from trajflow.session import scratch_path
+from trajflow.llm.components import written
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -93,9 +93,7 @@ def encoded(
     """Rows that ``use(doc id, ids)`` gives for each document."""
     table = wordtable.chunks(docs, id_col, text_col)
     distinct = wordtable.words_of(table).select("word").distinct()
-    store = scratch_path(docs.sparkSession, "encoded")
-    encode_words(distinct, path).write.option("compression", "zstd").parquet(store)
-    answers = docs.sparkSession.read.schema("word string, ids binary").parquet(store)
+    answers = written(encode_words(distinct, path), "encoded")
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
 
