@@ -22,19 +22,26 @@ from pyspark.sql import functions as F
 from trajflow.llm.components import written
 from trajflow.session import scratch_path
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Each partition's store would otherwise reserve megabytes of disk ahead of its few rows.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 @contextmanager
 def _disk_backed(spark):
     """Streams started inside keep their state in RocksDB."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def sha256(text: Column) -> Column:
@@ -92,7 +99,7 @@ def _decisions(rows: DataFrame, digest) -> DataFrame:
 
     # Hits: the rows of digests seen more than once, whose bytes must be those of the row that stays.
     again = held.where("rows > 1")
-    texts = rows.select(both[0], "doc_id", "text", "file", "row").join(again, "digest")
+    texts = written(rows.select(both[0], "doc_id", "text", "file", "row").join(again, "digest"), "hits")
     hits = texts.where(~stays).select("digest", "doc_id", "text", "file", "row")
     first = texts.where(stays).select("digest", F.col("text").alias("keep_text"))
     differ = written(hits.join(first, "digest").where("text != keep_text").drop("keep_text"), "differ")
