@@ -48,15 +48,18 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """All columns and each row's place: ``_file``, ``_row``. Data without files are written first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns and each row's file and row, and the names these have. Data without files are written first."""
+    names, taken = ["file", "row"], {c.lower() for c in docs.columns}
+    while taken & set(names):
+        names = [f"_{n}" for n in names]
+    place = [F.col(f"_metadata.{c}").alias(n) for c, n in zip(("file_path", "row_index"), names)]
     try:
-        return docs.select("*", *place)
+        return docs.select("*", *place), names
     except AnalysisException:
         path = scratch_path(docs.sparkSession, "located")
         docs.write.parquet(path)
-        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", *place)
+        return docs.sparkSession.read.schema(docs.schema).parquet(path).select("*", *place), names
 
 
 def update_state(spark, arrivals: str, schema: str, state: str, files_per_batch: int = 1000) -> DataFrame:
@@ -127,21 +130,21 @@ def _result(rows: DataFrame) -> DataFrame:
     )
 
 
-def _narrow(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _narrow(placed: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
     return placed.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.col("_file").alias("file"), F.col("_row").alias("row"),
+        F.col(names[0]).alias("file"), F.col(names[1]).alias("row"),
     )
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _decisions(_narrow(located(docs.select(id_col, text_col)), id_col, text_col), digest).drop("file", "row")
+    placed, names = located(docs.select(id_col, text_col))
+    return _decisions(_narrow(placed, names, id_col, text_col), digest).drop("file", "row")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    placed = located(docs)
-    stay = _decisions(_narrow(placed, id_col, text_col), digest).where("kept")
-    stay = stay.select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return placed.join(stay, ["_file", "_row"], "left_semi").select(*docs.columns)
+    placed, names = located(docs)
+    stay = _decisions(_narrow(placed, names, id_col, text_col), digest).where("kept").select("file", "row").toDF(*names)
+    return placed.join(stay, names, "left_semi").select(*docs.columns)
