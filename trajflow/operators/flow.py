@@ -181,25 +181,31 @@ def indexed_edges(edges: DataFrame, index: DataFrame, weight: str = "weight") ->
 
 
 def dense_rows(
-    edges: DataFrame, nodes: DataFrame, weight: str = "weight", max_nodes: int = 20_000
+    edges: DataFrame, nodes: DataFrame, weight: str = "weight"
 ) -> DataFrame:
     """``idx, node, row``: one array of weights per node, rows and columns in node order.
 
-    A dense matrix grows with the square of the nodes, so graphs over
-    ``max_nodes`` are refused; their sparse edges are the export.
+    A dense matrix grows with the square of the nodes; one row of it has to fit
+    into memory. Rows are put together from sorted cells and the gaps between them.
     """
     n = nodes.select("node").distinct().count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes exceed the dense limit of {max_nodes}; export the edges")
-    index = node_index(nodes, buckets=1)
+    index = node_index(nodes)
     listed = indexed_edges(edges, index, weight).select(
         "src_idx", "dst_idx", F.col("weight").cast("double").alias("weight")
     )
-    entries = F.map_from_entries(F.collect_list(F.struct("dst_idx", "weight")))
-    cells = listed.groupBy(F.col("src_idx").alias("idx")).agg(entries.alias("_cells"))
-    columns = F.sequence(F.lit(0), F.lit(n - 1))
-    empty = F.coalesce("_cells", F.create_map().cast("map<bigint,double>"))
-    row = F.transform(
-        columns, lambda j: F.coalesce(F.try_element_at(empty, j.cast("long")), F.lit(0.0))
+    ordered = F.sort_array(F.collect_list(F.struct("dst_idx", "weight")))
+    cells = listed.groupBy(F.col("src_idx").alias("idx")).agg(ordered.alias("_cells"))
+
+    def zeros(first, end):
+        return F.array_repeat(F.lit(0.0), (end - first).cast("int"))
+
+    def before(i):
+        return F.coalesce(F.get("_cells", i - 1)["dst_idx"] + 1, F.lit(0))
+
+    filled = F.flatten(
+        F.transform("_cells", lambda x, i: F.concat(zeros(before(i), x["dst_idx"]), F.array(x["weight"])))
+    )
+    row = F.coalesce(
+        F.concat(filled, zeros(before(F.size("_cells")), F.lit(n))), F.array_repeat(F.lit(0.0), n)
     )
     return index.join(cells, "idx", "left").select("idx", "node", row.alias("row"))

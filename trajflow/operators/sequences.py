@@ -267,6 +267,8 @@ def rank_next(
     (``node, checkin_cnt``) shorter lists are filled up with the most visited
     other places, at negative scores below all flow candidates.
     """
+    if popular is not None and k is None:
+        raise ValueError("filling up with popular places needs k")
     shares = flow_shares(edges, weight)
     if k is None:
         listed = shares

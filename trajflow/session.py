@@ -40,12 +40,15 @@ def _local_folder(application: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+    """The folder all executors share, as the session or its context names it.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _local_folder(spark.sparkContext.applicationId)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local["):
+        raise ValueError("a cluster's session has to name a shared folder in spark.checkpoint.dir")
+    return named or _local_folder(context.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

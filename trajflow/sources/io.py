@@ -45,8 +45,8 @@ def read_checkins(
     if "POI_category" not in header:
         df = df.withColumn("POI_category", F.lit(None).cast("string"))
     if not positioned and "row_pos" in order:
-        if len(df.inputFiles()) > 1:
-            raise ValueError("several files have no common row order: give order columns")
+        if len(df.inputFiles()) > 1 or df.rdd.getNumPartitions() > 1:
+            raise ValueError("several files or splits have no common row order: give order columns")
         df = df.withColumn("row_pos", F.monotonically_increasing_id())
     return require_columns(df, *order)
 
@@ -93,10 +93,10 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_adjacency(
-    edges: DataFrame, nodes: DataFrame, path: str, weight: str = "weight", max_nodes: int = 20_000
+    edges: DataFrame, nodes: DataFrame, path: str, weight: str = "weight"
 ) -> None:
     """Dense comma-separated rows in node order, without a header."""
-    rows = dense_rows(edges, nodes, weight, max_nodes).orderBy("idx")
+    rows = dense_rows(edges, nodes, weight).orderBy("idx")
     rows.select(F.array_join(F.transform("row", lambda x: x.cast("string")), ",")).write.text(path)
 
 
