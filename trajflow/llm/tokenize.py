@@ -2,7 +2,8 @@
 
 Words are split at ASCII white space, where the tokenizer (which drops white space
 and never looks across it) always splits too. Each distinct word of the corpus is
-encoded once; its ids come back to the positions of the word in every document.
+encoded once; its ids come back to the positions of the word in every document. Words
+and ids travel packed, a row for each chunk of documents and bucket of words.
 Decoding looks each id's piece up in the vocabulary and joins the pieces as the
 tokenizers library does for a file without decoder: by one space.
 
@@ -14,6 +15,7 @@ input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajflow.llm import wordtable
-from trajflow.llm.components import written
+
+#: Words a task keeps the ids of, and the characters of the longest such word.
+REMEMBERED = 2_000_000
+LONG = 256
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -45,36 +50,63 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word`` and ``ids`` (little-endian unsigned 32-bit numbers) of distinct words."""
+def encode_words(packed: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``chunk``, ``bucket``, ``counts`` and ``ids`` (packed numbers) of rows of packed words.
+
+    All of a bucket's words meet in one task, which encodes each of them once; only a
+    word that is very long, or of a task with more than ``REMEMBERED``, may be encoded
+    again for another chunk.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, known = _tokenizer(path), {}
         for batch in batches:
-            for i in range(0, len(batch), 10_000):
-                part = batch.column(0).slice(i, 10_000)
-                found = tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)
-                ids = [np.array(x.ids, "<u4").tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.select("word").mapInArrow(encode, "word string, ids binary")
+            for chunk, bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                words = wordtable.split_words(blob)
+                fresh = [w for w in words if w not in known]
+                if len(known) + len(fresh) > REMEMBERED:
+                    known, fresh = {}, words
+                for i in range(0, len(fresh), 10_000):
+                    part = fresh[i : i + 10_000]
+                    found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                    known.update(zip(part, (x.ids for x in found)))
+                lists = [known[w] for w in words]
+                for w in fresh:
+                    if len(w) > LONG:
+                        del known[w]
+                ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32)
+                counts = np.fromiter(map(len, lists), np.uint32, len(lists))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()),
+                        pa.array([wordtable.pack_codes(counts)], pa.binary()),
+                        pa.array([wordtable.pack_codes(ids)], pa.binary()),
+                    ],
+                    ["at", "bucket", "counts", "ids"],
+                )
+
+    rows = packed.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "words")
+    return rows.repartition(buckets, "bucket").mapInArrow(encode, "at long, bucket int, counts binary, ids binary")
 
 
 class Placed:
     """The ids of one chunk's documents, in order."""
 
     def __init__(self, texts: pa.Table, words: pa.Table):
-        codes = wordtable.unpack_codes(texts["codes"][0].as_py())
         self.docs = texts["docs"][0].as_py()
-        sizes = np.array(texts["sizes"][0].as_py(), np.int64)
-        code = words["code"].to_numpy()
-        column = words["ids"].combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        self.flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: offsets[-1] if len(offsets) else 0].view("<u4")
-        self.first, self.size = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        self.first[code], self.size[code] = offsets[:-1] // 4, np.diff(offsets) // 4
-        self.codes = codes.astype(np.int64)
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum(np.array(texts["sizes"][0].as_py(), np.int64))
+        self.codes = wordtable.unpack_codes(texts["codes"][0].as_py()).astype(np.int64)
+        bucket = wordtable.unpack_codes(texts["buckets"][0].as_py())
+        order = np.argsort(words["bucket"].to_numpy())
+        counts, ids = (
+            np.concatenate([np.empty(0, "<u4"), *(wordtable.unpack_codes(column[int(i)].as_py()) for i in order)])
+            for column in (words["counts"], words["ids"])
+        )
+        self.flat = ids.astype("<u4")
+        ends = np.cumsum(counts, dtype=np.int64)
+        self.first, self.size = np.empty(len(bucket), np.int64), np.empty(len(bucket), np.int64)
+        code = np.argsort(bucket, kind="stable")
+        self.first[code], self.size[code] = ends - counts, counts
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         begin = 0
@@ -91,9 +123,10 @@ def encoded(
     path: str, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Rows that ``use(doc id, ids)`` gives for each document."""
-    table = wordtable.chunks(docs, id_col, text_col)
-    distinct = wordtable.words_of(table).select("word").distinct()
-    answers = written(encode_words(distinct, path), "encoded")
+    spark = docs.sparkSession
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = wordtable.packed_chunks(docs, id_col, text_col, buckets)
+    answers = encode_words(table, path, buckets)
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
 
@@ -102,7 +135,9 @@ def encoded(
         columns = list(zip(*rows)) if rows else [()] * len(schema)
         return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return wordtable.put_back(table, answers, ["word"], place, fields.simpleString()[len("struct<") : -1])
+    texts = table.where(F.col("bucket").isNull()).select("chunk", "docs", "sizes", "codes", "buckets")
+    both = texts.groupBy("chunk").cogroup(answers.groupBy("at"))
+    return both.applyInArrow(place, fields.simpleString()[len("struct<") : -1])
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

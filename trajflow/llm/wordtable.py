@@ -5,6 +5,9 @@ row that holds the documents' words as numbers into them. The answers for all
 distinct words are found in one place each, come back to the chunks that use them,
 and are put in position there. A word that is in every document has one row per
 chunk, so no key grows with the number of its occurrences.
+
+Where nothing is needed but an answer to each word, ``packed_chunks`` has one row for
+each chunk and bucket of words in place of one for each of its words.
 """
 
 from __future__ import annotations
@@ -54,6 +57,20 @@ def unpack_codes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _by_frequency(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Old numbers by falling frequency, and the new number (small if frequent) of each."""
+    order = np.argsort(-np.bincount(codes, minlength=size), kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    return order, rank
+
+
+def _first_places(codes: np.ndarray, size: int) -> np.ndarray:
+    first = np.empty(size, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first
+
+
 def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: bool, kinds) -> Iterator[pa.RecordBatch]:
     column = pa.concat_arrays(texts)
     data, offsets = W.text_arrays(column)
@@ -65,13 +82,10 @@ def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: b
     if kinds:
         hashes = W.mix(hashes + kind.astype(np.uint64))
     codes, unique = pd.factorize(hashes)
-    first = np.empty(len(unique), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    first = _first_places(codes, len(unique))
     marked = np.array(marks, dtype=bool)
     hits = np.bincount(codes, weights=marked[doc], minlength=len(unique)).astype(np.int64)
-    order = np.argsort(-np.bincount(codes, minlength=len(unique)), kind="stable")  # small numbers for frequent words
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    order, rank = _by_frequency(codes, len(unique))
     sizes = np.bincount(doc, minlength=len(column))
     row = {name: pa.nulls(1, kind_) for name, kind_ in zip(_ARROW.names, _ARROW.types)}
     row |= {
@@ -134,6 +148,84 @@ def chunks(
     return docs.sparkSession.read.schema(_SCHEMA).parquet(path)
 
 
+_PACKED = pa.schema(
+    [
+        ("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.binary()),
+    ]
+)
+
+
+def packed_chunks(
+    docs: DataFrame, id_col: str, text_col: str, buckets: int, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """Write and read back the chunks of ``docs`` with their words packed by bucket.
+
+    A chunk's distinct words are dealt by hash to ``buckets`` rows (``words``: one blob,
+    by rising code). Its row of texts has the documents' ids, numbers of words, their
+    codes and the bucket of each code.
+    """
+
+    def emit(number: int, texts: list[pa.Array], ids: list) -> Iterator[pa.RecordBatch]:
+        data, offsets = W.text_arrays(pa.concat_arrays(texts))
+        starts, ends, doc = W.bounds(data, offsets)
+        codes, unique = pd.factorize(W.hash_words(data, starts, ends))
+        order, rank = _by_frequency(codes, len(unique))
+        bucket = (unique[order] % np.uint64(buckets)).astype(np.int64)
+        at = _first_places(codes, len(unique))[order]
+        sizes = np.bincount(doc, minlength=len(ids))
+        row = {name: pa.nulls(1, kind) for name, kind in zip(_PACKED.names, _PACKED.types)} | {
+            "chunk": pa.array([number], pa.int64()),
+            "docs": pa.array([ids], pa.list_(pa.int64())),
+            "sizes": pa.array([sizes], pa.list_(pa.int64())),
+            "codes": pa.array([pack_codes(rank[codes])], pa.binary()),
+            "buckets": pa.array([pack_codes(bucket)], pa.binary()),
+        }
+        yield pa.RecordBatch.from_arrays(list(row.values()), schema=_PACKED)
+        by_bucket = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in np.flatnonzero(np.diff(edges)):
+            mine = at[by_bucket[edges[b] : edges[b + 1]]]
+            size = ends[mine] - starts[mine] + 1
+            places = np.arange(size.sum()) + np.repeat(starts[mine] - (np.cumsum(size) - size), size)
+            blob = np.append(data, np.uint8(10))[places] if ends[mine].max() == len(data) else data[places]
+            blob[np.cumsum(size) - 1] = 10
+            row = {name: pa.nulls(1, kind) for name, kind in zip(_PACKED.names, _PACKED.types)} | {
+                "chunk": pa.array([number], pa.int64()),
+                "bucket": pa.array([b], pa.int32()),
+                "words": pa.array([squeeze.compress(blob.tobytes())], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays(list(row.values()), schema=_PACKED)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        texts, ids = [], []
+        for batch in batches:
+            for i, j, data, _ in W.blocks(batch.column(1), chunk_bytes // 4):
+                if size and size + len(data) > chunk_bytes:
+                    yield from emit(number, texts, ids)
+                    number, size, texts, ids = number + 1, 0, [], []
+                texts.append(batch.column(1).slice(i, j - i).fill_null("").cast(pa.large_string()))
+                ids += batch.column(0).slice(i, j - i).to_pylist()
+                size += len(data)
+        if texts:
+            yield from emit(number, texts, ids)
+
+    fields = (
+        "chunk long, bucket int, words binary, docs array<long>, sizes array<long>, codes binary, buckets binary"
+    )
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    path = scratch_path(docs.sparkSession, "packed")
+    source.mapInArrow(scan, fields).write.option("compression", "uncompressed").parquet(path)
+    return docs.sparkSession.read.schema(fields).parquet(path)
+
+
+def split_words(blob: bytes) -> list[str]:
+    """The words of a packed row, by rising code."""
+    return zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 40).decode().split("\n")[:-1]
+
+
 def words_of(table: DataFrame) -> DataFrame:
     return table.where(F.col("code").isNotNull()).select("chunk", "code", "word", "kind", "hits")
 
