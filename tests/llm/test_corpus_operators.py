@@ -4,11 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trajflow.llm import (
-    exact, fingerprints, language, minhash, mixing, packing, quality, secrets, substring, tokenize,
+    exact, fingerprints, language, minhash, mixing, packing, quality, secrets, substring, tokenize, wordtable,
 )
 
 SCHEMA = "doc_id long, text string, kept string, _row string"  # names that clash with results
@@ -210,3 +211,9 @@ def test_fingerprints(docs, none):
     assert first.near_next == 1 and first.n_chars == len(LONG)
     assert first.edited_sha256 == hashlib.sha256(fingerprints.edited(LONG, LONG).encode()).hexdigest()
     assert fingerprints.fingerprint(none).count() == 0
+
+
+@pytest.mark.parametrize("ranks", [[], [0], [159, 160, 255, 256, 1 << 20, (1 << 31) - 1, 7], list(range(70_000))])
+def test_packed_ranks_come_back(ranks):
+    ranks = np.array(ranks, np.int64)
+    assert wordtable.unpack_ranks(wordtable.pack_ranks(ranks)).tolist() == ranks.tolist()

@@ -95,7 +95,7 @@ class Placed:
     def __init__(self, texts: pa.Table, words: pa.Table):
         self.docs = texts["docs"][0].as_py()
         self.ends = np.cumsum(np.array(texts["sizes"][0].as_py(), np.int64))
-        self.codes = wordtable.unpack_codes(texts["codes"][0].as_py()).astype(np.int64)
+        self.codes = wordtable.unpack_ranks(texts["codes"][0].as_py())
         bucket = wordtable.unpack_codes(texts["buckets"][0].as_py())
         order = np.argsort(words["bucket"].to_numpy())
         counts, ids = (

@@ -27,6 +27,8 @@ from trajflow.session import scratch_path
 
 #: Text bytes in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 24 << 20
+#: The same where words travel packed: larger, as fewer chunks repeat fewer words.
+PACKED_BYTES = 32 << 20
 _SCHEMA = (
     "chunk long, code int, word string, kind int, hits long, docs array<long>, marks array<boolean>, "
     "sizes array<long>, codes binary"
@@ -57,6 +59,59 @@ def unpack_codes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+#: First byte from which a code has more bytes.
+WIDE = 160
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Frequency ranks: one byte each, or a byte for the size and the rest by size.
+
+    Ranks below ``WIDE`` are their own first byte. Larger ones are grouped by their bit
+    length and the two bits after the first, which the first byte tells; they may have
+    up to 31 bits, more than the words of any chunk.
+    """
+    squeeze = zstandard.ZstdCompressor(level=1)
+    first, length = ranks.astype(np.uint8), np.frexp(ranks.astype(np.float64))[1]
+    wide = np.flatnonzero(ranks >= WIDE)
+    large, length = ranks[wide].astype(np.uint32), length[wide]
+    kind = (length - 8) * 4 + ((large >> (length - 3).astype(np.uint32)) & 3)
+    first[wide] = WIDE + kind
+    order = np.argsort(kind, kind="stable")
+    parts = [squeeze.compress(first.tobytes())]
+    edges = np.searchsorted(kind[order], np.arange(4 * 24 + 1))
+    for k in range(4 * 24):
+        rest = large[order[edges[k] : edges[k + 1]]] & np.uint32((1 << (k // 4 + 5)) - 1)
+        planes = rest.astype("<u4").view(np.uint8).reshape(-1, 4).T[: -(-(k // 4 + 5) // 8)]
+        parts += [squeeze.compress(plane.tobytes()) if len(plane) else b"" for plane in planes]
+    sizes = np.array([len(p) for p in parts], "<u8").tobytes()
+    return np.array([len(parts)], "<u8").tobytes() + sizes + b"".join(parts)
+
+
+def unpack_ranks(blob: bytes) -> np.ndarray:
+    count = int(np.frombuffer(blob, "<u8", 1)[0])
+    ends = np.cumsum(np.frombuffer(blob, "<u8", count, 8).astype(np.int64)) + 8 * (count + 1)
+    opener = zstandard.ZstdDecompressor()
+
+    def part(i: int) -> np.ndarray:
+        piece = blob[ends[i - 1] if i else 8 * (count + 1) : ends[i]]
+        return np.frombuffer(opener.decompress(piece, max_output_size=1 << 40) if piece else b"", np.uint8)
+
+    first = part(0)
+    out = first.astype(np.int64)
+    wide = np.flatnonzero(first >= WIDE)
+    kind = first[wide] - np.uint8(WIDE)
+    order = np.argsort(kind, kind="stable")
+    edges = np.searchsorted(kind[order], np.arange(4 * 24 + 1))
+    at = 1
+    for k in range(4 * 24):
+        planes = -(-(k // 4 + 5) // 8)
+        if edges[k] < edges[k + 1]:
+            rest = sum(part(at + i).astype(np.int64) << (8 * i) for i in range(planes))
+            out[wide[order[edges[k] : edges[k + 1]]]] = rest + ((4 + k % 4) << (k // 4 + 5))
+        at += planes
+    return out
+
+
 def _by_frequency(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Old numbers by falling frequency, and the new number (small if frequent) of each."""
     order = np.argsort(-np.bincount(codes, minlength=size), kind="stable")
@@ -157,7 +212,7 @@ _PACKED = pa.schema(
 
 
 def packed_chunks(
-    docs: DataFrame, id_col: str, text_col: str, buckets: int, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, id_col: str, text_col: str, buckets: int, chunk_bytes: int = PACKED_BYTES
 ) -> DataFrame:
     """Write and read back the chunks of ``docs`` with their words packed by bucket.
 
@@ -178,7 +233,7 @@ def packed_chunks(
             "chunk": pa.array([number], pa.int64()),
             "docs": pa.array([ids], pa.list_(pa.int64())),
             "sizes": pa.array([sizes], pa.list_(pa.int64())),
-            "codes": pa.array([pack_codes(rank[codes])], pa.binary()),
+            "codes": pa.array([pack_ranks(rank[codes])], pa.binary()),
             "buckets": pa.array([pack_codes(bucket)], pa.binary()),
         }
         yield pa.RecordBatch.from_arrays(list(row.values()), schema=_PACKED)
