@@ -88,6 +88,31 @@ def test_near_duplicates_against_all_pairs(docs, none):
     assert {r.doc_id for r in minhash.deduplicated(docs).collect()} >= {1, 4, 5, 6, None}
 
 
+def test_near_duplicates_of_a_group_beyond_its_hub(spark):
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        text = list(base)
+        for k in rng.choice(120, rng.integers(1, 8), replace=False):
+            text[k] = f"x{rng.integers(40)}"
+        rows.append((i, " ".join(text)))
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)]
+    top = list(range(90))
+    for _ in range(20):
+        for a in range(90):
+            for b in range(90):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    assert 1 < len(set(top)) < 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(docs, size=3, percent=85, bands=30).collect()
+    assert [r.component_id for r in sorted(out)] == top
+    bits = {r.node: r.bits for r in minhash._parities(docs.withColumnRenamed("doc_id", "id"), 3).collect()}
+    for a in range(89):
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[a + 1], strict=True))
+        assert len(sets[a] ^ sets[a + 1]) // 2 < differ <= len(sets[a] ^ sets[a + 1])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from trajflow.llm.components import components
 

@@ -9,8 +9,9 @@ agree in a whole band share a bucket.
 Pairs within a bucket aren't listed. A bucket's hub, its best connected node, is
 compared with every member. Where members are then in several components, bounds on
 what two can have in common (within the hub and outside of it, without the shingles
-that only one of them has) rule out most pairs across components; the others are
-compared, so that each pair of a bucket is compared, connected or ruled out.
+that only one of them has) rule out most pairs across components, and so do parity
+bitmaps: two sets differ in at least as many shingles as their bitmaps do in bits. The
+others are compared, so that each pair of a bucket is compared, connected or ruled out.
 The signatures first drop pairs that are hopeless (eight standard deviations below the
 threshold); the rest are decided on full sets. With 40 bands of 5 rows, a pair right at
 a threshold of 0.8 shares no bucket once in eight million; with 30 bands, one at 0.85
@@ -35,6 +36,8 @@ from trajflow.llm import words as W
 from trajflow.llm.components import components, written
 
 BLOCK_BYTES = 2 << 20
+#: 64-bit parts of a parity bitmap.
+PARITY = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +166,28 @@ def _owned(texts: DataFrame, size: int) -> DataFrame:
     return only.where("node = high").groupBy("node").agg(F.count("*").alias("own"))
 
 
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """``node`` and ``bits``: of each hash bucket of shingles, whether the set has an odd number.
+
+    What two sets share cancels out, so the bits in which two bitmaps differ are at most
+    as many as the shingles that only one of the sets has, whatever the sets' sizes.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in W.blocks(batch.column(1), BLOCK_BYTES):
+                doc, found = shingle_sets(data, offsets, size)
+                at = W.mix(found) % np.uint64(64 * PARITY)
+                bits = np.zeros((j - i) * PARITY, np.uint64)
+                np.bitwise_xor.at(bits, doc * PARITY + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(j - i + 1) * PARITY, pa.int32()), pa.array(bits.view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["node", "bits"])
+
+    return texts.select("id", "text").mapInArrow(scan, "node long, bits array<long>")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -234,18 +259,23 @@ def near_duplicates(
         ),
         "pool",
     )
-    x = named.where("NOT main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "s", "a")))
-    y = named.select("bucket", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "s", "a", "main")))
+    hopefuls = texts.join(named.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    named = named.join(_parities(hopefuls, size), "node")
+    columns = ("node", "n", "component", "s", "a", "bits")
+    x = named.where("NOT main").select("bucket", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = named.select("bucket", *(F.col(c).alias(f"{c}_y") for c in (*columns, "main")))
     needed = percent * (F.col("n_x") + F.col("n_y"))
     # Common shingles lie in the bucket's hub or outside of it, and are bounded in either part.
     parted = F.least("a_x", "a_y") + F.least(F.col("s_x") - F.col("a_x"), F.col("s_y") - F.col("a_y"))
     known = F.col("a_x").isNotNull() & F.col("a_y").isNotNull()
+    differ = sum((F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(PARITY)), F.lit(0))
     fits = (
         (F.col("component_x") != F.col("component_y"))
         & (F.col("main_y") | (F.col("node_x") < F.col("node_y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ((100 + percent) * F.least("s_x", "s_y") >= needed)
         & (~known | ((100 + percent) * parted >= needed))
+        & ((100 + percent) * (F.col("n_x") + F.col("n_y") - differ) >= 2 * needed)
     )
     fresh = x.join(y, "bucket").where(fits).select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v"))
     more = links_of(fresh.distinct().join(compared.select("u", "v"), ["u", "v"], "left_anti"))
