@@ -40,6 +40,7 @@ def distance_reward(km: Column) -> Column:
 
 
 def time_period(hour: Column) -> Column:
+    # The ranges of hours and their names.
     return (
         F.when(hour < 6, "0-5").when(hour < 12, "6-11").when(hour < 18, "12-17").otherwise("18-23")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from trajflow.functions.expressions import dot, leaky_relu
 from trajflow.session import cut_lineage
 
+# The names of the matrix kinds.
 KINDS = ("com_lap_mat", "wid_rw_normd_lap_mat", "hat_rw_normd_lap_mat")
 
 

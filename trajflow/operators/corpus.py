@@ -148,6 +148,7 @@ def render_prompts(samples: DataFrame) -> DataFrame:
             F.get("_times", i),
         )
 
+    # The wording of a prompt.
     prompt = F.concat(
         F.lit("User ID: "),
         F.col("input.user_id"),
