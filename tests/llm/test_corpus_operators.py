@@ -186,6 +186,26 @@ def test_secrets(docs, none):
     assert secrets.digests(none).count() == 0
 
 
+SECRET = "q8Zr2LxV9tKw3PfB"
+
+
+@pytest.mark.parametrize("text, secret", [
+    (f"api token for authentication service: {SECRET}", SECRET),
+    (f"secret configuration value = {SECRET}", SECRET),
+    (f"the key is Hk4vNs7QyT2mXc9D or {SECRET}", SECRET),
+    ("the secret value: QzVkWxJhGpYbRmTn", "QzVkWxJhGpYbRmTn"),
+    ("the secret value: 8305917264408153", "8305917264408153"),
+    (f"AUTH={SECRET}", SECRET),
+    (f"the secret {SECRET} was {SECRET} before", SECRET),
+])
+def test_secrets_behind_other_strings(spark, text, secret):
+    docs = spark.createDataFrame([(1, text), (2, "a plain text about authentication")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.digests(docs).collect()}
+    assert f"novel:{text.index(secret)}:{text.index(secret) + len(secret)}" in spans[1].split(",") and spans[2] == ""
+    clean = " ".join(r.text for r in secrets.redacted(docs).collect())
+    assert secret not in clean and "[SECRET]" in clean
+
+
 def test_language(spark, none):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "кот и собака", "ru"), (4, "x", None)]
     model = language.train(spark.createDataFrame(rows * 5, "doc_id long, text string, lang string"))

@@ -1,12 +1,14 @@
 """Secret scans: patterns, and dictionary-primed zstandard novelty.
 
 Three kinds are found by pattern (assign, access, hex). A fourth, ``novel``, by
-compression: strings of 12 or more characters with a digit and a letter, in a sensitive
-context (a word such as "password" or "token" up to 40 characters before, in the same
-line). A candidate is reported if zstandard, primed with the identifier dictionary and
-the text around it, still needs ``least`` bytes or more for each of its characters. The
-dictionary holds the commonest identifiers of all candidates' surroundings, counted over
-all documents; its size is a parameter. Spans are code points, end exclusive.
+compression: every string of 12 or more characters in a sensitive context (a word such
+as "password" or "token" up to 40 characters before, in the same line), also one that an
+equals sign sets off from its name. A candidate is reported if zstandard, primed with the
+identifier dictionary and the text around it without copies of the candidate, still needs
+``least`` bytes or more for each of its characters. The dictionary holds the commonest
+identifiers of all candidates' surroundings, counted over all documents, but no word that
+is known only from candidates of a single text; its size is a parameter. Spans are code
+points, end exclusive; of nested novel ones the outermost is reported.
 
 Null counts as the empty text, which has no spans. Ids may be null or repeated: there
 is one result row for each input row. Other columns are ignored, whatever their names.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +39,11 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(
-    r"(?:pass|pwd|secret|token|key|auth|cred|bearer)[^\n]{0,40}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{12,})",
-    re.I | re.A,
-)
+_CONTEXT = re.compile(r"(?=(pass|pwd|secret|token|key|auth|cred|bearer))", re.I | re.A)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}", re.A)
+_VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_-]{12,}=*", re.A)
+#: Characters between a context word and a candidate.
+DISTANCE = 40
 _HINTS = [b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"cred", b"bearer", b"akia"]
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[48:58] = True
@@ -56,10 +60,24 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Strings in a sensitive context that may be secrets."""
-    found = {m.span(1) for m in _CANDIDATE.finditer(text)}
-    return sorted(
-        (s, e) for s, e in found if re.search("[0-9]", text[s:e]) and re.search("[A-Za-z]", text[s:e])
-    )
+    ends = sorted(m.end(1) for m in _CONTEXT.finditer(text))
+    found = []
+    for m in (*_RUN.finditer(text), *_VALUE.finditer(text)) if ends else ():
+        last = bisect_right(ends, m.start())
+        if last and m.start() - ends[last - 1] <= DISTANCE and "\n" not in text[ends[last - 1] : m.start()]:
+            found.append(m.span())
+    return sorted(found)
+
+
+def _with_surroundings(text: str) -> list[dict]:
+    """Candidates with the text around them, in which copies of the candidate are blank."""
+    out = []
+    for s, e in candidates(text):
+        string, far = text[s:e], AROUND + e - s
+        before = text[max(0, s - far) : s].replace(string, " " * (e - s))[-AROUND:]
+        after = text[e : e + far].replace(string, " " * (e - s))[:AROUND]
+        out.append({"start": s, "end": e, "string": string, "around": before + after})
+    return out
 
 
 def novelty(string: str, around: str, identifiers: bytes) -> float:
@@ -96,13 +114,12 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _all_spans(found: list[tuple[int, int, int]], maybe, identifiers: bytes, least: float) -> list[tuple[int, int, int]]:
-    """Spans found by pattern, and novel candidates that don't lie within one of them."""
-    novel = [
-        (c["start"], KINDS.index("novel"), c["end"])
-        for c in maybe
-        if not any(s <= c["start"] and c["end"] <= e for s, _, e in found)
-        and novelty(c["string"], c["around"], identifiers) >= least
-    ]
+    """Spans found by pattern, and novel candidates that don't lie within one of them or another."""
+    novel = []
+    for c in sorted(maybe, key=lambda c: (c["start"], -c["end"])):
+        inside = any(s <= c["start"] and c["end"] <= e for s, _, e in (*found, *novel[-1:]))
+        if not inside and novelty(c["string"], c["around"], identifiers) >= least:
+            novel.append((c["start"], KINDS.index("novel"), c["end"]))
     return sorted([*found, *novel])
 
 
@@ -124,13 +141,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for k in np.flatnonzero(_suspects(data, offsets)):
                     text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
                     spans[k] = [{"start": s, "kind": kind, "end": e} for s, kind, e in patterns(text)]
-                    maybe[k] = [
-                        {
-                            "start": s, "end": e, "string": text[s:e],
-                            "around": text[max(0, s - AROUND) : s] + text[e : e + AROUND],
-                        }
-                        for s, e in candidates(text)
-                    ]
+                    maybe[k] = _with_surroundings(text)
                 ids = batch.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(spans, base_type), pa.array(maybe, around_type)], ["doc_id", "base", "candidates"]
@@ -141,10 +152,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def identifier_dictionary(scanned: DataFrame, size: int = 1_000) -> bytes:
     """The commonest identifiers around candidates, the commonest last (nearest for the compressor)."""
-    words = scanned.select(F.explode("candidates.around").alias("around")).select(
-        F.explode(F.regexp_extract_all("around", F.lit("([A-Za-z_]{4,})"), 1)).alias("word")
+
+    def words_in(column: str):
+        return F.flatten(F.transform(column, lambda x: F.regexp_extract_all(x, F.lit("([A-Za-z_]{4,})"), 1)))
+
+    words = scanned.where(F.size("candidates") > 0).select(
+        F.xxhash64("candidates").alias("text"), words_in("candidates.string").alias("own"),
+        F.explode(words_in("candidates.around")).alias("word"),
+    )
+    counted = words.groupBy("word").agg(
+        F.count("*").alias("count"), F.bool_and(F.array_contains("own", F.col("word"))).alias("own"),
+        (F.min("text") == F.max("text")).alias("alone"),
     )
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
+    top = counted.where(~(F.col("own") & F.col("alone"))).orderBy(F.desc("count"), "word").limit(size)
     return " ".join(r.word for r in reversed(top.collect())).encode()
 
 
@@ -199,11 +219,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", le
         for i, _, data, offsets in W.blocks(column, BLOCK_BYTES):
             for k in np.flatnonzero(_suspects(data, offsets)) + i:
                 text, done, at = out[k], [], 0
-                maybe = [
-                    {"start": s, "end": e, "string": text[s:e], "around": text[max(0, s - AROUND) : s] + text[e : e + AROUND]}
-                    for s, e in candidates(text)
-                ]
-                for start, _, end in _all_spans(patterns(text), maybe, identifiers, least):
+                for start, _, end in _all_spans(patterns(text), _with_surroundings(text), identifiers, least):
                     if start >= at:
                         done += [text[at:start], mark]
                     at = max(at, end)
