@@ -247,6 +247,21 @@ def test_mixing_base_scores(docs, none):
     assert mixing.scores(none, trains).count() == 0
 
 
+def test_mixing_scores_depend_on_the_order_of_words(spark):
+    import math
+
+    chain = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta", "kappa"]
+    order = [0, 3, 6, 1, 4, 7, 2, 5]  # no word is followed by its follower of the training texts
+    rows = [(i, " ".join(chain * 4), True) for i in range(60)] + [(100, " ".join(chain * 2), False)]
+    rows += [(101, " ".join(chain[k] for k in order * 2), False), (102, "", False), (103, None, False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, trains boolean")
+    out = {r.doc_id: r for r in mixing.scores(frame, F.col("trains")).collect()}
+    assert out[100].base_score == pytest.approx(out[101].base_score)
+    assert out[100].score > out[101].score + 1
+    assert out[100].bits_per_byte == pytest.approx(-out[100].score * math.log2(10) / (16 * 6 + 1))
+    assert out[102].score == out[103].score < 0 and out[102].bits_per_byte > 0
+
+
 def test_fingerprints(docs, none):
     out = fingerprints.fingerprint(docs).collect()
     assert len(out) == len(ROWS)

@@ -1,20 +1,22 @@
-"""Language-model scores by online logistic context mixing over a distinct-word table.
+"""Language-model scores by logistic context mixing over the text's words.
 
-A token is a word (bytes, then a terminator) or the end of the text. Its bits are
+A token is a word (bytes, then a terminator) or the end of the text. A word's bits are
 predicted by several hashed contexts: the last 1, 2, 3 and 4 bytes and the last 6 with
-the place in the word, the first of them with what the word before was like. Each
-context's counts of 0 and 1 over all distinct training words give a log-odds; gated
-weights (by place in the word and bit) combine them logistically, and an adaptive table
-refines the mixture. Weights and table are learned online, in small steps over the
-words, with each word's own share taken out of the statistics (what it would meet if
-it were new). Counts of words come in by absolute discounting, a proper mixture:
-
-    P(token) = (max(c - d, 0) + d * V * P_bits(token)) / N
-
-The word table (which grows with the corpus) stays distributed: each distinct word is
-scored once and its score goes back to the chunks that have it. The bit statistics are
-``PREDICTORS`` x 2 ** 20 counts of any corpus and the weights some hundred numbers;
-these are all that reaches the driver.
+the place in the word, the first of them with what the word before was like; and the
+whole word before with all bytes so far. Each context's counts of 0 and 1 over all
+training occurrences give a log-odds; gated weights (by place in the word, bit, and how
+sure the two longest contexts are) combine them logistically, and an adaptive table
+refines the mixture. Weights and table
+are learned in small steps over all training occurrences, with each occurrence's own
+share taken out of the statistics (what it would meet if it were new):
+
+    P(text) = P_end * product of (1 - P_end) * P_bits(word | word before)
+
+Occurrences are added up per pair of words, block by block, before their bits are looked
+at, and contexts within a word once for all words before it. The counts are tables of
+fixed size (``SLOTS`` slots) for any corpus, so contexts may share a slot; they and the
+weights are all that reaches the driver. How often each distinct word occurs, for the
+base score, stays distributed and goes back to the chunks that have the word.
 
 Null counts as the empty text, which is one end token. Rows with a null or repeated id
 get a row each; other columns are ignored. With nothing to learn from, each bit is 1/2.
@@ -28,6 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,37 +40,35 @@ from trajflow.llm import words as W
 from trajflow.llm import wordtable
 from trajflow.llm.components import written
 
-PREDICTORS = 5
-BITS = 20
 #: What the word before was like: none or a sentence's end, short, other.
 KINDS = 3
-#: Words a training task counts; more tasks add up their tables in rounds of ``FAN_IN``.
-TASK_WORDS = 1_000_000
+#: Contexts within a word, and all.
+WITHIN = 5
+PREDICTORS = 6
+#: Slots by predictor; there are many more pairs of words than beginnings of words.
+BITS = [20] * WITHIN + [22]
+_FIRST = np.cumsum([0] + [1 << b for b in BITS])
+SLOTS = int(_FIRST[-1])
 FAN_IN = 32
-_ROWS = 32_768
+#: Text bytes whose pairs of words are added up at a time, and bytes of pairs looked at at a time.
+_TEXT = 6 << 20
+_SYMBOLS = 1 << 18
 #: Bits between updates of the weights.
 _STRIDE = 16_384
-_GATES = 4 * 8
+#: Places and bits, by how sure the two longest contexts are (three levels each).
+_GATES = 4 * 8 * 9
 _STEPS = 33
 _BLOCK = 1 << 17
 _DELTA = 0.4
 _SALTS = W.mix(np.arange(1, PREDICTORS + 1, dtype=np.uint64))
 
 
-def kind_of_previous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    kind = np.zeros(len(starts), np.int32)
-    if len(starts) > 1:
-        stop = np.isin(data[ends[:-1] - 1], [33, 46, 63])
-        kind[1:] = np.where(stop | (doc[1:] != doc[:-1]), 0, np.where(ends[:-1] - starts[:-1] <= 3, 1, 2))
-    return kind
-
-
 class Symbols:
-    """Bytes of words with terminators, and what each predictor sees before each byte."""
+    """Bytes of words with terminators, and what predictors within a word see before each byte."""
 
     def __init__(self, words: pa.Array, kind: np.ndarray):
         data, offsets = W.text_arrays(words)
-        size = np.diff(offsets) + 1
+        self.size = size = np.diff(offsets) + 1
         self.first = np.cumsum(size) - size
         total = int(size.sum())
         self.symbol = np.full(total, 32, np.uint8)
@@ -84,31 +86,118 @@ class Symbols:
             orders.append(context)
         start = np.minimum(place, 7).astype(np.uint64) << np.uint64(56)
         near = kind.astype(np.uint64)[self.word] << np.uint64(48) | (place == 0).astype(np.uint64) << np.uint64(56)
-        seen = [orders[0] | near, orders[1] | near * np.uint64(0), orders[2], orders[3], orders[5] | start]
+        seen = [orders[0] | near, orders[1], orders[2], orders[3], orders[5] | start]
         self.base = [W.mix(c + _SALTS[i]) for i, c in enumerate(seen)]
+        # All bytes so far: the sum of what each byte at its place is mixed to.
+        with np.errstate(over="ignore"):
+            share = W.mix(wide | place.astype(np.uint64) << np.uint64(8))
+            before = np.cumsum(share) - share
+            self.prefix = before - before[self.first][self.word] if total else before
         self.gate = np.minimum(place, 3) * 8
 
-    def bits(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """For each of the 8 bits: its number, its values, and each predictor's slots."""
+
+class Pairs:
+    """Words with the word before, each distinct pair once, ordered by word.
+
+    ``words`` are distinct, ``codes`` the texts' words as numbers into them and ``doc``
+    their texts. ``inverse`` has the pair of each place, ``hits`` its places.
+    """
+
+    def __init__(self, words: pa.Array, codes: np.ndarray, doc: np.ndarray):
+        data, offsets = W.text_arrays(words)
+        n, size = len(words), np.diff(offsets)
+        hashes = np.append(W.hash_words(data, offsets[:-1], offsets[1:]) if n else np.empty(0, np.uint64), np.uint64(0))
+        stop = np.isin(data[offsets[1:] - 1], [33, 46, 63]) if n else np.empty(0, bool)
+        kinds = np.append(np.where(stop, 0, np.where(size <= 3, 1, 2)), 0)  # the last: no word before
+        before = np.full(len(codes), n, np.int64)
+        before[1:] = np.where(doc[1:] == doc[:-1], codes[:-1], n)
+        mixed = np.argsort(hashes[:n])  # an order that has nothing to do with frequency
+        place = np.empty(n, np.int64)
+        place[mixed] = np.arange(n)
+        key = (place[codes] * KINDS + kinds[before]) * (n + 1) + before
+        found, unique = pd.factorize(key)
+        order = np.argsort(unique, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.inverse, unique = rank[found], unique[order]
+        self.hits = np.bincount(self.inverse, minlength=len(unique)).astype(np.float64)
+        self.before = hashes[unique % (n + 1)]
+        row = unique // (n + 1)
+        self.edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        rows = row[self.edges[:-1]]
+        self.word, self.kind, self.words = mixed[rows // KINDS], rows % KINDS, words
+        self.sizes = size[self.word] + 1
+
+    def parts(self) -> Iterator[tuple[slice, Part]]:
+        """Runs of pairs, all of a word and kind together."""
+        done = np.concatenate([[0], np.cumsum(np.diff(self.edges) * self.sizes)])
+        i = 0
+        while i < len(self.word):
+            j = max(i + 1, int(np.searchsorted(done, done[i] + _SYMBOLS, "right")) - 1)
+            at = slice(int(self.edges[i]), int(self.edges[j]))
+            seen = Symbols(self.words.take(pa.array(self.word[i:j])), self.kind[i:j])
+            yield at, Part(seen, np.repeat(np.arange(j - i), np.diff(self.edges[i : j + 1])), self.before[at], self.hits[at])
+            i = j
+
+
+class Part:
+    """The symbols of some pairs (``at``: of their words), with their weights."""
+
+    def __init__(self, seen: Symbols, row: np.ndarray, before: np.ndarray, hits: np.ndarray):
+        self.seen, size = seen, seen.size[row]
+        self.pair = np.repeat(np.arange(len(row)), size)
+        self.at = np.arange(len(self.pair)) + np.repeat(seen.first[row] - (np.cumsum(size) - size), size)
+        with np.errstate(over="ignore"):
+            self.base = W.mix(seen.prefix[self.at] + W.mix(before + _SALTS[WITHIN])[self.pair])
+        self.gate, self.weight = seen.gate[self.at], hits[self.pair]
+        self.word_weight = np.bincount(row, weights=hits, minlength=len(seen.size))[seen.word]
+
+    def bits(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For each of the 8 bits: its number; for the words' symbols its values and slots; the same for the pairs'."""
+        symbol = self.seen.symbol
         for j in range(8):
-            node = (1 << j) | (self.symbol >> (8 - j) if j else np.zeros(len(self.symbol), np.uint8)).astype(np.uint64)
-            bit = ((self.symbol >> (7 - j)) & 1).astype(np.int64)
+            node = (1 << j) | (symbol >> (8 - j) if j else np.zeros(len(symbol), np.uint8)).astype(np.uint64)
+            bit = ((symbol >> (7 - j)) & 1).astype(np.int64)
             with np.errstate(over="ignore"):
-                yield j, bit, [
-                    ((b + node * W.ODD) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64)
-                    for b in self.base
-                ]
+                node = node * W.ODD
+                yield j, bit, [_slot(b + node, k) for k, b in enumerate(self.seen.base)], bit[self.at], _slot(
+                    self.base + node[self.at], WITHIN
+                )
+
+
+def _slot(context: np.ndarray, k: int) -> np.ndarray:
+    return (context * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS[k])).astype(np.int64) + _FIRST[k]
+
+
+def pairs_of(column: pa.Array) -> Iterator[Pairs]:
+    """The pairs of a column of texts, by blocks of them."""
+    for _, _, data, offsets in W.blocks(column, _TEXT):
+        data = W.LOWER[data]
+        starts, ends, doc = W.bounds(data, offsets)
+        if len(starts):
+            codes, unique = pd.factorize(W.hash_words(data, starts, ends))
+            first = np.empty(len(unique), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            yield Pairs(W.slices(data, starts[first], ends[first]), codes, doc)
+
+
+def _packed(vector: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(vector.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.float64)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    """Adds up vectors (``block``, ``task``, ``vector`` of float32 or float64) in rounds."""
+    """Adds up vectors (``block``, ``task``, ``vector`` packed) in rounds."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = 0
         for blob in frame["vector"]:
-            total = total + np.frombuffer(blob, np.float64)
+            total = total + _unpacked(blob)
         return pd.DataFrame(
-            {"block": [frame["block"].iat[0]], "task": [frame["task"].iat[0]], "vector": [total.tobytes()]}
+            {"block": [frame["block"].iat[0]], "task": [frame["task"].iat[0]], "vector": [_packed(total)]}
         )
 
     tasks = (rows.agg(F.max("task")).first()[0] or 0) + 1
@@ -123,34 +212,34 @@ def _summed(rows: DataFrame) -> DataFrame:
 def _vector(rows: DataFrame, size: int, block: int) -> np.ndarray:
     out = np.zeros(size)
     for row in rows.collect():  # a table of fixed size
-        part = np.frombuffer(row.vector, np.float64)
+        part = _unpacked(row.vector)
         out[row.block * block : row.block * block + len(part)] = part
     return out
 
 
 def bit_counts(training: DataFrame) -> np.ndarray:
-    """Counts of 0 and 1 by predictor and slot, over all distinct training words."""
+    """Counts of 0 and 1 by slot, over all occurrences of words in the ``text`` of training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((PREDICTORS, 2 << BITS), np.float32)
+        flat = np.zeros(2 * SLOTS)
         for batch in batches:
-            for i in range(0, len(batch), 4 * _ROWS):
-                part = batch.slice(i, 4 * _ROWS)
-                seen = Symbols(part.column(0), part.column(1).to_numpy())
-                for _, bit, slots in seen.bits():
-                    for k, slot in enumerate(slots):
-                        total[k] += np.bincount(2 * slot + bit, minlength=2 << BITS)
-        task, flat = TaskContext.get().partitionId(), total.ravel()
-        for block in range(len(flat) // _BLOCK):
-            part = flat[block * _BLOCK : (block + 1) * _BLOCK].astype(np.float64)
+            for pairs in pairs_of(batch.column(0)):
+                for _, part in pairs.parts():
+                    for _, bit, slots, pair_bit, slot in part.bits():
+                        for k in range(WITHIN):
+                            np.add.at(flat, 2 * slots[k] + bit, part.word_weight)
+                        np.add.at(flat, 2 * slot + pair_bit, part.weight)
+        task = TaskContext.get().partitionId()
+        for block in range(-(-len(flat) // _BLOCK)):
+            part = flat[block * _BLOCK : (block + 1) * _BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([part.tobytes()], pa.binary())],
+                    [pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([_packed(part)], pa.binary())],
                     ["block", "task", "vector"],
                 )
 
     made = written(training.mapInArrow(count, "block int, task long, vector binary"), "bitcounts")
-    return _vector(_summed(made), PREDICTORS * (2 << BITS), _BLOCK).reshape(PREDICTORS, 1 << BITS, 2)
+    return _vector(_summed(made), 2 * SLOTS, _BLOCK).reshape(SLOTS, 2)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -162,6 +251,12 @@ def _step(x: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(x, -8, 8) * 2).astype(np.int64) + 16
 
 
+def _gates(place: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Number of the weights: by place and bit, and by how far the two longest contexts' log-odds are from 0."""
+    far = [(np.abs(odds[k]) > 0.1).astype(np.int64) + (np.abs(odds[k]) > 1.6) for k in (WITHIN - 1, WITHIN)]
+    return place * 9 + far[0] * 3 + far[1]
+
+
 class Mixer:
     """Weights by gate, and the refining table's log-odds."""
 
@@ -175,41 +270,48 @@ class Mixer:
 
 
 def learn(training: DataFrame, counts: np.ndarray, rate: float = 1.0) -> Mixer:
-    """One online pass over all training words; tasks' weights are averaged by their bits."""
+    """One pass in small steps over all training occurrences; the steps' weights are averaged by their bits."""
     shared = training.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         weights = Mixer.fresh().weights
         table = np.zeros((_GATES * _STEPS, 2))
-        events = np.zeros(_GATES)
+        events, mean = np.zeros(_GATES), np.zeros_like(weights)
+
+        def without_own(slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
+            n = counts[slot]
+            n[np.arange(len(bit)), bit] -= 1
+            return np.log((n[:, 1] + _DELTA) / (n[:, 0] + _DELTA))
+
         for batch in batches:
-            for i in range(0, len(batch), _ROWS):
-                part = batch.slice(i, _ROWS)
-                seen = Symbols(part.column(0), part.column(1).to_numpy())
-                every = np.arange(len(seen.symbol))
-                for j, bit, slots in seen.bits():
-                    odds = np.empty((PREDICTORS, len(bit)), np.float32)
-                    for k, slot in enumerate(slots):
-                        n = counts[k][slot]
-                        n[every, bit] -= 1
-                        odds[k] = np.log((n[:, 1] + _DELTA) / (n[:, 0] + _DELTA))
-                    gate = seen.gate + j
-                    for begin in range(0, len(bit), _STRIDE):
-                        at = slice(begin, begin + _STRIDE)
-                        g, x, y = gate[at], odds[:, at], bit[at]
-                        z = (weights[g].T * x).sum(axis=0)
-                        error = y - _sigmoid(z)
-                        hit = np.bincount(g, minlength=_GATES)
-                        slope = np.stack([np.bincount(g, weights=error * x[k], minlength=_GATES) for k in range(PREDICTORS)], 1)
-                        weights = weights + rate * slope / np.maximum(hit, 1)[:, None]
-                        events += hit
-                        table += np.bincount(2 * (g * _STEPS + _step(z)) + y, minlength=2 * _GATES * _STEPS).reshape(-1, 2)
-        vector = np.concatenate([(weights * events[:, None]).ravel(), events, table.ravel()])
+            for pairs in pairs_of(batch.column(0)):
+                for _, part in pairs.parts():
+                    for j, bit, slots, pair_bit, slot in part.bits():
+                        odds = np.empty((PREDICTORS, len(pair_bit)), np.float32)
+                        for k in range(WITHIN):
+                            odds[k] = without_own(slots[k], bit)[part.at]
+                        odds[WITHIN] = without_own(slot, pair_bit)
+                        gate = _gates(part.gate + j, odds)
+                        steps = -(-len(pair_bit) // _STRIDE)
+                        for begin in range(steps):  # each step sees words from all over the part
+                            at = slice(begin, None, steps)
+                            g, x, y, h = gate[at], odds[:, at], pair_bit[at], part.weight[at]
+                            z = (weights[g].T * x).sum(axis=0)
+                            error = h * (y - _sigmoid(z))
+                            hit = np.bincount(g, weights=h, minlength=_GATES)
+                            slope = np.stack([np.bincount(g, weights=error * x[k], minlength=_GATES) for k in range(PREDICTORS)], 1)
+                            weights = weights + rate * slope / np.maximum(hit, 1)[:, None]
+                            events += hit
+                            mean += weights * hit[:, None]
+                            table += np.bincount(
+                                2 * (g * _STEPS + _step(z)) + y, weights=h, minlength=2 * _GATES * _STEPS
+                            ).reshape(-1, 2)
+        vector = np.concatenate([mean.ravel(), events, table.ravel()])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()),
-                pa.array([vector.tobytes()], pa.binary()),
+                pa.array([_packed(vector)], pa.binary()),
             ],
             ["block", "task", "vector"],
         )
@@ -229,77 +331,53 @@ def learn(training: DataFrame, counts: np.ndarray, rate: float = 1.0) -> Mixer:
     return fresh
 
 
-def log_probability(words: pa.Array, kind: np.ndarray, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """Natural logarithm of each word's probability by its bits."""
-    seen = Symbols(words, kind)
-    total = np.zeros(len(words))
+def log_probability(pairs: Pairs, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """Natural logarithm of each pair's probability by its bits, given the word before."""
+    out = np.zeros(len(pairs.hits))
     weights, refine = mixer.weights.astype(np.float32), mixer.refine.astype(np.float32)
-    for j, bit, slots in seen.bits():
-        gate = seen.gate + j
-        w = weights[gate]
-        z = np.zeros(len(bit), np.float32)
-        for k, slot in enumerate(slots):
-            z += w[:, k] * odds[k][slot]
-        sign = (2 * bit - 1).astype(np.float32)
-        p = 0.5 * (_sigmoid(z * sign) + _sigmoid(refine[gate, _step(z)] * sign))
-        total += np.bincount(seen.word, weights=np.log(p), minlength=len(words))
-    return total
+    for place, part in pairs.parts():
+        total = np.zeros(place.stop - place.start)
+        for j, bit, slots, pair_bit, slot in part.bits():
+            x = np.empty((PREDICTORS, len(pair_bit)), np.float32)
+            for k in range(WITHIN):
+                x[k] = odds[slots[k]][part.at]
+            x[WITHIN] = odds[slot]
+            gate = _gates(part.gate + j, x)
+            z = np.zeros(len(pair_bit), np.float32)
+            for k in range(PREDICTORS):
+                z += weights[gate, k] * x[k]
+            sign = (2 * pair_bit - 1).astype(np.float32)
+            p = 0.5 * (_sigmoid(z * sign) + _sigmoid(refine[gate, _step(z)] * sign))
+            total += np.bincount(part.pair, weights=np.log(p), minlength=len(total))
+        out[place] = total
+    return out
 
 
 def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    ``trains`` says which rows are learned from.
+    ``trains`` says which rows are learned from. Bytes are those of the words, with a
+    terminator for each and one for the end.
     """
-    table = wordtable.chunks(docs, id_col, text_col, trains, lower=True, kinds=kind_of_previous)
-    by_kind = [F.sum(F.when(F.col("kind") == k, F.col("hits"))).alias(f"h{k}") for k in range(KINDS)]
-    counts = written(
-        wordtable.words_of(table).groupBy("word").agg(F.sum("hits").alias("c"), *by_kind), "counts"
-    )
+    table = wordtable.chunks(docs, id_col, text_col, trains, lower=True)
+    counts = written(wordtable.words_of(table).groupBy("word").agg(F.sum("hits").alias("c")), "counts")
     ends = table.where(F.col("code").isNull()).agg(F.sum(F.size(F.filter("marks", lambda m: m)))).first()[0] or 0
-    got = counts.agg(
-        F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count("*")
-    ).first()
+    got = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, types = (got[0] or 0) + ends, got[1] + (ends > 0)
-    discount = got[2] / (got[2] + 2 * got[3]) if got[2] else 0.5
-    rows = counts.select("word", "c", F.explode(F.array(*(
-        F.struct(F.lit(k).alias("kind"), F.col(f"h{k}").alias("n")) for k in range(KINDS)
-    ))).alias("x")).select("word", "x.kind", "x.n", "c").where("n IS NOT NULL")
-    training = rows.where("n > 0").repartition(max(1, -(-got[4] // TASK_WORDS)), "word")
+    training = docs.where(trains).select(F.col(text_col).alias("text"))
     count = bit_counts(training)
     mixer = learn(training, count)
-    odds = np.log((count[..., 1] + _DELTA) / (count[..., 0] + _DELTA)).astype(np.float32)
+    odds = np.log((count[:, 1] + _DELTA) / (count[:, 0] + _DELTA)).astype(np.float32)
     floor = math.log10(tokens + 0.5 * (types + 1))
-
-    def blend(c: np.ndarray, by_bits: np.ndarray) -> np.ndarray:
-        """log10 of the discounted mixture."""
-        if not tokens:
-            return by_bits / math.log(10)
-        spare = math.log(discount * types) + by_bits
-        return (np.logaddexp(np.log(np.maximum(c - discount, 1e-300)), spare) - math.log(tokens)) / math.log(10)
-
+    end = (ends + 0.5) / (tokens + 1)
+    more, end_score = math.log10(1 - end), math.log10(end)
     shared = docs.sparkSession.sparkContext.broadcast(odds)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), _ROWS):
-                part = batch.slice(i, _ROWS)
-                by_bits = log_probability(part.column(0), part.column(1).to_numpy(), shared.value, mixer)
-                value = blend(part.column(2).to_numpy().astype(np.float64), by_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(value)], ["word", "kind", "c", "score"]
-                )
-
-    judged = written(
-        rows.select("word", "kind", "c").mapInArrow(judge, "word string, kind int, c long, score double"), "judged"
-    )
-    empty = log_probability(pa.array([""]), np.zeros(1, np.int64), odds, mixer)
-    end_score = float(blend(np.array([float(ends)]), empty)[0])
     end_base = math.log10(ends + 0.5) - floor
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+            ("bits_per_byte", pa.float64()),
         ]
     )
 
@@ -308,20 +386,29 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
         size = np.array(texts["sizes"][0].as_py(), np.int64)
         n = len(size)
         doc = np.repeat(np.arange(n), size)
-        code = words["code"].to_numpy()
-        c, value = np.zeros(len(code)), np.zeros(len(code))
-        c[code], value[code] = words["c"].to_numpy(), words["score"].to_numpy()
+        order = np.argsort(words["code"].to_numpy())
+        c = words["c"].to_numpy()[order].astype(np.float64)
+        text = words["text"].combine_chunks().take(pa.array(order))
         base = np.log10(c + 0.5) - floor
 
         def total(x: np.ndarray) -> np.ndarray:
             return np.bincount(doc, weights=x[codes], minlength=n)
 
+        score = np.full(n, end_score)
+        if len(codes):
+            pairs = Pairs(text, codes, doc)
+            by_bits = log_probability(pairs, shared.value, mixer) / math.log(10) + more
+            score += np.bincount(doc, weights=by_bits[pairs.inverse], minlength=n)
+        n_bytes = total(pc.binary_length(text).to_numpy(zero_copy_only=False) + 1.0) + 1
         columns = [
             texts["docs"][0].as_py(), [not m for m in texts["marks"][0].as_py()], size + 1,
             (total((c > 0).astype(float)) + (ends > 0)).astype(np.int64), np.full(n, tokens, np.int64),
-            total(base) + end_base, total(value) + end_score,
+            total(base) + end_base, score, -score * math.log2(10) / n_bytes,
         ]
         return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return wordtable.put_back(table, judged, ["word", "kind"], place, fields)
+    fields = (
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+        "bits_per_byte double"
+    )
+    return wordtable.put_back(table, counts.withColumn("text", F.col("word")), ["word"], place, fields)
