@@ -352,7 +352,9 @@ def _returned(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
 def scores(table: DataFrame, counts: DataFrame) -> DataFrame:
     """Per document: numbers of tokens, groups and links, ``n_best``, ``count_sum`` and ``groups``."""
     found = table.where("pair IS NOT NULL").select("chunk", "pair", "plane", "dense", "bits")
-    found = found.join(counts.select("pair", "docs", "best"), "pair").drop("pair").withColumnRenamed("chunk", "at")
+    # Both grow with the corpus, so they are shuffled at any size; neither is ever broadcast.
+    found = found.join(counts.select("pair", "docs", "best").hint("merge"), "pair")
+    found = found.drop("pair").withColumnRenamed("chunk", "at")
     docs = table.where("pair IS NULL").drop("pair", "plane", "dense", "bits")
     fields = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     return docs.groupBy("chunk").cogroup(found.groupBy("at")).applyInArrow(_returned, fields)
