@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -302,7 +303,7 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
             if not len(cuts):
                 continue
             # All but the last group are whole; they are solved in bounded portions.
-            sizes = np.cumsum(table["body"].combine_chunks().cast(pa.large_binary()).value_lengths().to_numpy())
+            sizes = np.cumsum(pc.binary_length(table["body"]).to_numpy().astype(np.int64))
             low = 0
             while low < cuts[-1]:
                 base = sizes[low - 1] if low else 0
