@@ -55,6 +55,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that callers keep, by application and name.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def _folder(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the written ``path`` go when the session's JVM ends."""
+    system, folder = _folder(spark, path)
+    system.deleteOnExit(folder)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder under the caller's ``name``, and read from there.
+
+    While the name is held, a further call returns the same table, whatever its
+    ``df``; :func:`release` gives it up. The end of the session does so too.
+    """
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        remove_at_exit(spark, path)
+        _KEPT[key] = path
+    return spark.read.schema(df.schema).parquet(_KEPT[key])
+
+
+def release(spark: SparkSession, *names: str) -> None:
+    """Remove kept tables (all of the session's without names) and their files."""
+    application = spark.sparkContext.applicationId
+    for key in [k for k in _KEPT if k[0] == application and (not names or k[1] in names)]:
+        system, folder = _folder(spark, _KEPT.pop(key))
+        system.delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so lost executors cost nothing."""
     context = df.sparkSession.sparkContext
