@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajflow.session import scratch_path
+from trajflow.session import remove_at_exit, scratch_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,8 +22,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(spark, path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once all that was read from them is written itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _starred(links: DataFrame, least: DataFrame) -> DataFrame:

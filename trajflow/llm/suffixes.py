@@ -8,9 +8,10 @@ with a smaller id, or earlier in the same one. Equal strings hold the same ancho
 1. Consecutive strings with one anchor form a stretch. Spark counts the anchors; a
    stretch whose anchor occurs once repeats nothing.
 2. The bytes of the others are grouped as they are. Of equal stretches only the first
-   has anything to keep, so copies, however many, leave one row per task.
-3. The suffixes of an anchor's different stretches are sorted by mergesort. A
-   comparison finds the common extension of two suffixes by binary search over prefix
+   has anything to keep, so copies, however many, leave one row per task. Copies of
+   whole texts, told by their SHA-256, are left out before.
+3. The suffixes of an anchor's different stretches, those with the anchor at one
+   distance at a time, are sorted by mergesort. A comparison finds the common extension of two suffixes by binary search over prefix
    polynomial hashes and looks at one byte behind it. Neighbours in the order are then
    compared byte by byte; if two are out of order, or not as equal as their hashes, a
    collision is at hand and their group is sorted by its bytes.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajflow.llm import words as W
-from trajflow.llm.components import written
+from trajflow.llm.components import dropped, written
 
 LENGTH = 100
 KGRAM = 32
@@ -67,7 +68,14 @@ class Prefixes:
 
     def common(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
         """Length of the common extension of the suffixes at ``a`` and ``b``, up to ``limit``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), limit)
+        whole = self.equal(a, b, np.full(len(a), limit))
+        low = np.where(whole, limit, 0)
+        rest = np.flatnonzero(~whole)
+        low[rest] = self._search(a[rest], b[rest], limit)
+        return low
+
+    def _search(self, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), limit - 1)
         while (low < high).any():
             middle = (low + high + 1) >> 1
             same = self.equal(a, b, middle)
@@ -82,18 +90,17 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     return W.mix((hashes.sum[k:] - hashes.sum[:-k]) * back[: len(data) - k + 1])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Text, first byte, strings, anchor of every stretch of the texts in ``data``; whether the anchor is at several places."""
+def anchored(data: np.ndarray, offsets: np.ndarray, length: int):
+    """Place of every string within one text of ``data``, its anchor's place and hash."""
     count = len(data) - length + 1
     none = np.empty(0, np.int64)
-    nothing = none, none, none, none.astype(np.uint64), none.astype(bool)
     if count <= 0:
-        return nothing
+        return none, none, none.astype(np.uint64)
     crossing = np.zeros(count + 1, np.int64)
     inner = offsets[1:-1]
     np.add.at(crossing, np.clip(inner - length + 1, 0, count), 1)
     np.add.at(crossing, np.minimum(inner, count), -1)
-    inside = np.cumsum(crossing[:-1]) == 0
+    at = np.flatnonzero(np.cumsum(crossing[:-1]) == 0)
     k = min(KGRAM, length)
     hashes = grams(data, k)
     # The place in the lower bits makes the leftmost of equal hashes the smallest.
@@ -104,14 +111,17 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
         width *= 2
     if span > width:
         least = np.minimum(least[: -(span - width)], least[span - width :])
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return nothing
     place = (least[at] & _PLACE).astype(np.int64)
-    anchor = hashes[place]
+    return at, place, hashes[place]
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
+    """Text, first byte, strings, anchor of every stretch of the texts in ``data``; whether the anchor is at several places."""
+    at, place, anchor = anchored(data, offsets, length)
+    if not len(at):
+        return at, at, at, anchor, at.astype(bool)
     doc = np.searchsorted(offsets[1:], at, "right")
-    begins = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
-    first = np.flatnonzero(begins)
+    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
     owner, size = doc[first], np.diff(np.append(first, len(at)))
     return owner, at[first] - offsets[owner], size, anchor[first], place[first] != place[first + size - 1]
 
@@ -264,12 +274,14 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
         table = table.combine_chunks()
         anchor, run, runs = (table[c].to_numpy() for c in ("anchor", "run", "runs"))
         data, offsets = W.text_arrays(table["body"].combine_chunks().cast(pa.large_binary()))
-        count = np.diff(offsets) - length + 1
-        owner = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = offsets[owner] + inside
-        group = np.cumsum(np.append(0, (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])))[owner]
-        start = table["first"].to_numpy().astype(np.int64)[owner] + inside
+        place, own, _ = anchored(data, offsets, length)
+        # Equal strings have their anchor at one distance, so only those of one distance are sorted together.
+        which = np.cumsum(np.append(0, (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])))
+        owner = np.searchsorted(offsets[1:], place, "right")
+        group = which[owner] * length + (own - place)
+        together = np.argsort(group, kind="stable")
+        place, owner, group = place[together], owner[together], group[together]
+        start = table["first"].to_numpy().astype(np.int64)[owner] + place - offsets[owner]
         doc, part = table["doc"].to_numpy()[owner], table["part"].to_numpy()[owner]
         order, equal = sort_suffixes(data, place, group, length)
         early = np.empty(len(owner), np.int64)
@@ -372,17 +384,31 @@ def remove_repeats(
     if repeated_ids:
         long_enough = long_enough.distinct()
 
+    # A copy of a whole text is covered by strings that start in the first one, so it needs no sorting.
+    texts = long_enough.select("doc", "part", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("end"))
+    first = texts.groupBy("digest").agg(F.min(F.struct("doc", "part")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    same = texts.join(first, "digest").where(F.struct("doc", "part") != F.col("low"))
+    same = written(same.select("doc", "part", F.lit(0).alias("first"), "end"), "same")
+
     anchors = _scan(long_enough, length, False).groupBy("anchor").count().where("count > 1").select("anchor")
-    found = written(_scan(long_enough, length, True).join(written(anchors, "anchors"), "anchor"), "stretches")
+    anchors = written(anchors, "anchors")
+    every = written(_scan(long_enough, length, True).join(anchors, "anchor"), "every")
+    dropped(anchors)
+    others = every.join(same.select("doc", "part"), ["doc", "part"], "left_anti")
+    several = others.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("loop")).where("n > 1 OR loop")
+    found = written(others.join(several.select("anchor"), "anchor"), "stretches")
+    dropped(every)
     wanted = found.groupBy("doc", "part").agg(F.collect_list(F.struct("anchor", "first", "count", "again")).alias("wanted"))
     texts = long_enough.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted")
     bodies = written(_bytes_of(texts, length), "bodies")
+    dropped(found)
 
     early = F.min(F.struct("doc", "part", "first")).alias("low")
     different = written(bodies.groupBy("anchor", "body").agg(early, F.max("again").alias("again")), "different")
     copies = bodies.join(different, ["anchor", "body"]).where(F.struct("doc", "part", "first") != F.col("low"))
     end = F.col("first") + F.octet_length("body")
-    spans = written(copies.select("doc", "part", "first", end.cast("int").alias("end")), "copies")
+    copied = written(copies.select("doc", "part", "first", end.cast("int").alias("end")), "copies")
+    dropped(bodies)
 
     # A stretch alone at its anchor can repeat itself only if the anchor is at several places of it.
     classes = different.groupBy("anchor").agg(
@@ -398,7 +424,8 @@ def remove_repeats(
     merged = several.groupBy("string").agg(early)
     again = several.join(merged, "string").where(F.struct("doc", "part", "first") != F.col("low"))
     single = strings.where("string IS NULL").select("doc", "part", "first").unionByName(again.select("doc", "part", "first"))
-    spans = spans.unionByName(single.withColumn("end", F.col("first") + length))
+    spans = same.unionByName(copied).unionByName(single.withColumn("end", F.col("first") + length))
 
-    by_row = spans.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    by_row = written(spans.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
+    dropped(different, strings, copied, same)
     return _kept(source.join(by_row, ["doc", "part"], "left").select("doc_id", "part", "text", "spans"))
