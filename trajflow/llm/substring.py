@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajflow.llm import words as W
-from trajflow.llm.components import written
+from trajflow.llm.components import dropped, written
 
 BLOCK_BYTES = 4 << 20
 KMER = 5
@@ -148,6 +148,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     anchors = _scan(source, length, False).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     anchors = written(anchors.where("low < high").select("anchor"), "anchors")
     found = written(_scan(source, length, True).join(anchors, "anchor"), "paths")
+    dropped(anchors)
 
     lowest = written(found.groupBy("path").agg(F.min("doc").alias("low")), "lowest")
     named = found.join(lowest, "path")
@@ -158,15 +159,20 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         named.where("low = doc").join(branching.select("anchor"), "anchor")
         .groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("wanted"))
     )
+    wanted = written(wanted, "wanted")
+    dropped(found, lowest)
     texts = source.select("doc", "part", "text")
     if repeated_ids:
         texts = texts.distinct()
     windows = written(_windows(texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted"), length), "windows")
+    dropped(wanted)
     first_in = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     single = windows.join(first_in, "window").where("low < doc").select("doc", "part", "first", F.lit(1).alias("count"))
     spans = (
         whole.unionByName(single).groupBy("doc", "part")
         .agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     )
+    spans = written(spans, "spans")
+    dropped(whole, windows)
     joined = source.join(spans, ["doc", "part"], "left")
     return _kept(joined.select("doc_id", "part", "text", "spans"), length)
