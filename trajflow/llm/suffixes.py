@@ -37,13 +37,16 @@ from pyspark.sql import functions as F
 
 from trajflow.llm import words as W
 from trajflow.llm.components import dropped, written
+from trajflow.session import hashed
 
 LENGTH = 100
 KGRAM = 32
-#: Bytes scanned or sorted at a time; bounds the temporary arrays.
+#: Bytes scanned at a time; bounds the temporary arrays.
 BLOCK_BYTES = 2 << 20
+#: Bytes sorted at a time, each the start of a suffix or nearly so.
+SORT_BYTES = 1 << 19
 #: Bytes of an anchor's different stretches that one run of the sort takes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
@@ -244,7 +247,7 @@ def _verified(data, place, group, order, length):
     n = len(order)
     equal, wrong = np.zeros(n, bool), np.zeros(n, bool)
     reach = np.arange(length)
-    step = max(1, BLOCK_BYTES // length)
+    step = max(1, SORT_BYTES // length)
     for low in range(0, n, step):
         at = order[max(0, low - 1) : low + step]
         rows = data[place[at][:, None] + reach]
@@ -265,7 +268,7 @@ def _verified(data, place, group, order, length):
 
 
 def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
-    """Strings that aren't the first of their run (``string`` null), and the first ones of anchors with several runs.
+    """Spans of strings that aren't the first of their run, and the first ones (``string``) of anchors with several runs.
 
     ``rows`` (anchor, run, runs, body, doc, part, first) is sorted by anchor and run.
     """
@@ -289,15 +292,22 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
         heads = np.flatnonzero(~equal)
         least = np.minimum.reduceat(early[order], heads) if len(heads) else early
         first = early[order] == np.repeat(least, np.diff(np.append(heads, len(order))))
-        later, open_ = order[~first], order[first & (runs[owner[order]] > 1)]
-        chosen = np.concatenate([later, open_])
-        strings = [None] * len(later) + [data[place[s] : place[s] + length].tobytes() for s in open_]
+        open_ = np.sort(order[first & (runs[owner[order]] > 1)])
+        # Neighbouring strings of a stretch that go together are one span.
+        later = np.sort(order[~first])
+        later = later[np.lexsort((start[later], owner[later]))]
+        joins = (owner[later[1:]] == owner[later[:-1]]) & (start[later[1:]] == start[later[:-1]] + 1)
+        head = np.flatnonzero(np.append(True, ~joins)[: len(later)])
+        last = later[np.append(head[1:], len(later)) - 1] if len(head) else later
+        chosen = np.concatenate([later[head], open_])
+        ends = np.concatenate([start[last], start[open_]]) + length
+        strings = [None] * len(head) + [data[place[s] : place[s] + length].tobytes() for s in open_]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[chosen]), pa.array(part[chosen]), pa.array(start[chosen].astype(np.int32)),
-                pa.array(strings, pa.binary()),
+                pa.array(ends.astype(np.int32)), pa.array(strings, pa.binary()),
             ],
-            ["doc", "part", "first", "string"],
+            ["doc", "part", "first", "end", "string"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +317,7 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
                 held.append(batch)
                 size += batch.column("body").nbytes
                 batch = batch.slice(batch.num_rows)
-            if size < BLOCK_BYTES:
+            if size < SORT_BYTES:
                 continue
             table = pa.Table.from_batches(held)
             anchor, run = table["anchor"].to_numpy(), table["run"].to_numpy()
@@ -319,7 +329,7 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
             low = 0
             while low < cuts[-1]:
                 base = sizes[low - 1] if low else 0
-                fit = cuts[(cuts > low) & (sizes[cuts - 1] <= base + BLOCK_BYTES)]
+                fit = cuts[(cuts > low) & (sizes[cuts - 1] <= base + SORT_BYTES)]
                 high = int(fit[-1]) if len(fit) else int(cuts[cuts > low][0])
                 yield solve(table.slice(low, high - low))
                 low = high
@@ -328,7 +338,7 @@ def _sorted_runs(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(scan, "doc long, part long, first int, string binary")
+    return rows.mapInArrow(scan, "doc long, part long, first int, end int, string binary")
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -418,13 +428,14 @@ def remove_repeats(
     runs = different.join(classes, "anchor").select(
         "anchor", F.pmod(F.xxhash64("body"), "runs").alias("run"), "runs", "body", "low.doc", "low.part", "low.first"
     )
-    dealt = runs.repartition("anchor", "run").sortWithinPartitions("anchor", "run")
+    dealt = hashed(runs, "anchor", "run").sortWithinPartitions("anchor", "run")
     strings = written(_sorted_runs(dealt, length), "strings")
     several = strings.where("string IS NOT NULL")
     merged = several.groupBy("string").agg(early)
     again = several.join(merged, "string").where(F.struct("doc", "part", "first") != F.col("low"))
-    single = strings.where("string IS NULL").select("doc", "part", "first").unionByName(again.select("doc", "part", "first"))
-    spans = same.unionByName(copied).unionByName(single.withColumn("end", F.col("first") + length))
+    columns = ["doc", "part", "first", "end"]
+    later = strings.where("string IS NULL").select(*columns).unionByName(again.select(*columns))
+    spans = same.unionByName(copied).unionByName(later)
 
     by_row = written(spans.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
     dropped(different, strings, copied, same)
