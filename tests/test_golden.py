@@ -263,10 +263,12 @@ def test_short_trajectories_give_no_sample(checkins):
 
 
 def test_metadata_document(checkins):
-    [row] = corpus.corpus_metadata(checkins(_visits())).collect()
-    assert row["valid_place_names"] == ["a", "b", "x"] and row["valid_place_types"] == ["T"]
-    assert (row["total_samples"], row["total_users"], row["total_trajectories"]) == (1, 1, 1)
-    [texts] = corpus.allow_list_texts(corpus.corpus_metadata(checkins(_visits()))).collect()
+    parts = {(r["kind"], r["chunk"]): r["values"] or r["total"] for r in corpus.corpus_metadata(checkins(_visits()), 2).collect()}
+    assert parts == {
+        ("place_name", 0): ["a", "b"], ("place_name", 1): ["x"], ("place_type", 0): ["T"],
+        ("total_samples", 0): 1, ("total_users", 0): 1, ("total_trajectories", 0): 1,
+    }
+    [texts] = corpus.allow_list_texts(corpus.corpus_metadata(checkins(_visits()), 2)).collect()
     assert texts["place_names"] == '["a","b","x"]'
 
 
@@ -323,6 +325,17 @@ def test_node_vectors_match_long_form(spark):
     assert dense == vectors
 
 
+def test_node_vectors_keep_nodes_without_category(spark):
+    rows = [("a", 5, 30, 1.0, 2.0), ("b", 7, None, 3.0, 4.0), ("c", 1, 4, None, 6.0)]
+    nodes = spark.createDataFrame(
+        rows, "node string, checkin_cnt long, POI_catid_code int, latitude double, longitude double"
+    )
+    vectors = {r["node"]: list(r["features"].toArray()) for r in features.node_vectors(nodes).collect()}
+    assert vectors["a"] == [5, 0, 1, 1, 2] and vectors["b"] == [7, 0, 0, 3, 4]
+    assert vectors["c"][:3] == [1, 1, 0] and math.isnan(vectors["c"][3])
+    assert features.node_vectors(nodes.filter("node = 'b'")).count() == 1
+
+
 def test_zscore_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "x double, y double")
     out, means, deviations = features.zscore(df, ["x", "y"])
@@ -335,6 +348,10 @@ def test_clusters_and_time_features(checkins):
     df = features.location_clusters(checkins(rows), k=3)
     sizes = df.groupBy("location_cluster").count().collect()
     assert sorted(r["count"] for r in sizes) == [10, 10, 10]
+    lost = features.location_clusters(checkins([*rows, {"latitude": None}, {"longitude": None}]), k=3)
+    assert lost.count() == 32 and lost.filter("location_cluster IS NULL").count() == 2
+    assert features.location_clusters(checkins([{"latitude": None}]), k=3).first()["location_cluster"] is None
+    assert features.location_clusters(checkins(rows).limit(0)).count() == 0
     times = ["2024-01-01 05:59:59", "2024-01-07 06:00:00", "2024-01-02 12:00:00", "2024-01-02 18:00:00", "bad", None]
     out = features.time_features(checkins([{"local_time": t} for t in times])).orderBy("row_pos").collect()
     assert [(r["hour"], r["weekday"], r["time_period"]) for r in out] == [
@@ -361,6 +378,26 @@ def test_fill_with_popular_places(spark, rows_of):
     assert rows_of(sequences.rank_next(steps, edges, 1)) == [("t", 0, "b", 0.75)]
 
 
+@pytest.mark.parametrize("hot_rows, at_once", [(None, 1 << 16), (1, 2)])
+def test_back_off_to_all_places(spark, rows_of, monkeypatch, hot_rows, at_once):
+    monkeypatch.setattr(sequences, "RANKS_AT_ONCE", at_once)
+    steps = spark.createDataFrame(
+        [("t", 0, "a"), ("t", 1, "z"), ("s", 0, "a"), ("s", 1, "a"), ("s", 2, "f")],
+        "trajectory_id string, step int, in_poi string",
+    )
+    edges = spark.createDataFrame([("a", "b", 3), ("a", "e", 1), ("f", "g", 2)], "src string, dst string, weight long")
+    popular = spark.createDataFrame(
+        [("b", 9), ("d", 5), ("e", 5), ("f", 1), ("g", 1), ("c", 7)], "node string, checkin_cnt long"
+    )
+    of_a = [("b", 0.75), ("e", 0.25), ("c", -1.0), ("d", -2.0), ("f", -3.0), ("g", -4.0)]
+    of_z = [("b", -1.0), ("c", -2.0), ("d", -3.0), ("e", -4.0), ("f", -5.0), ("g", -6.0)]
+    of_f = [("g", 1.0), ("b", -1.0), ("c", -2.0), ("d", -3.0), ("e", -4.0), ("f", -5.0)]
+    want = [(t, i, *x) for t, i, rows in (("t", 0, of_a), ("t", 1, of_z), ("s", 0, of_a), ("s", 1, of_a), ("s", 2, of_f)) for x in rows]
+    ranked = sequences.rank_next(steps, edges, popular=popular, hot_rows=hot_rows)
+    assert rows_of(ranked) == sorted(want, key=repr)
+    assert sequences.rank_next(steps, edges, popular=popular.limit(0), hot_rows=hot_rows).count() == 7
+
+
 def test_dense_export_fills_gaps(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "node string")
     edges = spark.createDataFrame([("a", "b", 3)], "src string, dst string, weight long")

@@ -1,5 +1,8 @@
 """Properties that hold for any input, edge cases, files and the named queries."""
 
+import json
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,8 @@ import __spark_entry__ as contract
 from check_queries import normalised
 from randomdata import random_rows
 from trajflow.operators import algebra, corpus, evaluate, features, flow, sequences, users
-from trajflow.session import scratch_dir, scratch_path
+from trajflow.plans import catalog
+from trajflow.session import kept, release, scratch_dir, scratch_path
 from trajflow.sources import io
 from trajflow.sources.schema import PLACE_ATTRIBUTES
 
@@ -54,7 +58,7 @@ def test_empty_and_single_inputs(checkins, spark):
     assert users.user_edges(empty).count() == 0
     assert users.cooccurrence_pairs(empty).count() == 0
     assert sequences.train_sequences(empty, vocab).count() == 0
-    assert corpus.corpus_metadata(empty).first()["valid_place_names"] == []
+    assert corpus.metadata_allow_lists(corpus.corpus_metadata(empty)).count() == 0
     one = checkins([{}])
     assert flow.flow_edges(one).count() == 0 and flow.flow_nodes(one).count() == 1
     assert users.user_edges(one).count() == 0
@@ -129,6 +133,14 @@ def test_corpus_files(checkins, spark, tmp_path, rows_of):
     metadata = corpus.corpus_metadata(df)
     io.write_metadata(metadata, f"{tmp_path}/metadata")
     assert rows_of(io.read_metadata(spark, f"{tmp_path}/metadata")) == rows_of(metadata)
+    io.write_metadata(corpus.corpus_metadata(df, 2), f"{tmp_path}/chunked")
+    assert rows_of(io.read_metadata(spark, f"{tmp_path}/chunked")) == rows_of(metadata)
+    [text] = [f for f in os.listdir(f"{tmp_path}/chunked") if f.endswith(".txt")]
+    with open(f"{tmp_path}/chunked/{text}") as file:
+        names = json.load(file)["valid_place_names"]
+    assert names == sorted(names) and len(names) > 2
+    io.write_metadata(corpus.corpus_metadata(df.limit(0)), f"{tmp_path}/empty")
+    assert io.read_metadata(spark, f"{tmp_path}/empty").filter("values IS NOT NULL OR total > 0").count() == 0
     prompts = corpus.render_prompts(samples)
     io.write_training_lines(prompts, f"{tmp_path}/lines")
     assert rows_of(io.read_training_lines(spark, f"{tmp_path}/lines")) == rows_of(prompts, "prompt", "completion")
@@ -151,7 +163,9 @@ def test_caller_scorer(checkins, spark):
 
 
 class _Session:
-    """The two things asked of a session, with a checkpoint folder or without."""
+    """What is asked of a session, with a checkpoint folder or without."""
+
+    master = "local[2]"
 
     def __init__(self, folder):
         self.folder = folder
@@ -161,6 +175,9 @@ class _Session:
     def get(self, name, default):
         return self.folder if name == "spark.checkpoint.dir" else default
 
+    def getCheckpointDir(self):
+        return None
+
 
 def test_scratch_folder_follows_the_session():
     assert scratch_path(_Session("hdfs://shared/"), "x").startswith("hdfs://shared/x-")
@@ -171,8 +188,8 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["src", "dst", "weight"]
 
 
-def test_every_query_but_two_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"location_clusters", "sample_rows"}
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.SQL) == set()
 
 
 @pytest.mark.parametrize(
@@ -199,3 +216,17 @@ def test_query_equals_sql(spark, name):
     want = con.sql(contract.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normalised(got) == normalised(want)
+
+
+def test_kept_tables_live_until_released(spark):
+    first = kept(spark.range(3), "three")
+    assert kept(spark.range(9), "three").count() == 3
+    [path] = {f.rsplit("/", 1)[0].removeprefix("file:") for f in first.inputFiles()}
+    assert os.path.isdir(path)
+    kept(spark.range(1), "one")
+    release(spark, "three")
+    assert not os.path.isdir(path) and kept(spark.range(9), "three").count() == 9
+    assert kept(spark.range(7), "one").count() == 1
+    release(spark)
+    assert kept(spark.range(2), "one").count() == 2
+    release(spark)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from randomdata import random_rows
-from trajflow.operators import corpus, evaluate, features, flow, ordered, pairs, sequences, users
+from trajflow.operators import algebra, corpus, evaluate, features, flow, ordered, pairs, sequences, users
 
 
 def _steps(rows, key):
@@ -286,20 +286,52 @@ def test_ordered_parts_equal_the_plain_window(spark, hot_rows):
         totals={"top": F.max("x"), "firstx": F.min_by("x", F.struct("a", "b"))},
         running={"sum_b": "b"},
     )
-    cuts = ordered.find_cuts(df, ["k"], ["a", "b"], hot_rows)
-    assert cuts is not None
+    hot = ordered.hot_keys(df, ["k"], hot_rows)
+    assert hot is not None
     plain = ordered.ordered(df, ["k"], ["a", "b"], **wanted)
-    parts = ordered.ordered(df, ["k"], ["a", "b"], cuts=cuts, **wanted)
+    parts = ordered.ordered(df, ["k"], ["a", "b"], hot=hot, **wanted)
     assert plain.columns == parts.columns
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, parts.collect()), key=repr)
 
 
-def test_find_cuts_leaves_small_keys_alone(spark):
+@pytest.mark.parametrize("first", [None, 7])
+def test_hot_rows_that_tie_in_the_first_order_column(spark, first):
+    """A constant first column, null keys and far more ranges than 63."""
+    df = spark.createDataFrame([(None if i % 2 else "k", first, i) for i in range(400)], "k string, a int, b int")
+    wanted = dict(previous={"before": "b"}, following={"after": "b"}, position="at", totals={"n": F.count("*")})
+    hot = ordered.hot_keys(df, ["k"], 3)
+    assert hot.agg(F.sum("_parts")).first()[0] == 134
+    parts = ordered.ordered(df, ["k"], ["a", "b"], hot=hot, **wanted)
+    plain = ordered.ordered(df, ["k"], ["a", "b"], **wanted)
+    assert sorted(map(tuple, parts.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    sizes = [r[0] for r in ordered.range_parts(df, ["k", "a", "b"], 134).groupBy("_part").count().select("count").collect()]
+    assert len(sizes) > 63 and max(sizes) < 40
+
+
+def test_hot_keys_leave_small_keys_alone(spark):
     df = spark.range(100).select(F.lit("a").alias("k"), F.col("id"))
-    assert ordered.find_cuts(df, ["k"], ["id"]) is None
-    assert ordered.find_cuts(df, ["k"], ["id"], 100) is None
-    [row] = ordered.find_cuts(df, ["k"], ["id"], 30).collect()
-    assert row["_cuts"] == sorted(row["_cuts"]) and len(row["_cuts"]) >= 3
+    assert ordered.hot_keys(df, ["k"]) is None
+    assert ordered.hot_keys(df, ["k"], 100) is None
+    assert ordered.hot_keys(df, ["k"], small_bytes=0) is None
+    [row] = ordered.hot_keys(df, ["k"], 30).collect()
+    assert (row["k"], row["_parts"]) == ("a", 4)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_quantiles_equal_a_sorted_list(spark, parts):
+    rng = random.Random(parts)
+    rows = [(key, rng.choice([None, *range(9)]), rng.randrange(1, 6)) for key in "ab" for _ in range(40)]
+    rows += [("one", 4.5, 1), ("none", None, 3)]
+    rows = [(k, None if v is None else float(v), n) for k, v, n in rows]
+    shares = [0.0, 0.2, 0.5, 0.77, 1.0]
+    counted = spark.createDataFrame(rows, "k string, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    got = {(r["k"], r["share"]): r["value"] for r in ordered.quantiles(counted, ["k"], shares, parts).collect()}
+    want = {}
+    for key in ("a", "b", "one"):
+        values = sorted(v for k, v, n in rows if k == key and v is not None for _ in range(n))
+        want |= {(key, s): float(np.quantile(values, s)) for s in shares}
+    assert got == pytest.approx(want)
+    assert ordered.quantiles(counted.limit(0), ["k"], shares, parts).count() == 0
 
 
 def test_dense_index_in_buckets(spark):
@@ -312,3 +344,58 @@ def test_dense_index_in_buckets(spark):
     assert ordered.dense_index(df.limit(0), ["value"], buckets=5).count() == 0
     two = ordered.dense_index(df, ["tag", "value"], buckets=6).collect()
     assert [r["tag"] for r in sorted(two, key=lambda r: r["idx"])] == sorted(v % 7 for v in values)
+
+
+@pytest.mark.parametrize("mode, skip, blocks", [("reference", True, 1), ("reference", False, 4), ("unordered", True, 3)])
+def test_nearest_users_equal_the_ranked_pair_table(checkins, rows_of, mode, skip, blocks):
+    df = checkins(random_rows(8, n=900, users=17))
+    table = users.user_similarity(users.cooccurrence_pairs(df, mode), users.user_activity(df))
+    columns = ["user_id", "neighbor", "similarity", "rk"]
+    found = users.nearest_users(df, 3, skip, mode, blocks=blocks)
+    assert rows_of(found, *columns) == rows_of(users.similar_users(table, 3, skip), *columns)
+    assert rows_of(users.nearest_users(df.limit(0), 3, skip, mode)) == []
+    # The window after the block tasks sees k rows a user and pair of blocks.
+    pairs_seen = users.cooccurrence_pairs(df, mode).count()
+    assert found.count() < 2 * pairs_seen
+
+
+@pytest.mark.parametrize("block", [1, 3, 32])
+def test_propagation_in_blocks(spark, block):
+    rng = random.Random(block)
+    cells = [(a, b, rng.uniform(-1, 1)) for a in range(6) for b in range(6) if rng.random() < 0.6]
+    vectors = [(n, [rng.uniform(-1, 1) for _ in range(7)]) for n in range(6)]
+    matrix = spark.createDataFrame(cells, "src int, dst int, value double")
+    features_ = spark.createDataFrame(vectors, "node int, vector array<double>")
+    got = {r["node"]: r["vector"] for r in algebra.propagate(matrix, features_, 7, block).collect()}
+    dense = np.zeros((6, 6))
+    for a, b, v in cells:
+        dense[a, b] = v
+    want = dense @ np.array([v for _, v in vectors])
+    assert got.keys() == {a for a, _, _ in cells}
+    for node, vector in got.items():
+        assert vector == pytest.approx(want[node].tolist())
+
+
+def test_iteration_and_eigenvalue_of_a_signed_graph(spark):
+    dense = np.array([[3.0, -1, 1], [-1, 3, 1], [2, 1, -1]])
+    edges = spark.createDataFrame(
+        [(i, j, float(dense[i, j])) for i in range(3) for j in range(3)], "src int, dst int, weight double"
+    )
+    nodes = spark.createDataFrame([(i,) for i in range(3)], "node int")
+    walk = dense / dense.sum(axis=1)[:, None]
+    start = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "node int, x double")
+    cells = algebra.hashed_cells(algebra.walk_matrix(edges, nodes, shift=1.0), nodes)
+    shifted = (walk + np.eye(3)) / 2
+    for steps in (1, 4, 7):
+        want = np.linalg.matrix_power(shifted, steps) @ [1, 2, 4]
+        got = {r["node"]: (r["x"], r["y"]) for r in algebra.iterate(cells, start, steps, 3).collect()}
+        unit = want / np.linalg.norm(want)
+        assert [got[i][0] for i in range(3)] == pytest.approx(unit.tolist())
+        assert [got[i][1] for i in range(3)] == pytest.approx((shifted @ unit).tolist())
+    top = max(np.linalg.eigvals(walk).real)
+    assert algebra.dominant_eigenvalue(edges, nodes) == pytest.approx(top, abs=1e-5)
+    scaled = algebra.laplacian(edges, nodes, "wid_rw_normd_lap_mat", lambda_max=top).collect()
+    want = 2 * (np.eye(3) - walk) / top - np.eye(3)
+    assert {(r["src"], r["dst"]): r["value"] for r in scaled} == pytest.approx(
+        {(i, j): want[i, j] for i in range(3) for j in range(3)}
+    )

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,16 +45,15 @@ def laplacian(
     ``com_lap_mat`` is ``D - A``, ``hat_rw_normd_lap_mat`` ``(D+I)^-1 (A+I)`` and
     ``wid_rw_normd_lap_mat`` ``2 (I - D^-1 A) / lambda - I``. ``D^-1 A`` has rows
     that sum to 1, so its largest eigenvalue is 1 as long as weights are not
-    negative; for other graphs pass :func:`dominant_eigenvalue`.
+    negative; for other graphs pass :func:`dominant_eigenvalue` as ``lambda_max``.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown matrix kind: {kind}")
-    # One pass over the edges: every node adds an empty diagonal cell, and the
-    # cells of a source (at most one per node) meet in one place.
+    # Every node adds an empty diagonal cell. Row sums are partial sums joined back, so a hub's cells never meet.
     diagonal = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"))
     stored = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
-    cells = stored.unionByName(diagonal).repartition("src").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    summed = cells.withColumn("d", F.sum("w").over(Window.partitionBy("src")))
+    cells = stored.unionByName(diagonal).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    summed = cells.join(cells.groupBy("src").agg(F.sum("w").alias("d")), "src")
     on_diagonal, w, d = F.col("src") == F.col("dst"), F.col("w"), F.col("d")
     if kind == "com_lap_mat":
         value = F.when(on_diagonal, d).otherwise(0.0) - w
@@ -66,58 +65,114 @@ def laplacian(
     return summed.select("src", "dst", value.alias("value"))
 
 
+def walk_matrix(edges: DataFrame, nodes: DataFrame, weight: str = "weight", shift: float = 0.0) -> DataFrame:
+    """``src, dst, value`` of ``(D^-1 A + shift I) / (1 + shift)``; the eigenvectors are those of ``D^-1 A``."""
+    deg = row_sums(edges, nodes, weight).withColumnRenamed("node", "src")
+    share = F.col(weight).cast("double") / _nonzero(F.col("deg"), F.col("src")) / (1 + shift)
+    cells = edges.join(deg, "src").select("src", "dst", share.alias("value"))
+    if not shift:
+        return cells
+    own = nodes.select(
+        F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(shift / (1 + shift)).alias("value")
+    )
+    return cells.unionByName(own)
+
+
+def hashed_cells(matrix: DataFrame, nodes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The matrix hashed by ``dst`` and checkpointed, with an empty diagonal cell for every node."""
+    n = partitions or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    empty = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("value"))
+    return cut_lineage(matrix.select("src", "dst", "value").unionByName(empty).repartition(n, "dst"))
+
+
+def _step(cells: DataFrame, vector: DataFrame) -> DataFrame:
+    moved = cells.join(vector.select(F.col("node").alias("dst"), "x"), "dst")
+    return moved.groupBy(F.col("src").alias("node")).agg(F.sum(F.col("value") * F.col("x")).alias("x"))
+
+
+def iterate(cells: DataFrame, start: DataFrame, steps: int, per_checkpoint: int = 5) -> DataFrame:
+    """``node, x, y``: ``start`` (``node, x``) multiplied ``steps`` times, at length 1, and its image ``y``.
+
+    ``cells`` are :func:`hashed_cells`: a step joins the vector where the matrix
+    lies and moves partial sums by ``src`` only, which is where the next step
+    needs them. ``per_checkpoint`` steps are one job, whose result is written
+    to the shared folder; only its length reaches the driver.
+    """
+    vector = start.select("node", F.col("x").cast("double").alias("x"))
+    done = 0
+    while done < steps:
+        todo = min(per_checkpoint, steps - done)
+        for _ in range(todo):
+            vector = _step(cells, vector)
+        vector, done = cut_lineage(vector), done + todo
+        length = vector.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+        if not length:
+            break
+        vector = vector.select("node", (F.col("x") / length).alias("x"))
+    return cut_lineage(vector.join(_step(cells, vector).withColumnRenamed("x", "y"), "node"))
+
+
+def eigenpair(found: DataFrame, shift: float = 0.0) -> DataFrame:
+    """``value, residual`` of :func:`iterate` over a matrix with ``shift``: the Rayleigh quotient and its error."""
+    x, y = F.col("x"), F.col("y")
+    unit = found.agg(F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
+    share = F.try_divide(F.col("xy"), F.col("xx"))
+    rest = F.try_divide(F.col("yy"), F.col("xx")) - share * share
+    return unit.select(
+        (share * (1 + shift) - shift).alias("value"),
+        (F.sqrt(F.greatest(F.lit(0.0), rest)) * (1 + shift)).alias("residual"),
+    )
+
+
 def dominant_eigenvalue(
     edges: DataFrame,
     nodes: DataFrame,
     weight: str = "weight",
     iterations: int = 100,
-    tolerance: float = 1e-9,
+    tolerance: float = 1e-6,
+    per_checkpoint: int = 5,
 ) -> float:
-    """Largest eigenvalue of ``D^-1 A`` by power iteration.
+    """Largest eigenvalue of ``D^-1 A``, for ``laplacian(..., lambda_max=...)``.
 
-    Steps use ``(D^-1 A + I) / 2``, whose vector settles on periodic graphs too. A
-    vector that doesn't settle (residual over 1e-4) within ``iterations`` is an error.
-
-    Every step is one join and one aggregation; the vector is checkpointed in
-    the shared folder, and only its norm reaches the driver.
+    The matrix is shifted by 1, so its vector settles on periodic graphs too.
+    Blocks of ``per_checkpoint`` steps go on until the residual is under
+    ``tolerance``; more than ``iterations`` steps are an error.
     """
-    deg = row_sums(edges, nodes, weight).withColumnRenamed("node", "src")
-    share = F.col(weight).cast("double") / _nonzero(F.col("deg"), F.col("src"))
-    matrix = cut_lineage(edges.join(deg, "src").select("src", "dst", share.alias("p")))
+    cells = hashed_cells(walk_matrix(edges, nodes, weight, 1.0), nodes)
     # A start vector with different entries, so that no symmetry hides the answer.
     vector = nodes.select("node", (1 + F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0).alias("x"))
-    value = 0.0
-    for _ in range(iterations):
-        norm = vector.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        if not norm:
+    done, value, residual = 0, None, None
+    while done < iterations:
+        found = iterate(cells, vector, min(per_checkpoint, iterations - done), per_checkpoint)
+        value, residual = eigenpair(found, 1.0).first()
+        if value is None:
             return 0.0
-        unit = vector.select("node", (F.col("x") / norm).alias("x"))
-        moved = (
-            matrix.join(unit.withColumnRenamed("node", "dst"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.sum(F.col("p") * F.col("x")).alias("y"))
-        )
-        both = unit.join(moved, "node", "left").fillna(0.0, ["y"])
-        both = cut_lineage(both.select("node", "x", ((F.col("x") + F.col("y")) / 2).alias("y")))
-        half, square = both.agg(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
-        latest, residual = 2 * half - 1, max(0.0, square - half * half) ** 0.5
-        vector = both.select("node", F.col("y").alias("x"))
-        if abs(latest - value) < tolerance and residual < 1e-4:
-            return latest
-        value = latest
+        if residual < tolerance:
+            return value
+        vector, done = found.select("node", F.col("y").alias("x")), done + per_checkpoint
     raise ArithmeticError(f"no eigenvalue after {iterations} steps: {value}, residual {residual}")
 
 
-def propagate(matrix: DataFrame, features: DataFrame, dim: int) -> DataFrame:
-    """``node, vector``: each node's weighted sum of the vectors its cells point to."""
-    columns = [f"_x{i}" for i in range(dim)]
-    parts = features.select(
-        F.col("node").alias("dst"),
-        *[F.col("vector")[i].cast("double").alias(c) for i, c in enumerate(columns)],
+def propagate(matrix: DataFrame, features: DataFrame, dim: int, block: int = 32) -> DataFrame:
+    """``node, vector``: each node's weighted sum of the vectors its cells point to.
+
+    A vector is cut into rows of ``block`` dimensions, so a step has as many
+    sums at any width; the blocks of a node are put together at the end.
+    """
+    width = min(block, dim)
+    columns = [f"_x{i}" for i in range(width)]
+    count = -(-dim // width)
+    cuts = F.array(*[F.struct(F.lit(b).alias("_b"), F.slice("vector", b * width + 1, width).alias("_v")) for b in range(count)])
+    parts = features.select(F.col("node").alias("dst"), F.inline(cuts)).select(
+        "dst", "_b", *[F.get("_v", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)]
     )
     sums = [F.sum(F.col("value") * F.col(c)).alias(c) for c in columns]
-    summed = matrix.join(parts, "dst").groupBy(F.col("src").alias("node")).agg(*sums)
-    return summed.select("node", F.array(*columns).alias("vector"))
+    summed = matrix.join(parts, "dst").groupBy(F.col("src").alias("node"), "_b").agg(*sums)
+    if count == 1:
+        return summed.select("node", F.array(*columns).alias("vector"))
+    blocks = F.sort_array(F.collect_list(F.struct("_b", F.array(*columns).alias("_v"))))
+    joined = summed.groupBy("node").agg(blocks.alias("_l"))
+    return joined.select("node", F.slice(F.flatten(F.col("_l._v")), 1, dim).alias("vector"))
 
 
 def linear(features: DataFrame, weights: Sequence[Sequence[float]]) -> DataFrame:
@@ -142,12 +197,11 @@ def gcn_forward(
     Leaky ReLU follows every layer but the last.
     """
     for depth, (weights, bias) in enumerate(layers):
-        dim = len(bias)
-        summed = propagate(matrix, linear(features, weights), dim)
-        out = [F.col("vector")[i] + F.lit(float(b)) for i, b in enumerate(bias)]
+        summed = propagate(matrix, linear(features, weights), len(bias))
+        shifted = F.zip_with("vector", F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b)
         if depth < len(layers) - 1:
-            out = [leaky_relu(x, slope) for x in out]
-        features = summed.select("node", F.array(*out).alias("vector"))
+            shifted = F.transform(shifted, lambda x: leaky_relu(x, slope))
+        features = summed.select("node", shifted.alias("vector"))
     return features
 
 

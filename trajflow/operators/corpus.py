@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajflow.functions.text import parse_prediction, two_decimals, two_decimals_each
 from trajflow.operators.flow import ROW_ORDER
-from trajflow.operators.ordered import find_cuts, ordered
+from trajflow.operators.ordered import dense_index, hot_keys, ordered
 
 SAMPLE_KEYS = ["user_id", "trajectory_id"]
 SHORTEST = 2
@@ -65,10 +65,10 @@ def corpus_points(
         F.col("norm_in_day_time").alias("time_of_day"),
         "_kept",
     )
-    cuts = find_cuts(df.select(*SAMPLE_KEYS, *along), SAMPLE_KEYS, along, hot_rows)
+    hot = hot_keys(df.select(*SAMPLE_KEYS, *along), SAMPLE_KEYS, hot_rows)
     context = {"_context": F.max_by(F.struct("day_of_week", "time_of_day"), F.struct(*along))}
-    kept = ordered(rows, SAMPLE_KEYS, along, totals=context, cuts=cuts).filter("_kept")
-    numbered = ordered(kept, SAMPLE_KEYS, along, position="pos", size="n", cuts=cuts)
+    kept = ordered(rows, SAMPLE_KEYS, along, totals=context, hot=hot).filter("_kept")
+    numbered = ordered(kept, SAMPLE_KEYS, along, position="pos", size="n", hot=hot)
     return numbered.filter(F.col("n") >= SHORTEST).select(
         *SAMPLE_KEYS,
         "pos",
@@ -203,44 +203,53 @@ def corpus_totals(df: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def corpus_metadata(df: DataFrame) -> DataFrame:
-    """The one-row metadata document: sorted allow-lists and totals.
+#: Allow-list entries in one row of the metadata.
+CHUNK = 1_000
+TOTALS = ("total_samples", "total_users", "total_trajectories")
 
-    The lists are the vocabulary of place names and types, which the document
-    exists to spell out.
+
+def corpus_metadata(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The metadata document in parts: ``kind, chunk, values, total``.
+
+    The sorted allow-lists come in numbered rows of at most ``chunk`` values,
+    the totals in one row each; only ``write_metadata`` joins them.
     """
-    lists = allow_lists(df).withColumn("_k", F.lit(0))
-    names = F.sort_array(F.collect_list(F.when(F.col("kind") == "place_name", F.col("value"))))
-    types = F.sort_array(F.collect_list(F.when(F.col("kind") == "place_type", F.col("value"))))
-    listed = lists.groupBy("_k").agg(names.alias("valid_place_names"), types.alias("valid_place_types"))
-    totals = corpus_totals(df).withColumn("_k", F.lit(0)).groupBy("_k")
-    totals = totals.pivot("total", ["total_samples", "total_users", "total_trajectories"]).agg(F.first("value"))
-    return totals.join(listed, "_k", "left").select(
-        F.coalesce("valid_place_names", F.array().cast("array<string>")).alias("valid_place_names"),
-        F.coalesce("valid_place_types", F.array().cast("array<string>")).alias("valid_place_types"),
-        "total_samples",
-        "total_users",
-        "total_trajectories",
+    listed = dense_index(allow_lists(df), ["kind", "value"], "_i")
+    first = listed.groupBy("kind").agg(F.min("_i").alias("_first"))
+    placed = listed.join(first, "kind").withColumn("chunk", F.floor((F.col("_i") - F.col("_first")) / chunk).cast("int"))
+    parts = placed.groupBy("kind", "chunk").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    none = F.lit(None)
+    lists = parts.select("kind", "chunk", "values", none.cast("long").alias("total"))
+    totals = corpus_totals(df).select(
+        F.col("total").alias("kind"), F.lit(0).alias("chunk"), none.cast("array<string>").alias("values"),
+        F.col("value").alias("total"),
     )
+    return lists.unionByName(totals)
 
 
 def metadata_allow_lists(metadata: DataFrame) -> DataFrame:
-    """``kind, value`` rows of a metadata document."""
-    names = metadata.select(F.lit("place_name").alias("kind"), F.explode("valid_place_names").alias("value"))
-    types = metadata.select(F.lit("place_type").alias("kind"), F.explode("valid_place_types").alias("value"))
-    return names.unionByName(types)
+    """``kind, value`` rows of the metadata."""
+    return metadata.select("kind", F.explode("values").alias("value"))
 
 
 def allow_list_texts(metadata: DataFrame) -> DataFrame:
-    """The two allow-lists as JSON text for a prompt."""
-    return metadata.select(
-        F.to_json("valid_place_names").alias("place_names"), F.to_json("valid_place_types").alias("place_types")
+    """The two allow-lists as JSON text for a prompt; one text each is the result."""
+
+    def text(kind: str) -> Column:
+        inner = F.regexp_extract(F.to_json("values"), r"(?s)^\[(.*)\]$", 1)
+        mine = F.when(F.col("kind") == kind, F.struct("chunk", inner.alias("text")))
+        ordered_ = F.transform(F.array_sort(F.collect_list(mine)), lambda c: c["text"])
+        return F.concat(F.lit("["), F.array_join(ordered_, ","), F.lit("]"))
+
+    return metadata.filter(F.col("values").isNotNull()).agg(
+        text("place_name").alias("place_names"), text("place_type").alias("place_types")
     )
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
     """``n`` rows without replacement (all, if fewer), the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(drawn, *keys).limit(n)
 
 
 def score_predictions(
@@ -272,3 +281,8 @@ def accuracy(scored: DataFrame) -> DataFrame:
     counts = scored.agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
     ratio = F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double"))
     return counts.withColumn("accuracy", F.coalesce(ratio, F.lit(0.0)))
+
+
+def failures(scored: DataFrame, prompts: DataFrame, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
+    """Wrong answers of :func:`score_predictions` with the ``prompt`` and expected ``completion`` of their sample."""
+    return scored.filter(~F.col("correct")).join(prompts.select(*keys, "prompt", "completion"), list(keys), "left")

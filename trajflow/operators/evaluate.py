@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajflow.operators.ordered import find_cuts, ordered
+from trajflow.operators.ordered import hot_keys, ordered
 
 CUTOFFS = (1, 5, 10, 20)
 LIST_LENGTH = 20
@@ -122,28 +122,19 @@ def metrics_last_step(
     """
     if min(*cutoffs, k) < 1:
         raise ValueError("k must be at least 1")
-    last = labels.groupBy("traj_id").agg(F.max("step").alias("step"), F.max_by("item", "step").alias("_label"))
-    best = Window.partitionBy("traj_id", "step").orderBy(F.desc("score"), "item")
-    is_label = F.col("item") == F.col("_label")
-    # At most k + 1 rows of a trajectory go on.
-    listed = (
-        last.join(scores, ["traj_id", "step"])
-        .withColumn("_rk", F.row_number().over(best))
-        .filter((F.col("_rk") <= k) | is_label)
-    )
+    last = labels.groupBy("traj_id").agg(F.max("step").alias("step"), F.max_by("item", "step").alias("item"))
+    stats = label_stats(scores, last).select("traj_id", "rank")
+    # Only k rows of a trajectory leave the tasks that hold its candidates.
+    listed = top_k(scores.join(last.select("traj_id", "step"), ["traj_id", "step"], "left_semi"), k)
     relevant = labels.select("traj_id", "item", F.lit(True).alias("_relevant")).distinct()
-    gain = F.when(F.col("_relevant") & (F.col("_rk") <= k), 1.0 / F.log2(F.col("_rk") + 1))
+    gain = 1.0 / F.log2(F.col("rk") + 1)
     found = (
-        listed.join(relevant, ["traj_id", "item"], "left")
+        listed.join(relevant, ["traj_id", "item"])
         .groupBy("traj_id")
-        .agg(
-            F.max(F.when(is_label, F.col("_rk"))).alias("rank"),
-            F.sum(gain).alias("_dcg"),
-            F.count(gain).alias("_hits"),
-        )
+        .agg(F.sum(gain).alias("_dcg"), F.count("*").alias("_hits"))
     )
     sizes = relevant.groupBy("traj_id").agg(F.count("*").alias("_size"))
-    joined = sizes.join(found, "traj_id", "left").fillna(0, ["_dcg", "_hits"])
+    joined = sizes.join(stats, "traj_id", "left").join(found, "traj_id", "left").fillna(0, ["_dcg", "_hits"])
     ideal, total = [], 0.0
     for r in range(1, k + 1):
         total += 1.0 / math.log2(r + 1)
@@ -210,14 +201,14 @@ def running_metrics(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Per batch the mean of all batches of the epoch so far."""
-    cuts = find_cuts(batches.select(*keys, batch), list(keys), [batch], hot_rows)
+    hot = hot_keys(batches.select(*keys, batch), list(keys), hot_rows)
     sums = ordered(
         batches.select(*keys, batch, *columns),
         list(keys),
         [batch],
         position="_at",
         running={f"_sum_{c}": c for c in columns},
-        cuts=cuts,
+        hot=hot,
     )
     means = [(F.col(f"_sum_{c}") / (F.col("_at") + 1)).alias(c) for c in columns]
     return sums.select(*keys, batch, *means)

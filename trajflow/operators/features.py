@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trajflow.functions.expressions import time_period
 from trajflow.operators.flow import ROW_ORDER
 from trajflow.operators.ordered import dense_index
+from trajflow.session import cut_lineage
 
 
 def build_vocab(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
@@ -51,17 +52,47 @@ def time_features(df: DataFrame, column: str = "local_time") -> DataFrame:
     )
 
 
-def location_clusters(df: DataFrame, k: int = 60, seed: int = 42) -> DataFrame:
-    """Append ``location_cluster`` from k-means over latitude and longitude.
+def cluster_centres(df: DataFrame, k: int = 60, seed: int = 42, iterations: int = 20) -> DataFrame:
+    """``location_cluster, latitude, longitude``: centres of a weighted k-means over the places of ``df``.
 
-    Every row stays, with a null cluster where a coordinate is missing.
+    Equal coordinates are one point that weighs as many rows, and the points
+    are kept in the shared folder: the fit passes over them, not over the rows
+    and what they were made from. No complete coordinates give no centres.
     """
+    place = df.dropna(subset=["latitude", "longitude"]).groupBy("latitude", "longitude").agg(F.count("*").alias("n"))
+    place = cut_lineage(place.withColumn("n", F.col("n").cast("double")))
+    schema = "location_cluster int, latitude double, longitude double"
+    if place.isEmpty():
+        return df.sparkSession.createDataFrame([], schema)
     assembler = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="_point")
-    points = assembler.transform(df.dropna(subset=["latitude", "longitude"]))
-    means = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="location_cluster")
-    labelled = means.fit(points).transform(points).drop("_point")
-    lost = df.where(F.col("latitude").isNull() | F.col("longitude").isNull())
-    return labelled.unionByName(lost.withColumn("location_cluster", F.lit(None).cast("int")))
+    means = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_point", weightCol="n")
+    centres = means.fit(assembler.transform(place)).clusterCenters()
+    rows = [(i, float(c[0]), float(c[1])) for i, c in enumerate(centres)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def assign_clusters(df: DataFrame, centres: DataFrame) -> DataFrame:
+    """Append ``location_cluster``, the nearest of at most some hundred ``centres`` (ties to the smaller number).
+
+    Every row stays, with a null cluster where a coordinate is missing. The
+    nearest centre is found once for every distinct place.
+    """
+    listed = centres.select(F.lit(0).alias("_all"), F.struct("location_cluster", "latitude", "longitude").alias("c"))
+    listed = listed.groupBy("_all").agg(F.collect_list("c").alias("_c"))
+    place = df.dropna(subset=["latitude", "longitude"]).select("latitude", "longitude").distinct()
+
+    def away(c):
+        return F.pow(c["latitude"] - F.col("latitude"), 2) + F.pow(c["longitude"] - F.col("longitude"), 2)
+
+    ranked = F.transform("_c", lambda c: F.struct(away(c).alias("d"), c["location_cluster"].alias("i")))
+    known = place.withColumn("_all", F.lit(0)).join(listed, "_all")
+    known = known.select("latitude", "longitude", F.array_min(ranked)["i"].alias("location_cluster"))
+    return df.join(known, ["latitude", "longitude"], "left").select(*df.columns, "location_cluster")
+
+
+def location_clusters(df: DataFrame, k: int = 60, seed: int = 42) -> DataFrame:
+    """Append ``location_cluster`` from k-means over latitude and longitude; see :func:`assign_clusters`."""
+    return assign_clusters(df, cluster_centres(df, k, seed))
 
 
 def node_features(nodes: DataFrame, category: str = "POI_catid_code") -> DataFrame:
@@ -82,14 +113,20 @@ def node_features(nodes: DataFrame, category: str = "POI_catid_code") -> DataFra
 
 
 def node_vectors(nodes: DataFrame, category: str = "POI_catid_code") -> DataFrame:
-    """``node, features``: the same matrix as sparse ML vectors."""
-    coded = encode(nodes, build_vocab(nodes, category), category, "_cat", "inner")
-    encoder = OneHotEncoder(inputCols=["_cat"], outputCols=["_onehot"], dropLast=False)
-    coded = coded.withColumn("_cat", F.col("_cat").cast("double"))
+    """``node, features``: the same matrix as sparse ML vectors.
+
+    A node without category has no one-hot cell, a missing coordinate is NaN.
+    """
+    vocab = build_vocab(nodes, category)
+    # The encoder learns the number of categories from the vocabulary; the one behind the last stands for none.
+    encoder = OneHotEncoder(inputCols=["_cat"], outputCols=["_onehot"], dropLast=True, handleInvalid="keep")
+    model = encoder.fit(vocab.select(F.col("idx").cast("double").alias("_cat")))
+    none = F.lit(float(model.categorySizes[0]))
+    coded = encode(nodes, vocab, category, "_cat").withColumn("_cat", F.coalesce(F.col("_cat").cast("double"), none))
     assembler = VectorAssembler(
-        inputCols=["checkin_cnt", "_onehot", "latitude", "longitude"], outputCol="features"
+        inputCols=["checkin_cnt", "_onehot", "latitude", "longitude"], outputCol="features", handleInvalid="keep"
     )
-    return assembler.transform(encoder.fit(coded).transform(coded)).select("node", "features")
+    return assembler.transform(model.transform(coded)).select("node", "features")
 
 
 def zscore(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[float], list[float]]:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajflow.functions.expressions import arc_km, distance_reward
-from trajflow.operators.ordered import dense_index, find_cuts, ordered
+from trajflow.operators.ordered import dense_index, hot_keys, ordered, quantiles
+from trajflow.session import cut_lineage
 
 ROW_ORDER = ("row_pos",)
 PERCENTILES = (0, 20, 40, 60, 80, 100)
@@ -61,8 +62,8 @@ def transitions(
     before = {"_src": key, "_trajectory": "trajectory_id"}
     if formula:
         before |= {"_lat": "latitude", "_lon": "longitude"}
-    cuts = find_cuts(rows, ["user_id"], order, hot_rows)
-    steps = ordered(rows, ["user_id"], order, previous=before, cuts=cuts).filter(
+    hot = hot_keys(rows, ["user_id"], hot_rows)
+    steps = ordered(rows, ["user_id"], order, previous=before, hot=hot).filter(
         (F.col("_trajectory") == F.col("trajectory_id"))
         & F.col("_src").isNotNull()
         & F.col(key).isNotNull()
@@ -108,34 +109,34 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(counted, "node", "left").fillna(0, ["degree"])
 
 
-def _summary() -> list[Column]:
-    """Mean and interpolated percentiles of values ``v`` that occur ``n`` times."""
-    shares = F.array(*[F.lit(p / 100) for p in PERCENTILES])
-    known = F.when(F.col("v").isNotNull(), F.col("n"))
-    return [
-        F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"),
-        F.percentile("v", shares, F.col("n")).alias("p"),
-    ]
-
-
 def _stat_rows(total: Column | None = None) -> Column:
     rows = [F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("value"))]
-    rows += [
-        F.struct(F.lit(f"p{p}").alias("stat"), F.col("p")[i].alias("value")) for i, p in enumerate(PERCENTILES)
-    ]
+    rows += [F.struct(F.lit(f"p{p}").alias("stat"), F.col(f"p{p}").alias("value")) for p in PERCENTILES]
     if total is not None:
         rows.append(F.struct(F.lit("count").alias("stat"), total.alias("value")))
     return F.inline(F.array(*rows))
 
 
+def _summaries(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, total and percentiles of values ``v`` that occur ``n`` times, per key."""
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    means = counted.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("mean"), F.sum("n").alias("total")
+    )
+    picked = quantiles(counted, keys, [p / 100 for p in PERCENTILES]).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("share") == p / 100, F.col("value"))).alias(f"p{p}") for p in PERCENTILES]
+    )
+    return means.join(picked, keys, "left")
+
+
 def spread(df: DataFrame, value: str) -> DataFrame:
     """``stat, value``: mean and linearly interpolated percentiles of a column.
 
-    Values are counted before they are brought together; degrees and step
-    counts have few distinct values (their sum is bounded by the table's rows).
+    Equal values are counted first; :func:`quantiles` selects among the counts.
     """
-    counted = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    return counted.agg(*_summary()).select(_stat_rows())
+    counted = cut_lineage(df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    return one.join(_summaries(counted.withColumn("_all", F.lit(0)), ["_all"]), "_all", "left").select(_stat_rows())
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:
@@ -161,11 +162,10 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, weight: str = "weight") -> D
         F.when(is_node, F.col("ends").cast("double")).otherwise(F.col("w")).alias("v"),
         F.when(is_node, F.lit(1)).otherwise(F.col("ends")).alias("n"),
     )
-    shared = values.groupBy("measure", "v").agg(F.sum("n").alias("n"))
-    stats = shared.groupBy("measure").agg(*_summary(), F.sum("n").cast("double").alias("total"))
+    shared = cut_lineage(values.groupBy("measure", "v").agg(F.sum("n").cast("long").alias("n")))
     measures = F.explode(F.array(F.lit("degree"), F.lit("weight"))).alias("measure")
-    named = edges.sparkSession.range(1).select(measures).join(stats, "measure", "left")
-    return named.select("measure", _stat_rows(F.coalesce("total", F.lit(0.0))))
+    named = edges.sparkSession.range(1).select(measures).join(_summaries(shared, ["measure"]), "measure", "left")
+    return named.select("measure", _stat_rows(F.coalesce(F.col("total").cast("double"), F.lit(0.0))))
 
 
 def node_index(nodes: DataFrame, node: str = "node", buckets: int | None = None) -> DataFrame:

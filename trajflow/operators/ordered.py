@@ -1,78 +1,59 @@
-"""Neighbours, positions and group totals of ordered rows, safe for hot keys.
-
-A window sends every row of a key to one task. A key that holds a large share
-of the table is therefore cut, along its order, into parts of bounded size;
-each part runs as an ordinary window, and a summary of one row per part (first
-row, last row, row count) stitches the parts together. The result is the same
-as that of the plain window, wherever the cuts fall.
+"""Neighbours, positions, group totals, numbers and quantiles of ordered rows, safe for hot keys.
+
+A window sends every row of a key to one task. The rows of a key that holds a
+large share of the table are therefore ranged along key and order by the
+engine's own range partitioning; each range of a key runs as an ordinary
+window, and a summary of one row per range (first row, last row, row count)
+stitches them together. The result is the same as that of the plain window,
+wherever the ranges end, since rows equal in all order columns share one.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajflow.session import estimated_bytes
+from trajflow.session import cut_lineage, estimated_bytes
 
-# Tables under this size hold no key too large for one task.
-CHECK_BYTES = 256 << 20
-# Rows one task orders comfortably.
+#: Rows of a key that one task orders comfortably; the default of ``hot_rows``.
 HOT_ROWS = 5_000_000
-# Bounds of the table of cuts, which is broadcast.
-MAX_PARTS = 1_000
-MAX_HOT_KEYS = 5_000
-SAMPLE_PER_CUT = 16
-# Tables under this size are numbered by one task.
-INDEX_BYTES = 64 << 20
+#: Tables under this size are taken to have no such key, and are numbered by one task; a default too.
+SMALL_BYTES = 256 << 20
 
 
-def is_small(df: DataFrame, limit: int = CHECK_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     size = estimated_bytes(df)
     return size is not None and size < limit
 
 
-def find_cuts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int | None = None, small_bytes: int = SMALL_BYTES
 ) -> DataFrame | None:
-    """One row per hot key with the ordered cut points; ``None`` if no key is hot.
+    """``keys`` with more than ``hot_rows`` rows and the ranges ``_parts`` each is to have; ``None`` if there are none.
 
-    Without ``hot_rows`` small inputs are not examined. The result holds at most
-    ``MAX_HOT_KEYS`` rows: with more hot keys than that the work is spread by
-    the keys themselves, and only the largest are cut.
+    Without ``hot_rows``, tables of less than ``small_bytes`` are not counted.
+    There are fewer such keys than rows / ``hot_rows``.
     """
     if hot_rows is None:
-        if is_small(df):
+        if is_small(df, small_bytes):
             return None
         hot_rows = HOT_ROWS
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    largest = counts.filter(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS)
-    n_hot, rows = largest.agg(F.count("*"), F.max("_rows")).first()
-    if not n_hot:
-        return None
-    # The rows with the smallest hashes of a key are a uniform sample of it; they
-    # only choose where to cut, so the result does not depend on them. A key gets
-    # cuts in proportion to its rows.
-    most = min(MAX_PARTS, math.ceil(rows / hot_rows))
-    parts = F.least(F.lit(most), F.ceil(F.col("_rows") / hot_rows))
-    sampled = Window.partitionBy(*keys).orderBy(F.xxhash64(*order), *order)
-    cut = F.col(order[0])
-    return (
-        df.select(*keys, *order)
-        .join(F.broadcast(largest.select(*keys, parts.cast("int").alias("_parts"))), list(keys))
-        .filter(cut.isNotNull())
-        .withColumn("_rk", F.row_number().over(sampled))
-        .filter(F.col("_rk") <= most * SAMPLE_PER_CUT)
-        .groupBy(*keys, "_parts")
-        .agg(F.array_sort(F.collect_list(cut)).alias("_sample"))
-        .withColumn("_every", F.ceil(F.size("_sample") / F.col("_parts")))
-        .select(
-            *keys, F.filter("_sample", lambda _, i: i % F.col("_every") == F.col("_every") - 1).alias("_cuts")
-        )
-    )
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = cut_lineage(counts.select(*keys, F.ceil(F.col("_rows") / hot_rows).alias("_parts")))
+    return None if hot.isEmpty() else hot
+
+
+def range_parts(df: DataFrame, order: Sequence[str], parts: int, name: str = "_part") -> DataFrame:
+    """``df`` in ranges of ``order``, sorted within each, and the range's number.
+
+    The engine samples where to cut. The rows are checkpointed with their
+    numbers, so that every use and every recovery sees the same ranges.
+    """
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut_lineage(ranged.withColumn(name, F.spark_partition_id()))
 
 
 def _whole(expressions: Mapping[str, Column], window) -> list[Column]:
@@ -90,21 +71,21 @@ def ordered(
     size: str | None = None,
     totals: Mapping[str, Column] | None = None,
     running: Mapping[str, str] | None = None,
-    cuts: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Append per-key ordered values to ``df``.
 
     ``previous``/``following`` map a new column to the column read from the row
     before/after, ``position`` counts from 0, ``size`` is the number of rows of
     the key, ``totals`` are aggregates over the key and ``running`` maps a new
-    column to the column summed up to and including the row. ``cuts`` comes
-    from :func:`find_cuts` over the same keys and order.
+    column to the column summed up to and including the row. ``hot`` comes
+    from :func:`hot_keys` over the same keys.
     """
     previous, following = dict(previous or {}), dict(following or {})
     totals, running = dict(totals or {}), dict(running or {})
     if size:
         totals[size] = F.count(F.lit(1))
-    if cuts is None:
+    if hot is None:
         whole = Window.partitionBy(*keys)
         along = whole.orderBy(*order)
         upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -118,51 +99,52 @@ def ordered(
         )
 
     kept = [F.col(c) for c in df.columns]
-    # Rows equal in the first order column fall into the same part, nulls (which
-    # sort first) into part 0.
-    part = F.when(
-        F.col("_cuts").isNotNull(),
-        F.size(F.filter("_cuts", lambda c: c < F.col(order[0]))),
-    ).otherwise(0)
-    split = df.join(F.broadcast(cuts), list(keys), "left").select(
-        *kept, part.alias("_part"), F.col("_cuts").isNotNull().alias("_hot")
+    named = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_parts")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    marked = df.join(named, same, "left")
+    rest = ordered(
+        marked.filter(F.col("_parts").isNull()).select(*kept), keys, order, previous=previous, following=following,
+        position=position, totals=totals, running=running,
     )
-    inner = Window.partitionBy(*keys, "_part")
+    parts = hot.agg(F.sum("_parts")).first()[0]
+    split = range_parts(marked.filter(F.col("_parts").isNotNull()).select(*kept), [*keys, *order], int(parts))
+    # A struct, as keys may be null.
+    split = split.withColumn("_key", F.struct(*keys))
+    inner = Window.partitionBy("_key", "_part")
     along = inner.orderBy(*order)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     before = F.struct(*[F.col(c) for c in dict.fromkeys(previous.values())], F.lit(1).alias("_set"))
     after = F.struct(*[F.col(c) for c in dict.fromkeys(following.values())], F.lit(1).alias("_set"))
     rank = F.struct(*[F.col(c) for c in order])
-    hot = split.filter("_hot")
-    summary = hot.groupBy(*keys, "_part").agg(
+    summary = split.groupBy("_key", "_part").agg(
         F.count("*").alias("_n"),
         F.min_by(after, rank).alias("_first"),
         F.max_by(before, rank).alias("_last"),
         *[F.sum(source).alias(f"_sum_{name}") for name, source in running.items()],
     )
-    across = Window.partitionBy(*keys).orderBy("_part")
+    across = Window.partitionBy("_key").orderBy("_part")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     stitched = summary.select(
-        *keys,
+        "_key",
         "_part",
         F.lag("_last").over(across).alias("_before"),
         F.lead("_first").over(across).alias("_after"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
         *[F.sum(f"_sum_{name}").over(earlier).alias(f"_sum_{name}") for name in running],
     )
+    if totals:
+        # Two tables of a row per range and per key meet here, so the totals reach the rows by range.
+        group = split.groupBy("_key").agg(*[v.alias(f"_all_{n}") for n, v in totals.items()])
+        stitched = stitched.join(group, "_key")
     local = split.select(
         "*",
         F.lag(before).over(along).alias("_prev"),
         F.lead(after).over(along).alias("_next"),
         F.row_number().over(along).alias("_rn"),
         *[F.sum(source).over(upto).alias(f"_run_{name}") for name, source in running.items()],
-        *[value.over(inner).alias(f"_part_{name}") for name, value in totals.items()],
     )
-    joined = local.join(F.broadcast(stitched), [*keys, "_part"], "left")
-    if totals:
-        group = hot.groupBy(*keys).agg(*[v.alias(f"_all_{n}") for n, v in totals.items()])
-        joined = joined.join(F.broadcast(group), list(keys), "left")
+    joined = local.join(stitched, ["_key", "_part"])
     prev, nxt = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
     sums = {
         name: reduce(
@@ -171,71 +153,79 @@ def ordered(
         )
         for name in running
     }
-    return joined.select(
+    solved = joined.select(
         *kept,
         *[prev[source].alias(name) for name, source in previous.items()],
         *[nxt[source].alias(name) for name, source in following.items()],
-        *(
-            [(F.col("_rn") - 1 + F.coalesce("_offset", F.lit(0))).cast("int").alias(position)]
-            if position
-            else []
-        ),
+        *([(F.col("_rn") - 1 + F.col("_offset")).cast("int").alias(position)] if position else []),
         *[value.alias(name) for name, value in sums.items()],
-        *[
-            F.when(F.col("_hot"), F.col(f"_all_{n}")).otherwise(F.col(f"_part_{n}")).alias(n)
-            for n in totals
-        ],
+        *[F.col(f"_all_{n}").alias(n) for n in totals],
     )
+    return rest.unionByName(solved)
+
+
+def _parts_of(df: DataFrame, parts: int | None) -> int:
+    return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def dense_index(
-    df: DataFrame, order: Sequence[str], name: str = "idx", buckets: int | None = None
+    df: DataFrame, order: Sequence[str], name: str = "idx", buckets: int | None = None, small_bytes: int = SMALL_BYTES
 ) -> DataFrame:
     """Number the rows of ``df`` from 0 in ``order``, which must be unique.
 
-    Large inputs are ranged into buckets by fixed boundaries, numbered within
-    the bucket and shifted by the rows of the buckets before it.
+    A table is sorted as the engine sorts any other: in ranges, as many as the
+    session's shuffle partitions unless ``buckets`` says. Rows are numbered
+    within their range and shifted by the rows of the ranges before it. Without
+    ``buckets`` a table of less than ``small_bytes`` is one range.
     """
-    if buckets is None:
-        buckets = 1 if is_small(df, INDEX_BYTES) else 400
-    rank = F.struct(*[F.col(c) for c in order])
+    if buckets is None and is_small(df, small_bytes):
+        buckets = 1
     if buckets == 1:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    sample = df.select(rank.alias("r")).orderBy(F.xxhash64("r"), "r").limit(buckets * SAMPLE_PER_CUT)
-    edges = (
-        sample.agg(F.array_sort(F.collect_list("r")).alias("r"))
-        .select(F.filter("r", lambda _, i: i % SAMPLE_PER_CUT == SAMPLE_PER_CUT - 1).alias("_edges"))
-    )
-    # The boundaries are at most ``buckets`` keys; writing them into the plan as
-    # one array keeps every use of them identical.
-    bounds = edges.first()["_edges"]
-    ranged = df.withColumn("_b", _bucket_of(rank, bounds, df, order))
-    counts = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
-    offsets = counts.select(
-        "_b",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    within = Window.partitionBy("_b").orderBy(*order)
-    return (
-        ranged.withColumn("_rn", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_b")
-        .select(*[F.col(c) for c in df.columns], (F.col("_rn") - 1 + F.col("_offset")).alias(name))
+    # A sorted range's row numbers are the lower 33 bits of these ids, its number the bits above.
+    ranged = df.repartitionByRange(_parts_of(df, buckets), *order).sortWithinPartitions(*order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    placed = placed.select(*[F.col(c) for c in df.columns], part.alias("_part"), row.alias("_row"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").select(
+        *[F.col(c) for c in df.columns], (F.col("_row") + F.col("_offset")).alias(name)
     )
 
 
-def _bucket_of(rank: Column, bounds: list, df: DataFrame, order: Sequence[str]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    kinds = [df.schema[c].dataType for c in order]
-    edges = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(kind).alias(c) for v, kind, c in zip(row, kinds, order)])
-            for row in bounds
-        ]
+def quantiles(
+    counted: DataFrame, keys: Sequence[str], shares: Sequence[float], parts: int | None = None
+) -> DataFrame:
+    """``keys, share, value``: exact, linearly interpolated quantiles of values ``v`` that occur ``n`` times.
+
+    A selection rather than a sort of everything in one place: values are
+    ranged, the sums of the ranges before say in which range each wanted rank
+    lies, and only there are running counts taken. Null values don't count; keys
+    without other values have no row.
+    """
+    keys = list(keys)
+    known = counted.filter(F.col("v").isNotNull())
+    placed = range_parts(known, [*keys, "v"], _parts_of(counted, parts))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    running = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bounds = sums.select(*keys, "_part", (running - F.col("_n")).alias("_from"), running.alias("_to"),
+                         F.sum("_n").over(whole).alias("_total"))
+    place = F.col("share") * (F.col("_total") - 1)
+    ranks = bounds.select("*", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    ranks = ranks.select("*", F.explode(F.array(F.floor(place), F.ceil(place))).alias("_rank"), place.alias("_place"))
+    wanted = ranks.filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).distinct()
+    chosen = wanted.select(*keys, "_part", "_from").distinct()
+    inside = Window.partitionBy(*keys, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = placed.join(chosen, [*keys, "_part"]).select(
+        *keys, "_part", "v", "n", (F.col("_from") + F.sum("n").over(inside)).alias("_until")
+    )
+    found = wanted.drop("_from", "_to").join(counts, [*keys, "_part"]).filter(
+        (F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("n"))
     )
-    return F.size(F.filter(edges, lambda e: e < rank))
+    low, high = F.min("v"), F.max("v")
+    return found.groupBy(*keys, "share", "_place").agg(
+        (low + (high - low) * (F.col("_place") - F.floor("_place"))).alias("value")
+    ).drop("_place")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from trajflow.functions.expressions import owner
 from trajflow.operators.features import encode
 from trajflow.operators.flow import ROW_ORDER
-from trajflow.operators.ordered import dense_index, find_cuts, ordered
+from trajflow.operators.ordered import dense_index, hot_keys, ordered
 from trajflow.session import hashed
 
 SHORT_TRAJECTORY = 4
@@ -50,7 +50,7 @@ def _steps(pairs: DataFrame, shift_week: bool) -> DataFrame:
     )
 
 
-def _consecutive(points: DataFrame, order: Sequence[str], cuts: DataFrame | None) -> DataFrame:
+def _consecutive(points: DataFrame, order: Sequence[str], hot: DataFrame | None) -> DataFrame:
     return ordered(
         points,
         ["trajectory_id"],
@@ -58,7 +58,7 @@ def _consecutive(points: DataFrame, order: Sequence[str], cuts: DataFrame | None
         following={f"next_{c}": c for c in FIELDS},
         position="step",
         size="n",
-        cuts=cuts,
+        hot=hot,
     )
 
 
@@ -74,9 +74,9 @@ def train_sequences(
     """Steps ``(point i, point i+1)`` of trajectories with at least ``thres`` steps."""
     points = _points(df, time_feature, order)
     along = [f"_o{i}" for i in range(len(order))]
-    cuts = find_cuts(points, ["trajectory_id"], along, hot_rows)
+    hot = hot_keys(points, ["trajectory_id"], hot_rows)
     coded = encode(points, vocab, "POI_id", "poi")
-    pairs = _consecutive(coded, along, cuts)
+    pairs = _consecutive(coded, along, hot)
     full = (F.col("n") - 1 >= thres) & (F.col("step") < F.col("n") - 1)
     return _steps(pairs.filter(full), shift_week)
 
@@ -100,13 +100,13 @@ def val_sequences(
     """
     points = _points(df, time_feature, order)
     along = [f"_o{i}" for i in range(len(order))]
-    cuts = find_cuts(points, ["trajectory_id"], along, hot_rows)
+    hot = hot_keys(points, ["trajectory_id"], hot_rows)
     seen = users.select(F.col("user_id").alias("_user"))
     points = points.join(seen, owner(F.col("trajectory_id")) == F.col("_user"), "left_semi")
     coded = encode(points, vocab, "POI_id", "poi")
     known = F.col("poi").isNotNull()
     if align:
-        pairs = _consecutive(coded.filter(known), along, cuts)
+        pairs = _consecutive(coded.filter(known), along, hot)
     else:
         features = ordered(
             coded.drop("POI_id", "poi"),
@@ -114,7 +114,7 @@ def val_sequences(
             along,
             following={f"next_{c}": c for c in FIELDS[1:]},
             position="step",
-            cuts=cuts,
+            hot=hot,
         )
         places = ordered(
             coded.filter(known).select("trajectory_id", "poi", *along),
@@ -123,7 +123,7 @@ def val_sequences(
             following={"next_poi": "poi"},
             position="step",
             size="n",
-            cuts=cuts,
+            hot=hot,
         ).drop(*along)
         pairs = places.join(features, ["trajectory_id", "step"])
     full = (F.col("n") - 1 >= thres) & (F.col("step") < F.col("n") - 1)
@@ -177,7 +177,7 @@ def relative_location(
 ) -> DataFrame:
     """Append ``radians((x - first) / (max - min + 1e-6))`` per sequence."""
     keys, order = list(keys), list(order)
-    cuts = find_cuts(df.select(*keys, *order), keys, order, hot_rows)
+    hot = hot_keys(df.select(*keys, *order), keys, hot_rows)
     totals = {}
     for c in columns:
         totals |= {
@@ -185,7 +185,7 @@ def relative_location(
             f"_max_{c}": F.max(c),
             f"_min_{c}": F.min(c),
         }
-    spread = ordered(df, keys, order, totals=totals, cuts=cuts)
+    spread = ordered(df, keys, order, totals=totals, hot=hot)
 
     def relative(c: str) -> Column:
         scale = F.lit(1.0) / (F.col(f"_max_{c}") - F.col(f"_min_{c}") + F.lit(1e-6))
@@ -252,6 +252,51 @@ def flow_shares(edges: DataFrame, weight: str = "weight") -> DataFrame:
     return edges.join(out, "src").select("src", F.col("dst").alias("item"), share.alias("score"))
 
 
+#: Ranks that one row stands for before it is spelled out.
+RANKS_AT_ONCE = 1 << 16
+
+
+def _of_place(steps: DataFrame, lists: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Every step with the rows of ``lists`` for its place; places in ``hot`` are salted by step."""
+    if hot is None:
+        return steps.join(lists, "src")
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = steps.join(hot, "src", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("trajectory_id", "step"), parts).cast("int")
+    )
+    copied = lists.join(hot, "src", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))
+    )
+    return dealt.drop("_parts").join(copied.drop("_parts"), ["src", "_salt"]).drop("_salt")
+
+
+def _unlisted(steps: DataFrame, listed: DataFrame, popular: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """All places that a step's list lacks, by popularity, at scores -1, -2 and so on.
+
+    Places are numbered by popularity. What a list lacks are the ranges between
+    the numbers it has, and within a range the score follows from the number,
+    so steps meet ranges and only then spell them out.
+    """
+    ordered_ = popular.select(F.col("node").alias("item"), (-F.col("checkin_cnt")).alias("_less"))
+    index = dense_index(ordered_, ["_less", "item"], "_r").select("item", "_r")
+    before = steps.select("src").distinct().withColumn("_r", F.lit(-1).cast("long"))
+    held = listed.join(index, "item").select("src", "_r").unionByName(before)
+    along = Window.partitionBy("src").orderBy("_r")
+    end = index.count()
+    gaps = held.select(
+        "src", (F.col("_r") + 1).alias("_lo"), F.lead("_r").over(along).alias("_next"),
+        (F.row_number().over(along) - 1).alias("_held"),
+    )
+    gaps = gaps.withColumn("_hi", F.coalesce("_next", F.lit(end)) - 1).filter(F.col("_lo") <= F.col("_hi"))
+    cuts = gaps.select("src", "_held", "_hi", F.explode(F.sequence("_lo", "_hi", F.lit(RANKS_AT_ONCE))).alias("_lo"))
+    cuts = cuts.withColumn("_hi", F.least("_hi", F.col("_lo") + RANKS_AT_ONCE - 1))
+    rows = _of_place(steps, cuts, hot).select(
+        "trajectory_id", "step", "_held", F.explode(F.sequence("_lo", "_hi")).alias("_r")
+    )
+    score = (F.col("_held") - F.col("_r") - 1).cast("double")
+    return rows.join(index, "_r").select("trajectory_id", "step", "item", score.alias("score"))
+
+
 def rank_next(
     steps: DataFrame,
     edges: DataFrame,
@@ -259,16 +304,17 @@ def rank_next(
     place: str = "in_poi",
     weight: str = "weight",
     popular: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``trajectory_id, step, item, score`` candidates after the step's place.
 
     With ``k`` only the best ``k`` per step, ties to the smaller item; they are
     chosen once per place, before the steps are looked up. With ``popular``
-    (``node, checkin_cnt``) shorter lists are filled up with the most visited
-    other places, at negative scores below all flow candidates.
+    (``node, checkin_cnt``) lists are filled up with the most visited other
+    places, at negative scores below all flow candidates: to ``k``, or without
+    it to the full list of places. Places in more than ``hot_rows`` steps are
+    salted (see :func:`hot_keys`).
     """
-    if popular is not None and k is None:
-        raise ValueError("filling up with popular places needs k")
     shares = flow_shares(edges, weight)
     if k is None:
         listed = shares
@@ -296,7 +342,11 @@ def rank_next(
             more, lambda x, i: F.struct(x.alias("item"), (-(i + 1)).cast("double").alias("score"))
         )
         return filled.select("trajectory_id", "step", F.inline(F.concat("_l", scored)))
-    return lookup.join(listed, "src").select("trajectory_id", "step", "item", "score")
+    hot = hot_keys(lookup, ["src"], hot_rows)
+    found = _of_place(lookup, listed, hot).select("trajectory_id", "step", "item", "score")
+    if popular is None:
+        return found
+    return found.unionByName(_unlisted(lookup, listed, popular, hot))
 
 
 def score_sequences(

@@ -36,7 +36,11 @@ def _points_sql(source: str, kept: str) -> str:
     WHERE {kept} WINDOW w AS (PARTITION BY user_id, trajectory_id ORDER BY UTC_time, ts, event_id)"""
 
 
-cte("cpa", _points_sql("tr", "true"))
+cte(
+    "alc",
+    "SELECT DISTINCT 'place_name' AS kind, POI_catname AS value FROM ck UNION SELECT DISTINCT 'place_type', POI_category FROM ck",
+)
+cte("cpa", _points_sql("ck", "true"))
 cte("cpt", "SELECT * FROM cpa WHERE n >= 2")
 cte(
     "cva",
@@ -47,14 +51,10 @@ cte(
     ),
 )
 cte("cpv", "SELECT * FROM cva WHERE n >= 2")
-SAMPLES = """SELECT user_id, trajectory_id, pos, timestamp, longitude, latitude, place_name, place_type,
-  day_of_week, time_of_day, context_day, context_time,
-  max(split_part(timestamp, 'T', 1)) OVER (PARTITION BY user_id, trajectory_id) AS context_date FROM {table}"""
-TRAIN_SAMPLES = sql("ck tr cpa cpt", SAMPLES.format(table="cpt"))
 
 
-def training_points(spark, sf_dir):
-    return corpus.corpus_points(training(spark, sf_dir), order=ORDER)
+def all_points(spark, sf_dir):
+    return corpus.corpus_points(checkins(spark, sf_dir), order=ORDER)
 
 
 def validation_points(spark, sf_dir):
@@ -88,38 +88,36 @@ FLAT_SQL = """SELECT user_id, trajectory_id, pos, timestamp, longitude, latitude
 @query(
     "corpus_metadata",
     sql(
-        "ck tr alw cpa cpt",
-        """SELECT kind, value, CAST(0 AS BIGINT) AS total FROM alw
+        "ck alc cpa cpt",
+        """SELECT kind, value, CAST(0 AS BIGINT) AS total FROM alc
         UNION ALL SELECT 'total_samples', '', count(*) FILTER (pos = 0) FROM cpt
-        UNION ALL SELECT 'total_users', '', count(DISTINCT user_id) FROM tr
-        UNION ALL SELECT 'total_trajectories', '', count(DISTINCT trajectory_id) FROM tr""",
+        UNION ALL SELECT 'total_users', '', count(DISTINCT user_id) FROM ck
+        UNION ALL SELECT 'total_trajectories', '', count(DISTINCT trajectory_id) FROM ck""",
     ),
 )
 def corpus_metadata(spark, sf_dir):
     """The document, one row per list entry and total."""
-    document = corpus.corpus_metadata(training(spark, sf_dir))
-    totals = ["total_samples", "total_users", "total_trajectories"]
-    numbers = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("total")) for c in totals])
+    document = corpus.corpus_metadata(checkins(spark, sf_dir), chunk=7)
     lists = corpus.metadata_allow_lists(document).withColumn("total", F.lit(0).cast("long"))
-    rest = document.select(F.inline(numbers)).select("kind", F.lit("").alias("value"), "total")
+    rest = document.filter(F.col("values").isNull()).select("kind", F.lit("").alias("value"), "total")
     return lists.unionByName(rest)
 
 
 @query(
     "allow_list_texts",
     sql(
-        "ck tr alw",
+        "ck alc",
         """SELECT to_json(list(value ORDER BY value) FILTER (kind = 'place_name')) AS place_names,
-          to_json(list(value ORDER BY value) FILTER (kind = 'place_type')) AS place_types FROM alw""",
+          to_json(list(value ORDER BY value) FILTER (kind = 'place_type')) AS place_types FROM alc""",
     ),
 )
 def allow_list_texts(spark, sf_dir):
-    return corpus.allow_list_texts(corpus.corpus_metadata(training(spark, sf_dir)))
+    return corpus.allow_list_texts(corpus.corpus_metadata(checkins(spark, sf_dir)))
 
 
-@query("corpus_samples", sql("ck tr cpa cpt", FLAT_SQL.format(table="cpt")))
+@query("corpus_samples", sql("ck cpa cpt", FLAT_SQL.format(table="cpt")))
 def corpus_samples(spark, sf_dir):
-    return _flat(corpus.corpus_samples(training_points(spark, sf_dir)))
+    return _flat(corpus.corpus_samples(all_points(spark, sf_dir)))
 
 
 @query("corpus_val_samples", sql("ck tr va alw cva cpv", FLAT_SQL.format(table="cpv")))
@@ -138,9 +136,7 @@ def corpus_val_points(spark, sf_dir):
     )
 
 
-cte(
-    "prm",
-    """SELECT user_id, trajectory_id,
+PROMPTS = """SELECT user_id, trajectory_id,
       'User ID: ' || user_id || chr(10) || 'Trajectory ID: ' || trajectory_id || chr(10) || chr(10)
       || 'Historical visits: ' || chr(10)
       || string_agg('- Time: ' || timestamp || ', Location: ' || place_name || ' (' || place_type || '), Weekday: '
@@ -149,17 +145,18 @@ cte(
       || chr(10) || '- Weekday: ' || any_value(context_day) || chr(10) || '- Time of day: '
       || printf('%.2f', any_value(context_time)) || chr(10) || chr(10)
       || 'Please predict the user''s next visit location.' AS prompt,
-      '{"place_name": "' || arg_max(place_name, pos) || '", "place_type": "' || arg_max(place_type, pos) || '"}'
+      '{{"place_name": "' || arg_max(place_name, pos) || '", "place_type": "' || arg_max(place_type, pos) || '"}}'
         AS completion
-    FROM cpt GROUP BY user_id, trajectory_id""",
-)
+    FROM {table} GROUP BY user_id, trajectory_id"""
+cte("prm", PROMPTS.format(table="cpt"))
+cte("prv", PROMPTS.format(table="cpv"))
 
 
 def prompts(spark, sf_dir):
-    return corpus.render_prompts(corpus.corpus_samples(training_points(spark, sf_dir)))
+    return corpus.render_prompts(corpus.corpus_samples(all_points(spark, sf_dir)))
 
 
-@query("corpus_prompts", sql("ck tr cpa cpt prm", "SELECT * FROM prm"))
+@query("corpus_prompts", sql("ck cpa cpt prm", "SELECT * FROM prm"))
 def corpus_prompts(spark, sf_dir):
     return prompts(spark, sf_dir)
 
@@ -220,12 +217,29 @@ def prediction_accuracy(spark, sf_dir):
     return corpus.accuracy(scored_predictions(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("prediction_failures", sql(SCORED, "SELECT user_id, trajectory_id FROM scd WHERE NOT correct"))
+@query(
+    "prediction_failures",
+    sql(
+        SCORED + " prv",
+        """SELECT user_id, trajectory_id, raw, completion, prompt FROM scd
+        JOIN prd USING (user_id, trajectory_id) JOIN prv USING (user_id, trajectory_id) WHERE NOT correct""",
+    ),
+)
 def prediction_failures(spark, sf_dir):
-    return scored_predictions(spark, sf_dir).filter(~F.col("correct")).select("user_id", "trajectory_id")
+    """Wrong answers with the prompt they were given to and the completion expected."""
+    asked = corpus.render_prompts(corpus.corpus_samples(validation_points(spark, sf_dir)))
+    failed = corpus.failures(scored_predictions(spark, sf_dir), asked)
+    return failed.select("user_id", "trajectory_id", "raw", "completion", "prompt")
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    sql(
+        "ck tr va alw cva cpv",
+        """SELECT user_id, trajectory_id FROM cpv WHERE pos = 0
+        ORDER BY md5(concat_ws('|', '7', user_id, trajectory_id)), user_id, trajectory_id LIMIT 100""",
+    ),
+)
 def sample_rows(spark, sf_dir):
     """A hundred samples drawn for validation."""
     points = validation_points(spark, sf_dir).filter(F.col("pos") == 0)
@@ -257,6 +271,33 @@ def nodes_csv_roundtrip(spark, sf_dir):
     return io.read_nodes(spark, path, ["node", "checkin_cnt", "POI_catname", "latitude"])
 
 
+@query(
+    "node_variants",
+    sql(
+        "ck",
+        """SELECT variant, node, checkin_cnt, CASE WHEN variant <> 2 THEN latitude END AS latitude,
+          CASE WHEN variant = 1 THEN longitude END AS longitude
+        FROM (SELECT POI_id AS node, count(*) AS checkin_cnt, arg_min(latitude, (user_id, ts, event_id)) AS latitude,
+            arg_min(longitude, (user_id, ts, event_id)) AS longitude FROM ck GROUP BY POI_id),
+          (VALUES (0), (1), (2)) AS v(variant)""",
+    ),
+)
+def node_variants(spark, sf_dir):
+    """A written node table read with three, one and two of its features."""
+    path = scratch_path(spark, "nodes")
+    io.write_nodes(flow.flow_nodes(checkins(spark, sf_dir), "POI_id", PLACE_ATTRIBUTES, ORDER), path)
+    columns = ["node", "checkin_cnt", "latitude", "longitude"]
+    parts = []
+    for variant in range(3):
+        width = {1: 4, 2: 2}.get(variant, 3)
+        read = io.read_node_variant(spark, path, variant, columns[1:])
+        if read.columns != columns[1:width]:
+            raise ValueError(f"variant {variant} has the columns {read.columns}")
+        parts.append(io.read_nodes(spark, path, columns[:width]).withColumn("variant", F.lit(variant)))
+    first, second, third = parts
+    return first.unionByName(second, True).unionByName(third, True)
+
+
 @query(
     "adjacency_roundtrip",
     sql(
@@ -309,7 +350,7 @@ def corpus_json_roundtrip(spark, sf_dir):
     return _flat(io.read_samples(spark, f"{where}/samples"))
 
 
-@query("training_lines_roundtrip", sql("ck tr cpa cpt prm", "SELECT prompt, completion FROM prm"))
+@query("training_lines_roundtrip", sql("ck cpa cpt prm", "SELECT prompt, completion FROM prm"))
 def training_lines_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "lines")
     io.write_training_lines(prompts(spark, sf_dir), path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trajflow.operators import algebra, flow
 from trajflow.plans.registry import cte, query, sql
 from trajflow.plans.testdata import LINE_ORDER, ORDER, checkins, purchases
+from trajflow.session import cut_lineage, kept
 from trajflow.sources.schema import PLACE_ATTRIBUTES
 
 ATTRIBUTES = ", ".join(f"arg_min({c}, (user_id, ts, event_id)) AS {c}" for c in PLACE_ATTRIBUTES)
@@ -49,6 +52,12 @@ def flow_edges_poi(spark, sf_dir):
     return edges(spark, sf_dir)
 
 
+@query("flow_edges_poi_hot", sql(POI, "SELECT * FROM ed_poi"))
+def flow_edges_poi_hot(spark, sf_dir):
+    """The same edges with every user of over 60 rows cut into ranges."""
+    return flow.flow_edges(checkins(spark, sf_dir), order=ORDER, hot_rows=60)
+
+
 def _geo_sql(a0: str, a1: str, b0: str, b1: str) -> str:
     return sql(
         POI,
@@ -66,7 +75,11 @@ def _geo(spark, sf_dir, formula):
     return out.withColumn("geo_weight", F.round("geo_weight", 6))
 
 
-@query("flow_edges_geo", _geo_sql("plon", "longitude", "plat", "latitude"))
+GEO = _geo_sql("plon", "longitude", "plat", "latitude")
+cte("geo_poi", GEO)
+
+
+@query("flow_edges_geo", GEO)
 def flow_edges_geo(spark, sf_dir):
     return _geo(spark, sf_dir, "reference")
 
@@ -357,9 +370,227 @@ def edge_attention(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("dominant_eigenvalue", "SELECT CAST(1 AS DOUBLE) AS value")
-def dominant_eigenvalue(spark, sf_dir):
-    """The largest eigenvalue of the name graph's step shares; 1 by theory."""
-    key = "POI_catname"
-    value = algebra.dominant_eigenvalue(edges(spark, sf_dir, key), nodes(spark, sf_dir, key), tolerance=1e-7)
-    return spark.range(1).select(F.lit(round(value, 4)).alias("value"))
+def _iterated(edges_sql: str, nodes_sql: str, steps: int) -> str:
+    """Ten steps of the shifted walk matrix, from visit counts, as a recursive statement."""
+    return f"""SELECT node, round(x / sqrt(sum(x * x) OVER ()), 9) AS x FROM (
+      WITH RECURSIVE m AS (
+        SELECT src, dst, sum(w) AS value FROM (
+          SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) / 2 AS w
+          FROM (SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM {edges_sql})
+          UNION ALL SELECT node, node, CAST(0.5 AS DOUBLE) FROM {nodes_sql}) GROUP BY src, dst),
+      it AS (SELECT 0 AS step, node, CAST(checkin_cnt AS DOUBLE) AS x FROM {nodes_sql}
+        UNION ALL
+        SELECT any_value(step) + 1, src, sum(value * x) FROM it JOIN m ON dst = node WHERE step < {steps} GROUP BY src)
+      SELECT node, x FROM it WHERE step = {steps})"""
+
+
+def _walked(nodes_df, edges_df, steps=10):
+    # Places that nobody leaves have no row in the walk matrix.
+    left = edges_df.select(F.col("src").alias("node")).distinct()
+    kept = nodes_df.join(left, "node", "left_semi")
+    inner = edges_df.join(kept.select(F.col("node").alias("dst")), "dst")
+    cells = algebra.hashed_cells(algebra.walk_matrix(inner, kept, shift=1.0), kept)
+    found = algebra.iterate(cells, kept.select("node", F.col("checkin_cnt").alias("x")), steps)
+    return found.select("node", F.round("x", 9).alias("x"))
+
+
+for short in ("poi", "pur"):
+    # Nodes that are left, and edges between them.
+    cte(f"out_{short}", f"SELECT * FROM no_{short} WHERE node IN (SELECT src FROM ed_{short})")
+    cte(f"in_{short}", f"SELECT e.* FROM ed_{short} e JOIN out_{short} ON node = dst")
+
+
+cte(
+    "ed_pur",
+    """SELECT src, dst, count(*) AS weight FROM (
+      SELECT POI_id AS dst, trajectory_id, lag(POI_id) OVER w AS src, lag(trajectory_id) OVER w AS ptr FROM pur
+      WINDOW w AS (PARTITION BY user_id ORDER BY o_orderdate, o_orderkey, l_linenumber, l_suppkey, l_quantity,
+        l_extendedprice, l_shipdate, l_partkey))
+    WHERE src IS NOT NULL AND ptr = trajectory_id GROUP BY src, dst""",
+)
+cte("no_pur", "SELECT POI_id AS node, count(*) AS checkin_cnt FROM pur GROUP BY POI_id")
+PURCHASE_ORDER = (*LINE_ORDER, "l_partkey")
+
+
+def purchase_graph(spark, sf_dir):
+    df = purchases(spark, sf_dir)
+    return flow.flow_nodes(df, "POI_id", order=PURCHASE_ORDER), flow.flow_edges(df, order=PURCHASE_ORDER)
+
+
+@query("walk_vector", sql(POI + " out_poi in_poi", _iterated("in_poi", "out_poi", 10)))
+def walk_vector(spark, sf_dir):
+    """The place graph's walk matrix applied ten times to the visit counts."""
+    return _walked(nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("walk_vector_purchases", sql("pur ed_pur no_pur out_pur in_pur", _iterated("in_pur", "out_pur", 10)))
+def walk_vector_purchases(spark, sf_dir):
+    return _walked(*purchase_graph(spark, sf_dir))
+
+
+# Signed weights whose rows sum to 2: an edge to an even place counts against, the diagonal makes up for it.
+cte(
+    "sgn",
+    """SELECT src, dst, sum(w) AS weight FROM (
+      SELECT src, dst, s * CAST(weight AS DOUBLE) / t AS w FROM (
+        SELECT src, dst, weight, CASE WHEN CAST(dst AS BIGINT) % 2 = 0 THEN -1 ELSE 1 END AS s,
+          sum(weight) OVER (PARTITION BY src) AS t FROM ed_poi)
+      UNION ALL SELECT src, src, CAST(2 AS DOUBLE) - sum(CASE WHEN CAST(dst AS BIGINT) % 2 = 0 THEN -1 ELSE 1 END * CAST(weight AS DOUBLE))
+        / sum(weight) FROM ed_poi GROUP BY src) GROUP BY src, dst""",
+)
+
+
+def signed_edges(spark, sf_dir):
+    """Edges between places, some negative, whose rows sum to 2."""
+    df = edges(spark, sf_dir)
+    sign = F.when(F.col("dst").cast("long") % 2 == 0, -1.0).otherwise(1.0)
+    total = df.groupBy("src").agg(
+        F.sum(F.col("weight").cast("double")).alias("_t"), F.sum(sign * F.col("weight")).alias("_s")
+    )
+    shares = df.join(total, "src").select("src", "dst", (sign * F.col("weight") / F.col("_t")).alias("weight"))
+    own = total.select("src", F.col("src").alias("dst"), (2 - F.col("_s") / F.col("_t")).alias("weight"))
+    return shares.unionByName(own).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+STEPS = 30
+cte("sgi", "SELECT s.* FROM sgn s JOIN out_poi ON node = dst")
+cte("sgd", "SELECT src AS node, sum(weight) AS deg FROM sgi GROUP BY src")
+cte(
+    "sgm",
+    """SELECT src, dst, sum(v) AS v FROM (SELECT src, dst, weight / deg / 2 AS v FROM sgi JOIN sgd ON node = src
+      UNION ALL SELECT node, node, CAST(0.5 AS DOUBLE) FROM sgd) GROUP BY src, dst""",
+)
+cte(
+    "lam",
+    f"""SELECT 2 * sum(a.x * b.x) / sum(a.x * a.x) - 1 AS l FROM (
+      WITH RECURSIVE it AS (
+        SELECT 0 AS step, node, CAST(checkin_cnt AS DOUBLE) AS x FROM out_poi
+        UNION ALL SELECT any_value(step) + 1, src, sum(v * x) FROM it JOIN sgm ON dst = node
+        WHERE step <= {STEPS} GROUP BY src)
+      SELECT * FROM it WHERE step = {STEPS}) a JOIN (
+      WITH RECURSIVE it AS (
+        SELECT 0 AS step, node, CAST(checkin_cnt AS DOUBLE) AS x FROM out_poi
+        UNION ALL SELECT any_value(step) + 1, src, sum(v * x) FROM it JOIN sgm ON dst = node
+        WHERE step <= {STEPS} GROUP BY src)
+      SELECT * FROM it WHERE step = {STEPS} + 1) b USING (node)""",
+)
+
+
+@query(
+    "laplacian_wid_signed",
+    sql(
+        POI + " out_poi sgn sgi sgd sgm lam",
+        """SELECT src, dst, round(sum(w), 7) AS value FROM (
+          SELECT src, dst, -2 * weight / deg / l AS w FROM sgi JOIN sgd ON node = src, lam
+          UNION ALL SELECT node, node, 2 / l - 1 FROM sgd, lam) GROUP BY src, dst""",
+    ),
+)
+def laplacian_wid_signed(spark, sf_dir):
+    """The scaled matrix of a graph with negative weights, by the eigenvalue that thirty steps give."""
+    signed = signed_edges(spark, sf_dir)
+    left = signed.select(F.col("src").alias("node")).distinct()
+    kept = nodes(spark, sf_dir).join(left, "node", "left_semi")
+    inner = cut_lineage(signed.join(kept.select(F.col("node").alias("dst")), "dst"))
+    cells = algebra.hashed_cells(algebra.walk_matrix(inner, kept, shift=1.0), kept)
+    found = algebra.iterate(cells, kept.select("node", F.col("checkin_cnt").alias("x")), STEPS)
+    value = algebra.eigenpair(found, 1.0).first()["value"]
+    out = algebra.laplacian(inner, kept, "wid_rw_normd_lap_mat", lambda_max=value)
+    return out.withColumn("value", F.round("value", 7))
+
+
+@query(
+    "graph_stats_geo",
+    sql(
+        POI + " deg_poi geo_poi",
+        f"""SELECT 'degree' AS measure, 'count' AS stat, CAST(count(*) AS DOUBLE) AS value FROM no_poi
+        UNION ALL SELECT 'weight', 'count', CAST(count(*) AS DOUBLE) FROM geo_poi
+        UNION ALL SELECT 'degree', * FROM ({_spread_sql("degree", "deg_poi")})
+        UNION ALL SELECT 'weight', * FROM ({_spread_sql("geo_weight", "geo_poi")})""",
+    ),
+)
+def graph_stats_geo(spark, sf_dir):
+    """Statistics over distance weights, nearly all of which differ."""
+    out = flow.graph_stats(nodes(spark, sf_dir), _geo(spark, sf_dir, "reference"), "geo_weight")
+    return out.withColumn("value", F.round("value", 6))
+
+
+WIDE = 160
+cte("vec_pur", f"""SELECT POI_id AS node, CAST(i AS INTEGER) AS dim, CAST((l_partkey * (i + 1)) % 97 AS DOUBLE) / 97 AS x
+  FROM (SELECT DISTINCT POI_id, l_partkey FROM pur), range({WIDE}) AS t(i)""")
+cte("rs_pur", "SELECT node, CAST(coalesce(sum(weight), 0) AS DOUBLE) AS deg FROM no_pur LEFT JOIN ed_pur ON src = node GROUP BY node")
+cte(
+    "hat_pur",
+    """SELECT src, dst, sum(w) / (any_value(deg) + 1) AS value FROM (
+      SELECT src, dst, CAST(weight AS DOUBLE) AS w FROM ed_pur UNION ALL SELECT node, node, 1 FROM no_pur)
+    JOIN rs_pur ON node = src GROUP BY src, dst""",
+)
+PURCHASE_MATRIX = "pur ed_pur no_pur rs_pur hat_pur vec_pur"
+
+
+def _wide_vectors(nodes_df):
+    """Vectors of ``WIDE`` numbers that follow from the part's key."""
+    key = F.col("node").cast("long")
+    values = F.transform(F.sequence(F.lit(1), F.lit(WIDE)), lambda i: ((key * i) % 97).cast("double") / 97)
+    return nodes_df.select("node", values.alias("vector"))
+
+
+@query(
+    "propagate_wide",
+    sql(
+        PURCHASE_MATRIX,
+        """SELECT src AS node, dim, round(sum(value * x), 8) AS value FROM hat_pur JOIN vec_pur ON node = dst
+        GROUP BY src, dim""",
+    ),
+)
+def propagate_wide(spark, sf_dir):
+    """Vectors of 160 numbers over the purchase graph."""
+    nodes_df, edges_df = purchase_graph(spark, sf_dir)
+    hat = algebra.laplacian(edges_df, nodes_df, "hat_rw_normd_lap_mat")
+    return _long(algebra.propagate(hat, _wide_vectors(nodes_df), WIDE))
+
+
+HIDDEN = 128
+
+
+def _wide_layer(rows: int, columns: int):
+    """Weights and bias by a rule; the statement below follows it too."""
+    weights = [[((7 * i + 13 * j) % 11 - 5) / 50 for j in range(columns)] for i in range(rows)]
+    return weights, [(j % 5 - 2) / 10 for j in range(columns)]
+
+
+def _wide_gcn_sql() -> str:
+    source, rows, names = "vec_pur", WIDE, []
+    for depth, columns in enumerate((HIDDEN, 8)):
+        linear = f"""SELECT node, j, sum(x * CAST((7 * dim + 13 * j) % 11 - 5 AS DOUBLE) / 50) AS x
+          FROM {source}, range({columns}) AS t(j) GROUP BY node, j"""
+        bias = "CAST(j % 5 - 2 AS DOUBLE) / 10"
+        moved = f"SELECT src AS node, CAST(j AS INTEGER) AS dim, sum(value * x) + {bias} AS x FROM hat_pur JOIN ({linear}) ON node = dst GROUP BY src, j"
+        if depth == 0:
+            moved = f"SELECT node, dim, CASE WHEN x > 0 THEN x ELSE x * CAST(0.2 AS DOUBLE) END AS x FROM ({moved})"
+        source = cte(f"wide{depth}", moved)
+        names.append(source)
+    return sql(f"{PURCHASE_MATRIX} {' '.join(names)}", f"SELECT node, dim, round(x, 7) AS value FROM {source}")
+
+
+@query("gcn_forward_wide", _wide_gcn_sql())
+def gcn_forward_wide(spark, sf_dir):
+    """Two layers, 160 to 128 to 8, over the purchase graph."""
+    nodes_df, edges_df = purchase_graph(spark, sf_dir)
+    hat = algebra.laplacian(edges_df, nodes_df, "hat_rw_normd_lap_mat")
+    layers = [_wide_layer(WIDE, HIDDEN), _wide_layer(HIDDEN, 8)]
+    return _long(algebra.gcn_forward(hat, _wide_vectors(nodes_df), layers), 7)
+
+
+@query(
+    "edges_there_and_back",
+    sql(
+        POI,
+        """SELECT a.src, a.dst, a.weight, coalesce(b.weight, 0) AS back FROM ed_poi a
+        LEFT JOIN ed_poi b ON b.src = a.dst AND b.dst = a.src""",
+    ),
+)
+def edges_there_and_back(spark, sf_dir):
+    """A flow map written once and read twice."""
+    table = kept(edges(spark, sf_dir), f"edges-{uuid.uuid4().hex}")
+    turned = table.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("back"))
+    return table.join(turned, ["src", "dst"], "left").fillna(0, ["back"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajflow.operators import evaluate, sequences
 from trajflow.plans.registry import cte, query, sql
-from trajflow.plans.steps import SCORES, TRAIN, candidates, training_steps
+from trajflow.plans.steps import SCORES, TRAIN, all_steps, candidates
 from trajflow.plans.testdata import table
 
 cte("rnk", "SELECT *, row_number() OVER (PARTITION BY traj_id, step ORDER BY score DESC, item) AS rk FROM sco")
@@ -113,7 +113,7 @@ def cross_entropy(spark, sf_dir):
 )
 def masked_mse(spark, sf_dir):
     """Over padded batches; the padding must not count."""
-    padded = sequences.padded_batches(training_steps(spark, sf_dir))
+    padded = sequences.padded_batches(all_steps(spark, sf_dir))
     return _rounded(evaluate.masked_mse(padded, "in_time", "label_time"), ["loss"])
 
 
@@ -205,6 +205,19 @@ def running_metrics(spark, sf_dir):
     return _rounded(evaluate.running_metrics(batch_log(spark, sf_dir), columns), columns, 8)
 
 
+@query(
+    "running_metrics_hot",
+    sql(
+        "log btc",
+        """SELECT epoch, split, batch, round(avg(top1) OVER w, 8) AS top1 FROM btc
+        WINDOW w AS (PARTITION BY epoch, split ORDER BY batch ROWS UNBOUNDED PRECEDING)""",
+    ),
+)
+def running_metrics_hot(spark, sf_dir):
+    """The same means with every epoch of over 60 batches cut into ranges."""
+    return _rounded(evaluate.running_metrics(batch_log(spark, sf_dir), ["top1"], hot_rows=60), ["top1"], 8)
+
+
 _SHARE = "abs({c} / nullif(poi_loss + time_loss + cat_loss, 0) - CAST(1 AS DOUBLE) / 3)"
 cte(
     "mon",

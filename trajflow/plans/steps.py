@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from trajflow.operators import features, flow, sequences
 from trajflow.plans.registry import cte, query, sql
 from trajflow.plans.testdata import ORDER, checkins, training, validation
+from trajflow.session import cut_lineage, kept
 
 PLACE_COLUMNS = ["POI_catid_code", "latitude", "longitude"]
 
@@ -34,13 +37,17 @@ def time_features(spark, sf_dir):
 cte("voc", "SELECT POI_id AS value, row_number() OVER (ORDER BY POI_id) - 1 AS idx FROM (SELECT DISTINCT POI_id FROM tr)")
 
 
+cte("wvoc", "SELECT POI_id AS value, row_number() OVER (ORDER BY POI_id) - 1 AS idx FROM (SELECT DISTINCT POI_id FROM ck)")
+
+
 def vocabulary(spark, sf_dir):
+    """The places of the training split, so that validation has unseen ones."""
     return features.build_vocab(training(spark, sf_dir), "POI_id")
 
 
-@query("vocab_poi", sql("ck tr voc", "SELECT * FROM voc"))
+@query("vocab_poi", sql("ck wvoc", "SELECT * FROM wvoc"))
 def vocab_poi(spark, sf_dir):
-    return vocabulary(spark, sf_dir)
+    return features.build_vocab(checkins(spark, sf_dir), "POI_id")
 
 
 @query(
@@ -108,10 +115,51 @@ def zscore_nodes(spark, sf_dir):
     return scaled.select("node", *[F.round(c, 6).alias(c) for c in columns])
 
 
-@query("location_clusters")
+@query(
+    "location_clusters",
+    sql(
+        "ck",
+        """SELECT 'rows' AS fact, count(*) AS value FROM ck
+        UNION ALL SELECT 'rows with a cluster', count(*) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) FROM ck
+        UNION ALL SELECT 'places', count(DISTINCT (latitude, longitude)) FROM ck
+        UNION ALL SELECT 'places in several clusters', 0
+        UNION ALL SELECT 'places not at their nearest centre', 0
+        UNION ALL SELECT 'centres off their mean', 0""",
+    ),
+)
 def location_clusters(spark, sf_dir):
-    rows = features.location_clusters(checkins(spark, sf_dir))
-    return rows.groupBy("location_cluster").agg(F.count("*").alias("checkins"))
+    """What must hold of any k-means result, whichever optimum it finds."""
+    rows = checkins(spark, sf_dir)
+    centres = cut_lineage(features.cluster_centres(rows, k=12, iterations=200))
+    found = features.assign_clusters(rows, centres)
+    place = found.groupBy("latitude", "longitude").agg(
+        F.count("*").alias("n"), F.count("location_cluster").alias("placed"),
+        F.min("location_cluster").alias("c"), F.count_distinct("location_cluster").alias("kinds"),
+    )
+    named = centres.select(F.col("location_cluster").alias("i"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+    away = F.pow(F.col("y") - F.col("latitude"), 2) + F.pow(F.col("x") - F.col("longitude"), 2)
+    # A row per place and centre: places x 12.
+    far = named.agg(F.collect_list(F.struct("i", "y", "x")).alias("all")).withColumn("one", F.lit(1))
+    spread = place.withColumn("one", F.lit(1)).join(far, "one").select("*", F.inline("all")).withColumn("d", away)
+    nearest = spread.groupBy("latitude", "longitude", "c", "n").agg(
+        F.min("d").alias("least"), F.min(F.when(F.col("i") == F.col("c"), F.col("d"))).alias("own")
+    )
+    means = place.groupBy("c").agg(
+        (F.sum(F.col("n") * F.col("latitude")) / F.sum("n")).alias("my"),
+        (F.sum(F.col("n") * F.col("longitude")) / F.sum("n")).alias("mx"),
+    ).join(named, F.col("c") == F.col("i"))
+    off = F.greatest(F.abs(F.col("my") - F.col("y")), F.abs(F.col("mx") - F.col("x")))
+    facts = place.agg(
+        F.sum("n").alias("rows"), F.sum("placed").alias("rows with a cluster"), F.count("*").alias("places"),
+        F.count_if(F.col("kinds") > 1).alias("places in several clusters"),
+    )
+    wrong = nearest.agg(F.count_if(F.col("own") > F.col("least")).alias("places not at their nearest centre"))
+    moved = means.agg(F.count_if(off > 1e-3).alias("centres off their mean"))
+
+    def listed(df):
+        return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).alias("value")) for c in df.columns])))
+
+    return listed(facts).unionByName(listed(wrong)).unionByName(listed(moved))
 
 
 SEQUENCE_COLUMNS = """trajectory_id, CAST(step AS INTEGER) AS step, CAST(n - 1 AS INTEGER) AS length,
@@ -129,8 +177,9 @@ def _pairs_sql(source: str) -> str:
 
 LONG_ENOUGH = "WHERE n - 1 >= 4 AND step < n - 1"
 cte("trv", "SELECT tr.*, idx FROM tr JOIN voc ON value = POI_id")
-cte("trp", _pairs_sql("trv"))
-cte("trs", f"SELECT {SEQUENCE_COLUMNS} FROM trp {LONG_ENOUGH}")
+cte("wv", "SELECT ck.*, idx FROM ck JOIN wvoc ON value = POI_id")
+cte("wp", _pairs_sql("wv"))
+cte("trs", f"SELECT {SEQUENCE_COLUMNS} FROM wp {LONG_ENOUGH}")
 cte("usr", "SELECT DISTINCT user_id FROM tr")
 cte(
     "vav",
@@ -147,12 +196,14 @@ cte(
     JOIN vaf f ON f.trajectory_id = p.trajectory_id AND f.step = p.step""",
 )
 cte("vas", f"SELECT {SEQUENCE_COLUMNS} FROM vax {LONG_ENOUGH}")
-TRAIN = "ck tr voc trv trp trs"
+TRAIN = "ck wvoc wv wp trs"
 VAL = "ck tr va voc usr vav vak vap vaf vax vas"
 
 
-def training_steps(spark, sf_dir):
-    return sequences.train_sequences(training(spark, sf_dir), vocabulary(spark, sf_dir), order=ORDER)
+def all_steps(spark, sf_dir):
+    """Training sequences of all check-ins."""
+    rows = checkins(spark, sf_dir)
+    return sequences.train_sequences(rows, features.build_vocab(rows, "POI_id"), order=ORDER)
 
 
 def validation_steps(spark, sf_dir, align=False):
@@ -164,16 +215,16 @@ def validation_steps(spark, sf_dir, align=False):
 
 @query("train_sequences", sql(TRAIN, "SELECT * FROM trs"))
 def train_sequences(spark, sf_dir):
-    return training_steps(spark, sf_dir)
+    return all_steps(spark, sf_dir)
 
 
-cte("vnm", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_catname AS v FROM tr)")
-cte("vty", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_category AS v FROM tr)")
+cte("vnm", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_catname AS v FROM ck)")
+cte("vty", "SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT POI_category AS v FROM ck)")
 cte(
     "cix",
-    """SELECT voc.idx AS poi, vnm.i AS cat, vty.i AS category FROM (
+    """SELECT wvoc.idx AS poi, vnm.i AS cat, vty.i AS category FROM (
       SELECT POI_id, arg_max(POI_catname, (ts, event_id)) AS n, arg_max(POI_category, (ts, event_id)) AS t
-      FROM tr GROUP BY POI_id) JOIN voc ON value = POI_id JOIN vnm ON vnm.v = n JOIN vty ON vty.v = t""",
+      FROM ck GROUP BY POI_id) JOIN wvoc ON value = POI_id JOIN vnm ON vnm.v = n JOIN vty ON vty.v = t""",
 )
 
 
@@ -187,17 +238,17 @@ cte(
     ),
 )
 def step_categories(spark, sf_dir):
-    rows = training(spark, sf_dir)
+    rows = checkins(spark, sf_dir)
     vocabularies = [features.build_vocab(rows, c) for c in ("POI_id", "POI_catname", "POI_category")]
     categories = features.category_index(rows, *vocabularies, order=ORDER)
-    named = sequences.step_categories(training_steps(spark, sf_dir), categories)
+    named = sequences.step_categories(all_steps(spark, sf_dir), categories)
     return named.select("trajectory_id", "step", "in_cat", "in_category", "label_cat", "label_category")
 
 
 @query("train_sequences_packed", sql(TRAIN, "SELECT trajectory_id, step, in_poi, in_time, label_poi, label_week FROM trs"))
 def train_sequences_packed(spark, sf_dir):
     """The array form, flattened again."""
-    packed = sequences.pack(training_steps(spark, sf_dir))
+    packed = sequences.pack(all_steps(spark, sf_dir))
     both = F.arrays_zip("input_seq", "label_seq")
     return packed.select("trajectory_id", F.posexplode(both).alias("step", "p")).select(
         "trajectory_id",
@@ -240,7 +291,7 @@ LOCATIONS = ["in_lat", "in_lon", "label_lat", "label_lon"]
     ),
 )
 def relative_location(spark, sf_dir):
-    placed = sequences.relative_location(training_steps(spark, sf_dir), LOCATIONS)
+    placed = sequences.relative_location(all_steps(spark, sf_dir), LOCATIONS)
     return placed.select("trajectory_id", "step", *[F.round(f"rel_{c}", 9).alias(f"rel_{c}") for c in LOCATIONS])
 
 
@@ -254,7 +305,7 @@ def relative_location(spark, sf_dir):
     ),
 )
 def last_context(spark, sf_dir):
-    rows = sequences.last_context(training_steps(spark, sf_dir))
+    rows = sequences.last_context(all_steps(spark, sf_dir))
     return rows.withColumns({c: F.round(c, 9) for c in ("last_lat", "last_lon")})
 
 
@@ -281,7 +332,7 @@ def _padded(column: str, kind: str) -> str:
     ),
 )
 def padded_batches(spark, sf_dir):
-    rows = sequences.padded_batches(training_steps(spark, sf_dir))
+    rows = sequences.padded_batches(all_steps(spark, sf_dir))
     return rows.select("batch", "trajectory_id", "pos", "in_poi", "in_time", "label_poi", "label_time")
 
 
@@ -306,8 +357,11 @@ def training_edges(spark, sf_dir):
 
 def candidates(spark, sf_dir):
     """Scores and labels of all validation steps from the training flow map."""
-    steps = validation_steps(spark, sf_dir)
-    scores = sequences.rank_next(steps, training_edges(spark, sf_dir))
+    # Both are read by the scores and again by what uses them.
+    name = uuid.uuid4().hex
+    steps = kept(validation_steps(spark, sf_dir), f"steps-{name}")
+    edges = kept(training_edges(spark, sf_dir), f"edges-{name}")
+    scores = sequences.rank_next(steps, edges)
     labels = steps.select(
         F.col("trajectory_id").alias("traj_id"), "step", F.col("label_poi").alias("item")
     )
@@ -361,6 +415,33 @@ def rank_next_filled(spark, sf_dir):
     return ranked.withColumn("score", F.round("score", 9))
 
 
+cte("pal", "SELECT idx AS item, count(*) AS c FROM trv GROUP BY idx")
+
+
+@query(
+    "rank_next_all",
+    sql(
+        SCORES + " pal",
+        """SELECT trajectory_id, step, item, round(score, 9) AS score FROM (
+          SELECT trajectory_id, step, item, score FROM vas JOIN shr ON src = in_poi
+          UNION ALL
+          SELECT trajectory_id, step, item, -CAST(r AS DOUBLE) FROM vas JOIN (
+            SELECT s, item, row_number() OVER (PARTITION BY s ORDER BY c DESC, item) AS r
+            FROM (SELECT DISTINCT in_poi AS s FROM vas) CROSS JOIN pal
+            WHERE NOT EXISTS (SELECT 1 FROM shr WHERE src = s AND shr.item = pal.item)) ON s = in_poi)""",
+    ),
+)
+def rank_next_all(spark, sf_dir):
+    """Every known place as a candidate of every step; busy places are salted."""
+    index = vocabulary(spark, sf_dir).withColumnRenamed("value", "node")
+    popular = flow.flow_nodes(training(spark, sf_dir), order=ORDER).join(index, "node")
+    popular = popular.select(F.col("idx").alias("node"), "checkin_cnt")
+    ranked = sequences.rank_next(
+        validation_steps(spark, sf_dir), training_edges(spark, sf_dir), popular=popular, hot_rows=20
+    )
+    return ranked.withColumn("score", F.round("score", 9))
+
+
 def _persistence(batches):
     """A stand-in scorer: the visited place again, surer the smaller the time step."""
     for pdf in batches:
@@ -379,3 +460,24 @@ def _persistence(batches):
 def score_sequences(spark, sf_dir):
     schema = "trajectory_id string, step int, item long, score double"
     return sequences.score_sequences(validation_steps(spark, sf_dir), _persistence, schema)
+
+
+@query("train_sequences_hot", sql(TRAIN, "SELECT * FROM trs"))
+def train_sequences_hot(spark, sf_dir):
+    """The same sequences with every trajectory of over 18 rows cut into ranges."""
+    rows = checkins(spark, sf_dir)
+    return sequences.train_sequences(rows, features.build_vocab(rows, "POI_id"), order=ORDER, hot_rows=18)
+
+
+@query(
+    "relative_location_hot",
+    sql(
+        TRAIN,
+        "SELECT trajectory_id, step, "
+        + ", ".join(f"round({_relative_sql(c, 'step')}, 9) AS rel_{c}" for c in LOCATIONS)
+        + " FROM trs",
+    ),
+)
+def relative_location_hot(spark, sf_dir):
+    placed = sequences.relative_location(all_steps(spark, sf_dir), LOCATIONS, hot_rows=18)
+    return placed.select("trajectory_id", "step", *[F.round(f"rel_{c}", 9).alias(f"rel_{c}") for c in LOCATIONS])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajflow.operators.flow import dense_rows, indexed_edges, node_index
+from trajflow.operators.corpus import CHUNK, TOTALS
 from trajflow.operators.ordered import dense_index
 from trajflow.sources.schema import (
     CHECKIN,
@@ -141,11 +142,44 @@ def read_samples(spark: SparkSession, path: str, multiline: bool = False) -> Dat
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    metadata.write.json(path)
-
-
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METADATA).option("multiLine", True).json(path)
+    """The parts of ``corpus_metadata`` as one JSON object in one file, a line for each part."""
+    inner = F.regexp_extract(F.to_json("values"), r"(?s)^\[(.*)\]$", 1)
+    place = {kind: i for i, kind in enumerate(("place_name", "place_type", *TOTALS))}
+    section = F.coalesce(*[F.when(F.col("kind") == k, F.lit(2 * i + 1)) for k, i in place.items()])
+    listed = F.col("values").isNotNull()
+    line = F.when(listed, F.concat(F.when(F.col("chunk") > 0, F.lit(",")).otherwise(F.lit("")), inner)).otherwise(
+        F.concat(
+            F.when(F.col("kind") == TOTALS[0], F.lit("")).otherwise(F.lit(",")), F.lit('"'), "kind", F.lit('":'),
+            F.col("total").cast("string"),
+        )
+    )
+    lines = metadata.select(section.alias("section"), "chunk", line.alias("value"))
+    frame = [(0, '{"valid_place_names":['), (2, '],"valid_place_types":['), (4, "],"), (2 * len(place), "}")]
+    fixed = metadata.sparkSession.createDataFrame([(s, 0, v) for s, v in frame], "section int, chunk int, value string")
+    lines.unionByName(fixed).orderBy("section", "chunk").coalesce(1).select("value").write.text(path)
+
+
+def read_metadata(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """The document as the parts it was written from."""
+    document = spark.read.schema(METADATA).option("multiLine", True).json(path)
+
+    def parts(kind: str, column: str) -> DataFrame:
+        count = F.ceil(F.size(column) / chunk).cast("int")
+        cut = F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.struct(
+                F.lit(kind).alias("kind"), i.alias("chunk"), F.slice(column, i * chunk + 1, F.lit(chunk)).alias("values"),
+                F.lit(None).cast("long").alias("total"),
+            ),
+        )
+        return document.filter(F.size(column) > 0).select(F.inline(cut))
+
+    none = F.lit(None).cast("array<string>").alias("values")
+    totals = F.array(
+        *[F.struct(F.lit(c).alias("kind"), F.lit(0).alias("chunk"), none, F.col(c).alias("total")) for c in TOTALS]
+    )
+    lists = parts("place_name", "valid_place_names").unionByName(parts("place_type", "valid_place_types"))
+    return lists.unionByName(document.select(F.inline(totals)))
 
 
 def write_training_lines(prompts: DataFrame, path: str) -> None:
