@@ -1,18 +1,26 @@
 """Removal of long repeated passages by a compacted De Bruijn graph of token k-mers.
 
-The edges of the graph are a document's windows of ``length`` consecutive words. Each
-window is entered at its anchor, the k-mer in it with the smallest hash, which equal
-windows share. Consecutive windows with one anchor are compacted to a path, known by
-its content and its coordinates in the source (document, first window, windows). Joins
-on anchors keep those that occur in several documents. Where an anchor has a single
-path, all of the path's windows repeat together and the first document keeps them.
-Anchors at which paths branch are resolved window by window, from the words at one
-source of each path, so that every removed word is covered by a window that is verified
-to start in a document with a smaller id.
-
-Nothing is removed from null or empty texts. A null id counts as larger than any other.
-Rows with one id are parts of one document: none repeats another, each has its own
-result row. Other columns are ignored, whatever their names. Hashes have 64 bits.
+A window of ``length`` consecutive words is an edge of the graph, from the k-mer of its
+first words to that of its last (k is one less than ``length``).
+
+1. Only windows that may repeat become edges: equal windows share their anchor, the
+   5-mer in them with the smallest hash, so windows whose anchor is in one document
+   only are left out, and so are copies of whole texts (told by their SHA-256).
+2. Edges that occur in several documents are kept with the coordinates of their source,
+   the first document that has them. A k-mer with one such edge in and one out doesn't
+   branch; joins on k-mers link the two, and pointer jumping (a join a round, the
+   reach doubling each time) compacts every nonbranching path to its first edge.
+3. Occurrences behind their source are put together along a path: neighbouring windows
+   of a document whose sources are neighbours too are one span with the coordinates
+   of one source span.
+4. The words of each span and of its source span are fetched from the two texts and
+   compared. Hashes only propose; were two to collide, the windows of their edges
+   would be grouped by their words instead.
+
+Every word of a verified span is removed. Nothing is removed from null or empty texts.
+A null id counts as larger than any other. Rows with one id are parts of one document:
+none repeats another, each has its own result row. Other columns are ignored, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +41,15 @@ KMER = 5
 _LAST = (1 << 63) - 1
 
 
-def paths(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Text, first window, windows, anchor and path hash of every path; all window hashes."""
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
+    """Text, first window, windows and anchor of every run of windows with one anchor."""
     starts, ends, doc = W.bounds(data, offsets)
     hashes = W.hash_words(data, starts, ends)
     begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
-    at, window = W.windows(hashes, doc, length)
+    at, _ = W.windows(hashes, doc, length)
     if not len(at):
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     k = min(KMER, length)
     span = length - k + 1
     kmer = np.zeros(len(hashes) - k + 1, np.uint64)
@@ -53,59 +61,92 @@ def paths(data: np.ndarray, offsets: np.ndarray, length: int):
         anchor[i : i + (1 << 18)] = at[i : i + (1 << 18)] + least[at[i : i + (1 << 18)]].argmin(axis=1)
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]])))
     count = np.diff(np.append(first, len(at)))
-    with np.errstate(over="ignore"):
-        path = W.mix(window[first] + W.mix(window[first + count - 1] + count.astype(np.uint64)))
     owner = doc[at[first]]
-    return owner, at[first] - begin[owner], count, kmer[anchor[first]], path
+    return owner, at[first] - begin[owner], count, kmer[anchor[first]]
 
 
 def _scan(docs: DataFrame, length: int, whole: bool) -> DataFrame:
-    """Anchors of every document; ``whole`` adds paths and coordinates."""
-    names = ["doc", "anchor"] + (["part", "path", "first", "count"] if whole else [])
+    """Anchors of every document; ``whole`` adds coordinates."""
+    names = ["doc", "anchor"] + (["part", "first", "count"] if whole else [])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in W.blocks(batch.column(2), BLOCK_BYTES):
-                owner, first, count, anchor, path = paths(data, offsets, length)
+                owner, first, count, anchor = stretches(data, offsets, length)
                 take = pa.array(owner)
                 columns = [batch.column(0).slice(i, j - i).take(take), pa.array(anchor.view(np.int64))]
                 if whole:
                     columns += [
-                        batch.column(1).slice(i, j - i).take(take), pa.array(path.view(np.int64)),
+                        batch.column(1).slice(i, j - i).take(take),
                         pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = "doc long, anchor long" + (", part long, path long, first int, count int" if whole else "")
+    fields = "doc long, anchor long" + (", part long, first int, count int" if whole else "")
     return docs.select("doc", "part", "text").mapInArrow(scan, fields)
 
 
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Hash of each wanted window of rows (doc, part, text, wanted: first and count)."""
+def _asked(batch: pa.RecordBatch, i: int, j: int):
+    """Row and fields of each entry of column 3 of rows ``i`` to ``j``."""
+    wanted = batch.column(3).slice(i, j - i)
+    owner = np.repeat(np.arange(j - i), wanted.value_lengths().to_numpy())
+    return owner, wanted.flatten()
+
+
+def _edges(rows: DataFrame, length: int) -> DataFrame:
+    """``src, dst, doc, part, first`` of each wanted window of rows (doc, part, text, wanted: first and count)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in W.blocks(batch.column(2), BLOCK_BYTES):
                 starts, ends, doc = W.bounds(data, offsets)
-                at, window = W.windows(W.hash_words(data, starts, ends), doc, length)
-                begin = np.searchsorted(doc[at], np.arange(j - i))
-                wanted = batch.column(3).slice(i, j - i)
-                owner = np.repeat(np.arange(j - i), wanted.value_lengths().to_numpy())
-                flat = wanted.flatten()
+                at, kmer = W.windows(W.hash_words(data, starts, ends), doc, length - 1)
+                node = np.zeros(len(starts) + 1, np.uint64)
+                node[at] = kmer
+                begin = np.searchsorted(doc, np.arange(j - i))
+                owner, flat = _asked(batch, i, j)
                 first, count = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
                 owner, first = np.repeat(owner, count), np.repeat(first, count) + (
                     np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 )
+                place, take = begin[owner] + first, pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(node[place].view(np.int64)), pa.array(node[place + 1].view(np.int64)),
+                        *(batch.column(c).slice(i, j - i).take(take) for c in (0, 1)), pa.array(first.astype(np.int32)),
+                    ],
+                    ["src", "dst", "doc", "part", "first"],
+                )
+
+    return rows.mapInArrow(scan, "src long, dst long, doc long, part long, first int")
+
+
+def _passages(rows: DataFrame, length: int) -> DataFrame:
+    """``doc, part, first, count, body``: the words of wanted windows, from rows (doc, part, text, wanted: first and count)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in W.blocks(batch.column(2), BLOCK_BYTES):
+                starts, ends, doc = W.bounds(data, offsets)
+                begin = np.searchsorted(doc, np.arange(j - i))
+                owner, flat = _asked(batch, i, j)
+                first, count = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
+                low = begin[owner] + first
+                # Equal words may be set apart by different white space, so they are joined anew.
+                bodies = [
+                    b" ".join(data[starts[a] : ends[b - 1]].tobytes().split())
+                    for a, b in zip(low.tolist(), (low + count + length - 1).tolist())
+                ]
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i).take(take), batch.column(1).slice(i, j - i).take(take),
-                        pa.array(window[begin[owner] + first].view(np.int64)), pa.array(first.astype(np.int32)),
+                        *(batch.column(c).slice(i, j - i).take(take) for c in (0, 1)),
+                        flat.field(0), flat.field(1), pa.array(bodies, pa.binary()),
                     ],
-                    ["doc", "part", "window", "first"],
+                    ["doc", "part", "first", "count", "body"],
                 )
 
-    return rows.mapInArrow(scan, "doc long, part long, window long, first int")
+    return rows.mapInArrow(scan, "doc long, part long, first int, count int, body binary")
 
 
 def _kept(rows: DataFrame, length: int) -> DataFrame:
@@ -117,11 +158,11 @@ def _kept(rows: DataFrame, length: int) -> DataFrame:
             for text, spans in zip(batch.column(2), batch.column(3)):
                 words = (text.as_py() or "").encode().split()
                 n, found = len(words), spans.as_py()
-                if found:
+                if found and n >= length:
                     change = np.zeros(n + 1, np.int64)
                     for s in found:
                         change[s["first"]] += 1
-                        change[s["first"] + s["count"] - 1 + length] -= 1
+                        change[min(n, s["first"] + s["count"] - 1 + length)] -= 1
                     words = [w for w, c in zip(words, np.cumsum(change)) if not c]
                 out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             columns = list(zip(*out)) if out else [[], [], []]
@@ -136,6 +177,100 @@ def _kept(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def _edge():
+    return F.xxhash64("src", "dst")
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """``edge, path``: the first edge of the nonbranching path that each edge (``src``, ``dst``) is on.
+
+    Edges are named by a hash. On a path that closes to a ring any of its edges may stand for it.
+    """
+    into = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("a")).where("n = 1")
+    out = edges.groupBy("src").agg(F.count("*").alias("m"), F.min("dst").alias("b")).where("m = 1")
+    links = into.join(out, F.col("dst") == F.col("src")).select(
+        F.xxhash64("a", "dst").alias("before"), F.xxhash64("src", "b").alias("edge")
+    )
+    named = edges.select(_edge().alias("edge")).join(links, "edge", "left")
+    state = written(named.select("edge", F.coalesce("before", "edge").alias("path"), F.col("before").isNull().alias("done")), "paths")
+    left = None
+    while True:
+        now = state.where("NOT done").count()
+        # On chains every round brings some edges to the end; what stays as it is are rings.
+        if not now or now == left:
+            return state
+        left = now
+        ahead = state.select(F.col("edge").alias("at"), F.col("path").alias("to"), F.col("done").alias("ended"))
+        moved = state.where("NOT done").join(ahead, F.col("path") == F.col("at")).select(
+            "edge", F.col("to").alias("path"), F.col("ended").alias("done")
+        )
+        old, state = state, written(state.where("done").unionByName(moved), "paths")
+        dropped(old)
+
+
+def _by_document(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, part, text, wanted) of all wanted windows (doc, part, first, count)."""
+    wanted = rows.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("wanted"))
+    return texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted")
+
+
+def repeated_spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """Verified spans (doc, part, first, count) of the candidate windows ``found`` that repeat a smaller document's."""
+    occurrences = written(_edges(_by_document(found, texts), length), "edges")
+    edges = occurrences.groupBy("src", "dst").agg(
+        F.min(F.struct("doc", "part", "first")).alias("low"), F.max("doc").alias("high")
+    ).where(F.col("low.doc") < F.col("high"))
+    edges = written(edges.select("src", "dst", "low"), "repeated")
+    paths = compacted(edges)
+    placed = edges.withColumn("edge", _edge()).join(paths.select("edge", "path"), "edge").drop("edge")
+    later = occurrences.join(placed, ["src", "dst"]).where(F.col("doc") > F.col("low.doc")).select(
+        "doc", "part", "first", "path", F.col("low.doc").alias("from_doc"), F.col("low.part").alias("from_part"),
+        (F.col("low.first") - F.col("first")).alias("shift"),
+    )
+    runs = later.groupBy("doc", "part", "path", "from_doc", "from_part", "shift").agg(
+        F.array_sort(F.collect_list("first")).alias("at")
+    )
+    at = F.col("at")
+    begins = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    ends = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1))
+    spans = runs.select("*", F.inline(F.arrays_zip(begins.alias("a"), ends.alias("b")))).select(
+        "doc", "part", F.col("a").alias("first"), (F.col("b") - F.col("a") + 1).alias("count"),
+        "from_doc", "from_part", (F.col("a") + F.col("shift")).alias("from_first"),
+    )
+    spans = written(spans, "spans")
+    dropped(paths, edges)
+
+    # The words at both coordinates; a source span is fetched once, however many repeat it.
+    sources = spans.select(
+        F.col("from_doc").alias("doc"), F.col("from_part").alias("part"), F.col("from_first").alias("first"), "count"
+    ).distinct()
+    asked = spans.select("doc", "part", "first", "count").unionByName(sources).distinct()
+    bodies = written(_passages(_by_document(asked, texts), length), "passages")
+    own = spans.join(bodies, ["doc", "part", "first", "count"])
+    source = bodies.select(
+        F.col("doc").alias("from_doc"), F.col("part").alias("from_part"), F.col("first").alias("from_first"), "count", "body"
+    )
+    keys = ["from_doc", "from_part", "from_first", "count"]
+    compared = own.join(source.withColumnRenamed("body", "source"), keys)
+    compared = written(
+        compared.select("doc", "part", "first", "count", (F.col("body") == F.col("source")).alias("same")), "compared"
+    )
+    dropped(bodies, spans)
+    good = compared.where("same").select("doc", "part", "first", "count")
+    wrong = compared.where("NOT same")
+    if wrong.isEmpty():
+        dropped(occurrences)
+        return good
+    # Hashes that collided: the windows of these edges are told apart by their words.
+    windows = wrong.select("doc", "part", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("first"))
+    bad = occurrences.join(windows, ["doc", "part", "first"]).select("src", "dst").distinct()
+    all_of = occurrences.join(bad, ["src", "dst"]).select("doc", "part", "first", F.lit(1).alias("count"))
+    words = written(_passages(_by_document(all_of, texts), length), "passages")
+    least = words.groupBy("body").agg(F.min("doc").alias("least"))
+    exact = words.join(least, "body").where("least < doc").select("doc", "part", "first", "count")
+    return good.unionByName(exact)
+
+
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     source = docs.select(
@@ -144,35 +279,27 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     )
     repeated_ids = not source.groupBy("doc").count().where("count > 1").isEmpty()
     source = source.withColumn("part", F.xxhash64("text") if repeated_ids else F.lit(0).cast("long"))
+    texts = source.where("text IS NOT NULL").select("doc", "part", "text")
+    if repeated_ids:
+        texts = texts.distinct()
 
-    anchors = _scan(source, length, False).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    digests = texts.select("doc", "part", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    same = written(digests.join(first, "digest").where("low < doc").select("doc", "part"), "same")
+
+    anchors = _scan(texts, length, False).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     anchors = written(anchors.where("low < high").select("anchor"), "anchors")
-    found = written(_scan(source, length, True).join(anchors, "anchor"), "paths")
+    every = written(_scan(texts, length, True).join(anchors, "anchor"), "every")
     dropped(anchors)
+    others = every.join(same, ["doc", "part"], "left_anti")
+    several = others.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    found = written(others.join(several.select("anchor"), "anchor").select("doc", "part", "first", "count"), "stretches")
+    dropped(every)
 
-    lowest = written(found.groupBy("path").agg(F.min("doc").alias("low")), "lowest")
-    named = found.join(lowest, "path")
-    whole = written(named.where("low < doc").select("doc", "part", "first", "count"), "whole")
-
-    branching = found.groupBy("anchor").agg(F.min("path").alias("p"), F.max("path").alias("q")).where("p != q")
-    wanted = (
-        named.where("low = doc").join(branching.select("anchor"), "anchor")
-        .groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("wanted"))
-    )
-    wanted = written(wanted, "wanted")
-    dropped(found, lowest)
-    texts = source.select("doc", "part", "text")
-    if repeated_ids:
-        texts = texts.distinct()
-    windows = written(_windows(texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted"), length), "windows")
-    dropped(wanted)
-    first_in = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    single = windows.join(first_in, "window").where("low < doc").select("doc", "part", "first", F.lit(1).alias("count"))
-    spans = (
-        whole.unionByName(single).groupBy("doc", "part")
-        .agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    )
-    spans = written(spans, "spans")
-    dropped(whole, windows)
+    # A copy of a whole text goes from its first word to behind its last.
+    copies = same.select("doc", "part", F.lit(0).alias("first"), F.lit(1 << 30).alias("count"))
+    spans = copies.unionByName(repeated_spans(texts, found, length))
+    spans = written(spans.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "lists")
+    dropped(same, found)
     joined = source.join(spans, ["doc", "part"], "left")
     return _kept(joined.select("doc_id", "part", "text", "spans"), length)
