@@ -15,6 +15,8 @@ columns are ignored, whatever their names. Ties go to the language first in orde
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,8 @@ from trajflow.llm import words as W
 SLOTS = 1 << 15
 BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
-#: First code points of script ranges (fixed values), and the script that begins there.
+#: First code points of script ranges (fixed values), and the script that begins there. Letters in a range
+#: without script count as "other"; what is a letter, the Unicode category says.
 RANGES = [
     (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"),
     (0x00AA, "latin"), (0x00AB, "none"), (0x00B5, "latin"), (0x00B6, "none"), (0x00BA, "latin"),
@@ -44,10 +47,19 @@ _FIRST = np.array([first for first, _ in RANGES])
 _SCRIPT = np.array([SCRIPTS.index(name) for _, name in RANGES])
 
 
+@functools.cache
+def _script_of() -> np.ndarray:
+    """Script number of every code point that is a letter, 0 of the others."""
+    points = np.arange(sys.maxunicode + 1)
+    letter = np.fromiter((chr(p).isalpha() for p in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    script = _SCRIPT[np.searchsorted(_FIRST, points, "right") - 1]
+    return np.where(letter, np.where(script == 0, SCRIPTS.index("other"), script), 0)
+
+
 def _scripts(data: np.ndarray) -> np.ndarray:
-    """Script number at the first byte of every character, 0 elsewhere."""
+    """Script number at the first byte of every letter, 0 elsewhere."""
     ascii_ = np.zeros(256, np.int64)
-    ascii_[:128] = _SCRIPT[np.searchsorted(_FIRST, np.arange(128), "right") - 1]
+    ascii_[:128] = _script_of()[:128]
     out = ascii_[data]
     lead = np.flatnonzero(data >= 0xC0)
     if len(lead):
@@ -60,7 +72,7 @@ def _scripts(data: np.ndarray) -> np.ndarray:
                 (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | (d & 63),
             ),
         )
-        out[lead] = _SCRIPT[np.searchsorted(_FIRST, point, "right") - 1]
+        out[lead] = _script_of()[np.minimum(point, sys.maxunicode)]
     return out
 
 
