@@ -2,13 +2,17 @@
 
 Each partition packs its own items best fit, longest first. Sequences that are full,
 or nearly so, are final. The others become items of the next round, in which the
-partitions' leftovers meet in fewer partitions, until one is left. Of a partition's
-leftovers the ``carry`` emptiest go on and the rest are final too, so a task of a
-later round gets at most ``fan_in * carry`` items, however large the input is.
+leftovers of ``fan_in`` partitions meet, until one partition is left. Best fit leaves at
+most one sequence of a partition half empty, since two would fit together. It goes on,
+and with it the ``fan_in`` emptiest of the others: two that are over half full never
+fit together, so a partition can fill no more of them than half-empty sequences come.
+A task of a later round thus gets at most ``fan_in * (fan_in + 1)`` items, and nothing
+that could still be merged is left out.
 
 Pieces longer than ``limit`` are an error of the caller (``sequences`` cuts them);
-pieces of no tokens take a place of no length. Ties are broken by document id, piece
-and partition, equal rows are packed as separate items, an empty table gives none.
+pieces of no tokens take a place of no length. Ids may be null or repeated: pieces are
+dealt to partitions by their place. Ties are broken by document id, piece and partition,
+equal rows are packed as separate items, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -58,14 +62,15 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def _round(number: int, limit: int, slack: int, carry: int):
+def _round(number: int, limit: int, slack: int, larger: int):
     def pack(items: pd.DataFrame) -> pd.DataFrame:
         items = items.iloc[sorted(range(len(items)), key=lambda i: _key(items["members"].iat[i][0]))]
         used, members, part = items["used"].tolist(), items["members"].tolist(), int(items["to"].iat[0])
         bins = best_fit(used, limit)
         sums = [sum(used[i] for i in b) for b in bins]
         loose = sorted((s, n) for n, s in enumerate(sums) if s < limit - slack)
-        onward = {n for _, n in loose[:carry]}
+        small = sum(s <= limit // 2 for s, _ in loose)
+        onward = {n for _, n in loose[: small + larger]} if larger else set()
         placed = []
         for b in bins:
             at, inside = 0, []
@@ -91,7 +96,7 @@ def _key(first) -> tuple:
 
 
 def pack(
-    pieces: DataFrame, limit: int, slack: int = 4, items: int = ITEMS, carry: int = 1024, fan_in: int = 8
+    pieces: DataFrame, limit: int, slack: int = 4, items: int = ITEMS, fan_in: int = 8
 ) -> DataFrame:
     """Give each piece (doc_id, piece, start, length, ids_crc32) a sequence and a place.
 
@@ -113,13 +118,14 @@ def pack(
         (-1 - F.monotonically_increasing_id()).alias("number"), alone.alias("members")
     )
     current = pieces.where(F.col("length") < limit).select(
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int").alias("to"),
+        # By place in the written table, so that rows of null or repeated ids are spread like any others.
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("to"),
         F.col("length").cast("int").alias("used"),
         alone.alias("members"),
     )
     done, number = [full], 0
     while True:
-        step = _round(number, limit, slack, carry if parts > 1 else 0)
+        step = _round(number, limit, slack, fan_in if parts > 1 else 0)
         packed = kept(current.groupBy("to").applyInPandas(step, _BIN), "bins")
         done.append(packed.where("final").select("number", "members"))
         if parts == 1:
