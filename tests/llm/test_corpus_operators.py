@@ -141,6 +141,55 @@ def test_substrings_against_a_scan(docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def repeats(rows, length=13):
+    """(words, removed, digest) of each row by a scan over all windows; rows of one id are parts of one document."""
+    first, out = {}, Counter()
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - length + 1):
+            window = tuple(w[k : k + length])
+            first[window] = min(first.get(window, float("inf")), float("inf") if i is None else i)
+    for i, t in rows:
+        w = words(t)
+        covered = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if first[tuple(w[k : k + length])] < (float("inf") if i is None else i):
+                covered[k : k + length] = [True] * length
+        left = " ".join(x for x, c in zip(w, covered) if not c)
+        out[i, len(w), sum(covered), hashlib.sha256(left.encode()).hexdigest()] += 1
+    return out
+
+
+def test_substrings_with_every_odd_row(spark, docs):
+    more = [(20, "ring " * 40), (21, "a b " * 30), (22, "ring " * 25 + "x"), (23, " ".join(BASE) + " tail"), (None, LONG)]
+    more += [(23, "second part of twenty-three " + LONG), (30, LONG.replace(" ", "\t")), (31, "b a " * 20)]
+    rows = [*ROWS, *more]
+    table = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], SCHEMA).repartition(3)
+    out = substring.remove_repeats(table).collect()
+    assert Counter(map(tuple, out)) == repeats(rows)
+
+
+def test_substrings_over_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    assert Counter(map(tuple, substring.remove_repeats(table).collect())) == repeats(rows)
+
+
+def test_substrings_survive_colliding_hashes(spark, monkeypatch):
+    """Every k-mer has one of two hashes, so edges say nothing; the words decide."""
+    real = substring.W.windows
+
+    def weak(hashes, doc, k):
+        at, found = real(hashes, doc, k)
+        return at, found % np.uint64(2)
+
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(40))) for i in range(6)]
+    rows += [(9, rows[2][1] + " more words"), (10, "start " + rows[3][1])]
+    monkeypatch.setattr(substring.W, "windows", weak)
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, out)) == repeats(rows)
+
+
 def test_tokens_round_trip_and_pack(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -155,7 +204,7 @@ def test_tokens_round_trip_and_pack(spark, docs, none):
     }
     assert tokenize.digests(docs).count() == len(ROWS) and tokenize.digests(none).count() == 0
     pieces = tokenize.sequences(docs, 0, 16)
-    packed = packing.pack(pieces, 16, items=20, carry=3).collect()
+    packed = packing.pack(pieces, 16, items=20, fan_in=2).collect()
     assert len(packed) == pieces.count()
     bins = defaultdict(list)
     for r in packed:
@@ -186,6 +235,61 @@ def test_secrets(docs, none):
     assert secrets.digests(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "the secretary explained responsibilities", "a key characteristic is interoperability",
+    "passengers from Constantinople", "the token represents approximately", "monkey see extraordinarily",
+    "the auth service needs internationalization", "der Token der Donaudampfschifffahrtsgesellschaft",
+])
+def test_plain_words_are_no_secrets(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.digests(docs).first().spans == ""
+    assert secrets.redacted(docs).first().text == text
+
+
+def test_novelty_tells_random_strings_from_words():
+    rng = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    around = "the configuration of the service is described here"
+    strings = ["".join(rng.choice(letters, n)) for n in (12, 16, 24, 40) for _ in range(50)]
+    assert min(secrets.novelty(s, around, b"") for s in strings) >= secrets.LEAST
+    plain = ["internationalization", "Constantinople", "get_user_response_type", "extraordinarily", "configuration"]
+    assert max(secrets.novelty(s, around, b"") for s in plain) < secrets.LEAST
+
+
+def test_packing_against_the_tokenizer_and_the_lower_bound(spark, docs):
+    """Ids, cuts, digests and places by the library; thousands of null ids spread over the partitions."""
+    import zlib
+
+    tokenizer = tokenize._tokenizer(tokenize.vocabulary())
+    pieces = tokenize.sequences(docs, 0, 16)
+    want = Counter()
+    for i, t in ROWS:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for n, at in enumerate(range(0, len(ids), 16)):
+            part = np.array(ids[at : at + 16], "<u4")
+            want[i, n, at, len(part), zlib.crc32(part.tobytes())] += 1
+    packed = packing.pack(pieces, 16, items=20, fan_in=2).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 60, 3_000).tolist()
+    many = spark.createDataFrame(
+        [(None, 0, 0, n, 7) for n in lengths], "doc_id long, piece int, start long, length long, ids_crc32 long"
+    )
+    placed = packing.pack(many, 64, slack=0, items=100, fan_in=4)
+    rows = placed.collect()
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    by_bin = defaultdict(list)
+    for r in rows:
+        by_bin[r.sequence_id].append((r.offset, r.length))
+    for members in by_bin.values():
+        ends = 0
+        for offset, length in sorted(members):
+            assert offset == ends
+            ends += length
+        assert ends <= 64
+    assert len(by_bin) <= 1.05 * len(packing.best_fit(lengths, 64))
+
+
 SECRET = "q8Zr2LxV9tKw3PfB"
 
 
