@@ -36,7 +36,7 @@ from trajflow.llm import words as W
 from trajflow.llm.components import written
 
 #: Text bytes and documents of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 1 << 16
 #: Units encoded at a time.
 _AT_ONCE = 20_000
