@@ -6,6 +6,9 @@ first words to that of its last (k is one less than ``length``).
 1. Only windows that may repeat become edges: equal windows share their anchor, the
    5-mer in them with the smallest hash, so windows whose anchor is in one document
    only are left out, and so are copies of whole texts (told by their SHA-256).
+   Consecutive windows with one anchor are a stretch. Stretches with the same words are
+   settled together by grouping the words themselves; where all stretches of an anchor
+   have the same words nothing branches, and the others go on, window by window.
 2. Edges that occur in several documents are kept with the coordinates of their source,
    the first document that has them. A k-mer with one such edge in and one out doesn't
    branch; joins on k-mers link the two, and pointer jumping (a join a round, the
@@ -122,7 +125,7 @@ def _edges(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _passages(rows: DataFrame, length: int) -> DataFrame:
-    """``doc, part, first, count, body``: the words of wanted windows, from rows (doc, part, text, wanted: first and count)."""
+    """``doc, part, first, count, anchor, body``: the words of wanted windows, from rows (doc, part, text, wanted)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,12 +144,12 @@ def _passages(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(i, j - i).take(take) for c in (0, 1)),
-                        flat.field(0), flat.field(1), pa.array(bodies, pa.binary()),
+                        flat.field(0), flat.field(1), flat.field(2), pa.array(bodies, pa.binary()),
                     ],
-                    ["doc", "part", "first", "count", "body"],
+                    ["doc", "part", "first", "count", "anchor", "body"],
                 )
 
-    return rows.mapInArrow(scan, "doc long, part long, first int, count int, body binary")
+    return rows.mapInArrow(scan, "doc long, part long, first int, count int, anchor long, body binary")
 
 
 def _kept(rows: DataFrame, length: int) -> DataFrame:
@@ -209,11 +212,32 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def _by_document(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, part, text, wanted) of all wanted windows (doc, part, first, count)."""
-    wanted = rows.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("wanted"))
+    """(doc, part, text, wanted: first, count, anchor) of all wanted windows (doc, part, first, count and maybe anchor)."""
+    anchor = F.col("anchor") if "anchor" in rows.columns else F.lit(0).cast("long").alias("anchor")
+    wanted = rows.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count", anchor)).alias("wanted"))
     return texts.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted")
 
 
+def settled(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of stretches whose words as a whole are a smaller document's, and the stretches that need the graph.
+
+    Stretches are grouped by their words, so copies leave one row a task. A
+    stretch is for the graph if its document is the first with these words and
+    other words stand at the anchor elsewhere.
+    """
+    bodies = written(_passages(_by_document(found, texts), length), "bodies")
+    different = written(bodies.groupBy("anchor", "body").agg(F.min("doc").alias("low")), "different")
+    several = different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    both = bodies.join(different, ["anchor", "body"]).drop("body")
+    both = written(both, "placed")
+    dropped(bodies)
+    columns = ["doc", "part", "first", "count"]
+    branching = written(both.where("doc = low").join(several, "anchor").select(*columns), "branching")
+    copies = written(both.where("doc > low").select(*columns), "copies")
+    dropped(different, both)
+    return copies, branching
+
+
 def repeated_spans(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """Verified spans (doc, part, first, count) of the candidate windows ``found`` that repeat a smaller document's."""
     occurrences = written(_edges(_by_document(found, texts), length), "edges")
@@ -293,13 +317,15 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     dropped(anchors)
     others = every.join(same, ["doc", "part"], "left_anti")
     several = others.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    found = written(others.join(several.select("anchor"), "anchor").select("doc", "part", "first", "count"), "stretches")
+    found = written(others.join(several.select("anchor"), "anchor"), "stretches")
     dropped(every)
+    alike, branching = settled(texts, found, length)
+    dropped(found)
 
     # A copy of a whole text goes from its first word to behind its last.
     copies = same.select("doc", "part", F.lit(0).alias("first"), F.lit(1 << 30).alias("count"))
-    spans = copies.unionByName(repeated_spans(texts, found, length))
+    spans = copies.unionByName(alike).unionByName(repeated_spans(texts, branching, length))
     spans = written(spans.groupBy("doc", "part").agg(F.collect_list(F.struct("first", "count")).alias("spans")), "lists")
-    dropped(same, found)
+    dropped(same, alike, branching)
     joined = source.join(spans, ["doc", "part"], "left")
     return _kept(joined.select("doc_id", "part", "text", "spans"), length)
