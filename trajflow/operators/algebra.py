@@ -6,6 +6,7 @@ A matrix is a table ``src, dst, value`` of its stored cells, a vector table is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajflow.functions.expressions import dot, leaky_relu
-from trajflow.session import cut_lineage
+from trajflow.session import cut_lineage, remove_at_exit, scratch_path
 
 # The names of the matrix kinds.
 KINDS = ("com_lap_mat", "wid_rw_normd_lap_mat", "hat_rw_normd_lap_mat")
@@ -79,10 +80,27 @@ def walk_matrix(edges: DataFrame, nodes: DataFrame, weight: str = "weight", shif
 
 
 def hashed_cells(matrix: DataFrame, nodes: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The matrix hashed by ``dst`` and checkpointed, with an empty diagonal cell for every node."""
-    n = partitions or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The matrix as a table bucketed by ``dst``, with an empty diagonal cell for every node.
+
+    Joins by ``dst`` read the buckets where they lie. The table is temporary:
+    its files go with the session, its name with :func:`drop_cells`.
+    """
+    spark = matrix.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     empty = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("value"))
-    return cut_lineage(matrix.select("src", "dst", "value").unionByName(empty).repartition(n, "dst"))
+    cells = matrix.select("src", "dst", "value").unionByName(empty).repartition(n, "dst")
+    name = f"cells_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    cells.write.bucketBy(n, "dst").sortBy("dst").format("parquet").option("path", path).saveAsTable(name)
+    remove_at_exit(spark, path)
+    table = spark.table(name)
+    table.cells_name = name
+    return table
+
+
+def drop_cells(cells: DataFrame) -> None:
+    """Take the name of :func:`hashed_cells` out of the catalog."""
+    cells.sparkSession.sql(f"DROP TABLE IF EXISTS {cells.cells_name}")
 
 
 def _step(cells: DataFrame, vector: DataFrame) -> DataFrame:
@@ -145,10 +163,9 @@ def dominant_eigenvalue(
     while done < iterations:
         found = iterate(cells, vector, min(per_checkpoint, iterations - done), per_checkpoint)
         value, residual = eigenpair(found, 1.0).first()
-        if value is None:
-            return 0.0
-        if residual < tolerance:
-            return value
+        if value is None or residual < tolerance:
+            drop_cells(cells)
+            return value or 0.0
         vector, done = found.select("node", F.col("y").alias("x")), done + per_checkpoint
     raise ArithmeticError(f"no eigenvalue after {iterations} steps: {value}, residual {residual}")
 

@@ -476,6 +476,24 @@ cte(
 )
 
 
+def _signed(spark, sf_dir):
+    """The signed graph, its nodes, and its vector after thirty steps."""
+    signed = signed_edges(spark, sf_dir)
+    left = signed.select(F.col("src").alias("node")).distinct()
+    kept_nodes = nodes(spark, sf_dir).join(left, "node", "left_semi")
+    inner = cut_lineage(signed.join(kept_nodes.select(F.col("node").alias("dst")), "dst"))
+    cells = algebra.hashed_cells(algebra.walk_matrix(inner, kept_nodes, shift=1.0), kept_nodes)
+    start = kept_nodes.select("node", F.col("checkin_cnt").alias("x"))
+    return inner, kept_nodes, algebra.iterate(cells, start, STEPS)
+
+
+@query("dominant_eigenvalue", sql(POI + " out_poi sgn sgi sgd sgm lam", "SELECT round(l, 6) AS value FROM lam"))
+def dominant_eigenvalue(spark, sf_dir):
+    """What thirty steps over a graph with negative weights say of its largest eigenvalue."""
+    _, _, found = _signed(spark, sf_dir)
+    return algebra.eigenpair(found, 1.0).select(F.round("value", 6).alias("value"))
+
+
 @query(
     "laplacian_wid_signed",
     sql(
@@ -487,14 +505,9 @@ cte(
 )
 def laplacian_wid_signed(spark, sf_dir):
     """The scaled matrix of a graph with negative weights, by the eigenvalue that thirty steps give."""
-    signed = signed_edges(spark, sf_dir)
-    left = signed.select(F.col("src").alias("node")).distinct()
-    kept = nodes(spark, sf_dir).join(left, "node", "left_semi")
-    inner = cut_lineage(signed.join(kept.select(F.col("node").alias("dst")), "dst"))
-    cells = algebra.hashed_cells(algebra.walk_matrix(inner, kept, shift=1.0), kept)
-    found = algebra.iterate(cells, kept.select("node", F.col("checkin_cnt").alias("x")), STEPS)
+    inner, kept_nodes, found = _signed(spark, sf_dir)
     value = algebra.eigenpair(found, 1.0).first()["value"]
-    out = algebra.laplacian(inner, kept, "wid_rw_normd_lap_mat", lambda_max=value)
+    out = algebra.laplacian(inner, kept_nodes, "wid_rw_normd_lap_mat", lambda_max=value)
     return out.withColumn("value", F.round("value", 7))
 
 
