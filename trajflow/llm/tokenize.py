@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 
 from trajflow.llm import wordtable
 
+#: Text bytes of a chunk whose ids are cut into sequences: each of its pieces is a row in memory.
+SEQUENCE_BYTES = 16 << 20
 #: Words a task keeps the ids of, and the characters of the longest such word.
 REMEMBERED = 2_000_000
 LONG = 256
@@ -120,12 +122,12 @@ class Placed:
 
 def encoded(
     docs: DataFrame, use: Callable[[int | None, np.ndarray], Iterator[tuple]], fields: T.StructType,
-    path: str, id_col: str = "doc_id", text_col: str = "text",
+    path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = wordtable.PACKED_BYTES,
 ) -> DataFrame:
-    """Rows that ``use(doc id, ids)`` gives for each document."""
+    """Rows that ``use(doc id, ids)`` gives for each document; a task places ``chunk_bytes`` of text at a time."""
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = wordtable.packed_chunks(docs, id_col, text_col, buckets)
+    table = wordtable.packed_chunks(docs, id_col, text_col, buckets, chunk_bytes)
     answers = encode_words(table, path, buckets)
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
@@ -207,4 +209,4 @@ def sequences(docs: DataFrame, end_id: int, limit: int, path: str | None = None)
         T.StructType().add("doc_id", "long").add("piece", "integer").add("start", "long")
         .add("length", "long").add("ids_crc32", "long")
     )
-    return encoded(docs, use, fields, path or vocabulary())
+    return encoded(docs, use, fields, path or vocabulary(), chunk_bytes=SEQUENCE_BYTES)
