@@ -318,6 +318,21 @@ def test_hot_keys_leave_small_keys_alone(spark):
     assert (row["k"], row["_parts"]) == ("a", 4)
 
 
+def test_many_keys_a_little_hot_share_ranges(spark, monkeypatch):
+    """300 keys of 20 rows, hot from 5 on: not 1,200 ranges."""
+    df = spark.range(6000).select((F.col("id") % 300).alias("k"), F.xxhash64("id").alias("b"))
+    hot, asked, cut = ordered.hot_keys(df, ["k"], 5), [], ordered.range_parts
+    monkeypatch.setattr(ordered, "range_parts", lambda d, o, parts: asked.append(parts) or cut(d, o, parts))
+    wanted = dict(previous={"before": "b"}, position="at", totals={"n": F.count("*")})
+    found = ordered.ordered(df, ["k"], ["b"], hot=hot, **wanted)
+    assert asked == [4]
+    assert sorted(found.collect(), key=repr) == sorted(ordered.ordered(df, ["k"], ["b"], **wanted).collect(), key=repr)
+    # No range is to have more than HOT_ROWS rows.
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1000)
+    ordered.ordered(df, ["k"], ["b"], hot=hot, **wanted)
+    assert asked == [4, 6]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_quantiles_equal_a_sorted_list(spark, parts):
     rng = random.Random(parts)

@@ -260,7 +260,7 @@ def _of_place(steps: DataFrame, lists: DataFrame, hot: DataFrame | None) -> Data
     """Every step with the rows of ``lists`` for its place; places in ``hot`` are salted by step."""
     if hot is None:
         return steps.join(lists, "src")
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    parts, hot = F.coalesce(F.col("_parts"), F.lit(1)), hot.select("src", "_parts")
     dealt = steps.join(hot, "src", "left").withColumn(
         "_salt", F.pmod(F.xxhash64("trajectory_id", "step"), parts).cast("int")
     )
