@@ -111,6 +111,71 @@ def test_batches_of_matches_cover_everything(monkeypatch):
     assert found == [(i, j) for i in range(40) for j in range(30) if left[i] == right[j]]
 
 
+def _above_the_counting(df, node):
+    """The physical plan's lines above ``node``."""
+    return df._jdf.queryExecution().executedPlan().toString().split(node)[0]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pairs_of_large_groups_are_final_where_they_are_counted(checkins, monkeypatch, blocks):
+    """Tiles of 5 members; pairs meet no exchange, nor a table of activities."""
+    monkeypatch.setattr(pairs, "LIGHT", 2)
+    monkeypatch.setattr(pairs, "TILE", 5)
+    monkeypatch.setattr(pairs, "OUTER", 6)
+    df = checkins(random_rows(21, n=900, users=23, pois=9))
+    similar, activity = users.similar_pairs(df), dict(map(tuple, users.user_activity(df).collect()))
+    counts, first = _oriented(random_rows(21, n=900, users=23, pois=9))
+    expected = {}
+    for a, b in counts:
+        u, v = min(a, b), max(a, b)
+        sides = [s for s in ((u, v), (v, u)) if s in counts]
+        freq = counts[max(sides, key=lambda s: first[s])]
+        expected[(u, v)] = (freq, freq / (activity[u] + activity[v] - freq))
+    assert {(r["u"], r["v"]): (r["freq"], r["similarity"]) for r in similar.collect()} == expected
+    plain = users.user_edges(df, blocks=blocks)
+    for found in (similar, plain, users.cooccurrence_pairs(df, blocks=blocks)):
+        assert "Exchange" not in _above_the_counting(found, "FlatMapGroupsInArrow")
+    ranked = users.similar_users(users.user_similarity(similar.select("u", "v", "freq"), users.user_activity(df)), 3)
+    nearest = users.nearest_users(df, 3, blocks=blocks)
+    columns = ["user_id", "neighbor", "similarity", "rk"]
+    assert sorted(nearest.select(columns).collect()) == sorted(ranked.select(columns).collect())
+
+
+def test_small_groups_are_counted_where_lists_meet(spark, rows_of):
+    """Groups of up to 9 members: partners move as lists by the smaller member, and once."""
+    rng = random.Random(6)
+    rows = {(g, f"m{rng.randrange(40)}") for g in range(60) for _ in range(9)}
+    found = pairs.count_pairs(spark.createDataFrame(sorted(rows), "g int, m string"), "g", "m")
+    groups = defaultdict(set)
+    for g, m in rows:
+        groups[g].add(m)
+    assert set(rows_of(found, "u", "v", "freq")) == _shared(groups)
+    plan = _above_the_counting(found, "Generate")
+    assert "Exchange" not in plan and "HashAggregate" in plan
+
+
+def test_large_and_small_groups_meet(spark, rows_of):
+    """A group of 30 among 400 pairs' worth of small ones, with and without order."""
+    rng = random.Random(9)
+    rows = {(0, m) for m in range(30)} | {(g, rng.randrange(60)) for g in range(1, 120) for _ in range(5)}
+    df = spark.createDataFrame([(g, m, rng.random()) for g, m in sorted(rows)], "g int, m int, at double")
+    groups = defaultdict(list)
+    for g, m, at in sorted(map(tuple, df.collect()), key=lambda r: (r[0], r[2])):
+        groups[g].append(m)
+    found = pairs.count_pairs(df, "g", "m", light=20)
+    assert set(rows_of(found, "u", "v", "freq")) == _shared(groups)
+    forward, backward, first = Counter(), Counter(), {}
+    for g, members in groups.items():
+        for a, b in combinations(members, 2):
+            pair = (min(a, b), max(a, b))
+            (forward if a < b else backward)[pair] += 1
+            first.setdefault(pair, a < b)
+    got = pairs.count_pairs(df, "g", "m", ["at"], light=20)
+    assert set(rows_of(got, "u", "v", "forward", "backward", "ahead")) == {
+        (*p, forward[p], backward[p], ahead) for p, ahead in first.items()
+    }
+
+
 def _sequences(rows, vocab, thres, users_seen=None, align=True):
     """Input and label pairs per trajectory from lists, the way files are read."""
     out = {}
