@@ -457,6 +457,26 @@ def test_propagation_in_blocks(spark, block):
         assert vector == pytest.approx(want[node].tolist())
 
 
+def test_propagation_of_repeated_vectors(spark, monkeypatch):
+    """90 nodes share 4 vectors: wide rows meet no exchange, and the sums are those of single nodes."""
+    rng = random.Random(2)
+    kinds = [[rng.uniform(-1, 1) for _ in range(7)] for _ in range(4)]
+    cells = [(a, rng.randrange(90), rng.uniform(-1, 1)) for a in range(90) for _ in range(8)]
+    matrix = spark.createDataFrame(cells, "src int, dst int, value double")
+    features_ = spark.createDataFrame([(n, kinds[n % 4]) for n in range(90)], "node int, vector array<double>")
+    layers = [([[rng.uniform(-1, 1) for _ in range(3)] for _ in range(7)], [0.1, 0, -0.1]), ([[1.0], [2.0], [3.0]], [0.5])]
+    assert algebra.repeated_vectors(matrix, features_)[1].count() == 4
+    for found in (
+        lambda r: algebra.propagate(matrix, features_, 7, 3, repeated=r),
+        lambda r: algebra.gcn_forward(matrix, features_, layers, repeated=r),
+    ):
+        got, want = ({r["node"]: r["vector"] for r in found(flag).collect()} for flag in (True, False))
+        assert got.keys() == want.keys()
+        assert all(got[n] == pytest.approx(want[n]) for n in want)
+    wide = _above_the_counting(algebra.propagate(matrix, features_, 7, 3, repeated=True), "BroadcastHashJoin")
+    assert "Exchange" not in wide
+
+
 def test_iteration_and_eigenvalue_of_a_signed_graph(spark):
     dense = np.array([[3.0, -1, 1], [-1, 3, 1], [2, 1, -1]])
     edges = spark.createDataFrame(

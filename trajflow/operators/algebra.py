@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajflow.functions.expressions import dot, leaky_relu
-from trajflow.session import cut_lineage, remove_at_exit, scratch_path
+from trajflow.session import cut_lineage, hashed, remove_at_exit, scratch_path
 
 # The names of the matrix kinds.
 KINDS = ("com_lap_mat", "wid_rw_normd_lap_mat", "hat_rw_normd_lap_mat")
@@ -170,12 +170,38 @@ def dominant_eigenvalue(
     raise ArithmeticError(f"no eigenvalue after {iterations} steps: {value}, residual {residual}")
 
 
-def propagate(matrix: DataFrame, features: DataFrame, dim: int, block: int = 32) -> DataFrame:
+def repeated_vectors(matrix: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A matrix whose cells point to distinct vectors, hashed by ``src``, and the distinct vectors.
+
+    A row's cells that point to equal vectors are added up while they are
+    narrow, and its wide sums are made where the row lies. Vectors go by a hash;
+    should two different ones share it, both inputs come back as they were.
+    """
+    spark = features.sparkSession
+    named = features.withColumn("_class", F.xxhash64("vector"))
+    path = scratch_path(spark, "vectors")
+    named.select(F.col("_class").alias("node"), "vector").distinct().write.parquet(path)
+    remove_at_exit(spark, path)
+    distinct = spark.read.parquet(path)
+    if not distinct.groupBy("node").count().filter(F.col("count") > 1).isEmpty():
+        return matrix, features
+    kinds = named.select(F.col("node").alias("dst"), "_class")
+    cells = hashed(matrix.join(kinds, "dst").select("src", F.col("_class").alias("dst"), "value"), "src")
+    return cells.groupBy("src", "dst").agg(F.sum("value").alias("value")), distinct
+
+
+def propagate(
+    matrix: DataFrame, features: DataFrame, dim: int, block: int = 32, repeated: bool = False
+) -> DataFrame:
     """``node, vector``: each node's weighted sum of the vectors its cells point to.
 
     A vector is cut into rows of ``block`` dimensions, so a step has as many
-    sums at any width; the blocks of a node are put together at the end.
+    sums at any width; the blocks of a node are put together at the end. With
+    ``repeated``, for features that many nodes have in common, equal vectors
+    are taken together first (:func:`repeated_vectors`).
     """
+    if repeated:
+        matrix, features = repeated_vectors(matrix, features)
     width = min(block, dim)
     columns = [f"_x{i}" for i in range(width)]
     count = -(-dim // width)
@@ -208,13 +234,18 @@ def gcn_forward(
     features: DataFrame,
     layers: Sequence[tuple[Sequence[Sequence[float]], Sequence[float]]],
     slope: float = 0.2,
+    repeated: bool = False,
 ) -> DataFrame:
     """Graph convolution with given ``(weights, bias)`` layers.
 
-    Leaky ReLU follows every layer but the last.
+    Leaky ReLU follows every layer but the last. ``repeated`` is that of
+    :func:`propagate`, for the first layer.
     """
+    cells = matrix
+    if repeated:
+        cells, features = repeated_vectors(matrix, features)
     for depth, (weights, bias) in enumerate(layers):
-        summed = propagate(matrix, linear(features, weights), len(bias))
+        summed = propagate(matrix if depth else cells, linear(features, weights), len(bias))
         shifted = F.zip_with("vector", F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b)
         if depth < len(layers) - 1:
             shifted = F.transform(shifted, lambda x: leaky_relu(x, slope))

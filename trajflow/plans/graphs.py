@@ -413,8 +413,10 @@ PURCHASE_ORDER = (*LINE_ORDER, "l_partkey")
 
 
 def purchase_graph(spark, sf_dir):
+    """Nodes and edges, each written once, as they are read several times."""
     df = purchases(spark, sf_dir)
-    return flow.flow_nodes(df, "POI_id", order=PURCHASE_ORDER), flow.flow_edges(df, order=PURCHASE_ORDER)
+    nodes_df, edges_df = flow.flow_nodes(df, "POI_id", order=PURCHASE_ORDER), flow.flow_edges(df, order=PURCHASE_ORDER)
+    return cut_lineage(nodes_df), cut_lineage(edges_df)
 
 
 @query("walk_vector", sql(POI + " out_poi in_poi", _iterated("in_poi", "out_poi", 10)))
@@ -559,7 +561,7 @@ def propagate_wide(spark, sf_dir):
     """Vectors of 160 numbers over the purchase graph."""
     nodes_df, edges_df = purchase_graph(spark, sf_dir)
     hat = algebra.laplacian(edges_df, nodes_df, "hat_rw_normd_lap_mat")
-    return _long(algebra.propagate(hat, _wide_vectors(nodes_df), WIDE))
+    return _long(algebra.propagate(hat, _wide_vectors(nodes_df), WIDE, repeated=True))
 
 
 HIDDEN = 128
@@ -591,7 +593,7 @@ def gcn_forward_wide(spark, sf_dir):
     nodes_df, edges_df = purchase_graph(spark, sf_dir)
     hat = algebra.laplacian(edges_df, nodes_df, "hat_rw_normd_lap_mat")
     layers = [_wide_layer(WIDE, HIDDEN), _wide_layer(HIDDEN, 8)]
-    return _long(algebra.gcn_forward(hat, _wide_vectors(nodes_df), layers), 7)
+    return _long(algebra.gcn_forward(hat, _wide_vectors(nodes_df), layers, repeated=True), 7)
 
 
 @query(
