@@ -1,14 +1,15 @@
 """Language-model scores by logistic context mixing over the text's words.
 
-A token is a word (bytes, then a terminator) or the end of the text. A word's bits are
-predicted by several hashed contexts: the last 1, 2, 3 and 4 bytes and the last 6 with
-the place in the word, the first of them with what the word before was like; and the
-whole word before with all bytes so far. Each context's counts of 0 and 1 over all
-training occurrences give a log-odds; gated weights (by place in the word, bit, and how
-sure the two longest contexts are) combine them logistically, and an adaptive table
-refines the mixture. Weights and table
-are learned in small steps over all training occurrences, with each occurrence's own
-share taken out of the statistics (what it would meet if it were new):
+A token is a word (bytes, then a terminator) or the end of the text. A byte is spelt in
+the bits of a Huffman code of the training bytes, so that frequent bytes take few
+decisions. The bits are predicted by several hashed contexts: the last 1, 2, 3 and 4
+bytes and the last 6 with the place in the word, the first of them with what the word
+before was like; and the whole word before with all bytes so far. Each context's counts
+of 0 and 1 over all training occurrences give a log-odds; gated weights (by place in the
+word, depth in the code, and how sure the two longest contexts are) combine them
+logistically, and an adaptive table refines the mixture. Weights and table are learned
+in small steps over all training occurrences, with each occurrence's own share taken out
+of the statistics (what it would meet if it were new):
 
     P(text) = P_end * product of (1 - P_end) * P_bits(word | word before)
 
@@ -24,6 +25,7 @@ get a row each; other columns are ignored. With nothing to learn from, each bit
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from trajflow.llm import words as W
 from trajflow.llm import wordtable
-from trajflow.llm.components import written
+from trajflow.llm.components import dropped, written
 
 #: What the word before was like: none or a sentence's end, short, other.
 KINDS = 3
@@ -52,32 +54,70 @@ SLOTS = int(_FIRST[-1])
 FAN_IN = 32
 #: Text bytes whose pairs of words are added up at a time, and bytes of pairs looked at at a time.
 _TEXT = 6 << 20
-_SYMBOLS = 1 << 18
-#: Bits between updates of the weights.
-_STRIDE = 16_384
-#: Places and bits, by how sure the two longest contexts are (three levels each).
+_SYMBOLS = 1 << 13
+#: Decisions between updates of the weights.
+_STRIDE = 1 << 18
+#: Places and depths, by how sure the two longest contexts are (three levels each).
 _GATES = 4 * 8 * 9
 _STEPS = 33
 _BLOCK = 1 << 17
 _DELTA = 0.4
 _SALTS = W.mix(np.arange(1, PREDICTORS + 1, dtype=np.uint64))
+_SHIFTS = [np.uint64(64 - b) for b in BITS]
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Code:
+    """A Huffman code of bytes: each byte's decisions from the root, fewer for frequent bytes.
+
+    ``node`` (0 for the root, small for frequent ones), ``bit`` and ``depth`` (7 at most)
+    lie byte after byte; a byte's begin at ``first``.
+    """
+
+    def __init__(self, hits: np.ndarray):
+        heap = [(int(n) + 1, i, i) for i, n in enumerate(hits)]  # every byte has a code
+        heapq.heapify(heap)
+        paths: list[list[tuple[int, int]]] = [[] for _ in heap]
+        members = [[i] for i in range(len(heap))]
+        while len(heap) > 1:
+            low, high = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, child in enumerate((low[2], high[2])):
+                for leaf in members[child]:
+                    paths[leaf].append((len(members), bit))
+            heapq.heappush(heap, (low[0] + high[0], len(members), len(members)))
+            members.append(members[low[2]] + members[high[2]])
+        self.length = np.array([len(path) for path in paths])
+        self.first = np.cumsum(self.length) - self.length
+        steps = [step for path in paths for step in reversed(path)]
+        self.node = len(members) - 1 - np.array([n for n, _ in steps])
+        self.bit = np.array([b for _, b in steps])
+        self.depth = np.minimum(np.arange(len(steps)) - np.repeat(self.first, self.length), 7)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``count`` numbers from each ``first``, one after the other."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
 class Symbols:
-    """Bytes of words with terminators, and what predictors within a word see before each byte."""
+    """The decisions on the bytes of words with terminators, and what predictors within a word see before each.
+
+    ``cells`` by predictor, ``bit``, ``gate`` and ``prefix`` (all bytes so far) are by
+    decision; a word has ``count`` of them, from ``first``.
+    """
 
-    def __init__(self, words: pa.Array, kind: np.ndarray):
+    def __init__(self, words: pa.Array, kind: np.ndarray, code: Code):
         data, offsets = W.text_arrays(words)
-        self.size = size = np.diff(offsets) + 1
-        self.first = np.cumsum(size) - size
+        size = np.diff(offsets) + 1
+        first = np.cumsum(size) - size
         total = int(size.sum())
-        self.symbol = np.full(total, 32, np.uint8)
-        self.word = np.repeat(np.arange(len(size)), size)
-        place = np.arange(total) - self.first[self.word]
-        self.symbol[place < size[self.word] - 1] = data
+        symbol = np.full(total, 32, np.uint8)
+        word = np.repeat(np.arange(len(size)), size)
+        place = np.arange(total) - first[word]
+        symbol[place < size[word] - 1] = data
         context = np.zeros(total, np.uint64)
         orders = []
-        wide = self.symbol.astype(np.uint64)
+        wide = symbol.astype(np.uint64)
         for k in range(1, 7):
             before = np.zeros(total, np.uint64)
             before[k:] = wide[:-k]
@@ -85,15 +125,24 @@ class Symbols:
             context = context | before << np.uint64(8 * (k - 1))
             orders.append(context)
         start = np.minimum(place, 7).astype(np.uint64) << np.uint64(56)
-        near = kind.astype(np.uint64)[self.word] << np.uint64(48) | (place == 0).astype(np.uint64) << np.uint64(56)
+        near = kind.astype(np.uint64)[word] << np.uint64(48) | (place == 0).astype(np.uint64) << np.uint64(56)
         seen = [orders[0] | near, orders[1], orders[2], orders[3], orders[5] | start]
-        self.base = [W.mix(c + _SALTS[i]) for i, c in enumerate(seen)]
+        decisions = code.length[symbol]
+        at = _spread(code.first[symbol], decisions)
+        self.node, self.bit = code.node[at], code.bit[at]
+        self.cells = [
+            _cells(np.repeat(W.mix(c + _SALTS[i]) >> _SHIFTS[i], decisions), self.node, self.bit, i)
+            for i, c in enumerate(seen)
+        ]
         # All bytes so far: the sum of what each byte at its place is mixed to.
         with np.errstate(over="ignore"):
             share = W.mix(wide | place.astype(np.uint64) << np.uint64(8))
             before = np.cumsum(share) - share
-            self.prefix = before - before[self.first][self.word] if total else before
-        self.gate = np.minimum(place, 3) * 8
+            prefix = before - before[first][word] if total else before
+        self.prefix = np.repeat(W.mix(prefix), decisions)
+        self.gate = np.repeat(np.minimum(place, 3) * 8, decisions) + code.depth[at]
+        self.count = np.add.reduceat(decisions, first) if total else decisions
+        self.first = np.cumsum(self.count) - self.count
 
 
 class Pairs:
@@ -106,7 +155,7 @@ class Pairs:
     def __init__(self, words: pa.Array, codes: np.ndarray, doc: np.ndarray):
         data, offsets = W.text_arrays(words)
         n, size = len(words), np.diff(offsets)
-        hashes = np.append(W.hash_words(data, offsets[:-1], offsets[1:]) if n else np.empty(0, np.uint64), np.uint64(0))
+        hashes = np.append(W.word_keys(data, offsets[:-1], offsets[1:]) if n else np.empty(0, np.uint64), np.uint64(0))
         stop = np.isin(data[offsets[1:] - 1], [33, 46, 63]) if n else np.empty(0, bool)
         kinds = np.append(np.where(stop, 0, np.where(size <= 3, 1, 2)), 0)  # the last: no word before
         before = np.full(len(codes), n, np.int64)
@@ -120,7 +169,7 @@ class Pairs:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.inverse, unique = rank[found], unique[order]
-        self.hits = np.bincount(self.inverse, minlength=len(unique)).astype(np.float64)
+        self.hits = np.bincount(self.inverse, minlength=len(unique))
         self.before = hashes[unique % (n + 1)]
         row = unique // (n + 1)
         self.edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
@@ -128,45 +177,59 @@ class Pairs:
         self.word, self.kind, self.words = mixed[rows // KINDS], rows % KINDS, words
         self.sizes = size[self.word] + 1
 
-    def parts(self) -> Iterator[tuple[slice, Part]]:
+    def parts(self, code: Code) -> Iterator[tuple[slice, Part]]:
         """Runs of pairs, all of a word and kind together."""
         done = np.concatenate([[0], np.cumsum(np.diff(self.edges) * self.sizes)])
         i = 0
         while i < len(self.word):
             j = max(i + 1, int(np.searchsorted(done, done[i] + _SYMBOLS, "right")) - 1)
             at = slice(int(self.edges[i]), int(self.edges[j]))
-            seen = Symbols(self.words.take(pa.array(self.word[i:j])), self.kind[i:j])
+            seen = Symbols(self.words.take(pa.array(self.word[i:j])), self.kind[i:j], code)
             yield at, Part(seen, np.repeat(np.arange(j - i), np.diff(self.edges[i : j + 1])), self.before[at], self.hits[at])
             i = j
 
 
 class Part:
-    """The symbols of some pairs (``at``: of their words), with their weights."""
+    """The decisions of some pairs (``at``: of their words), with their weights and, of the longest context, cells."""
 
     def __init__(self, seen: Symbols, row: np.ndarray, before: np.ndarray, hits: np.ndarray):
-        self.seen, size = seen, seen.size[row]
-        self.pair = np.repeat(np.arange(len(row)), size)
-        self.at = np.arange(len(self.pair)) + np.repeat(seen.first[row] - (np.cumsum(size) - size), size)
-        with np.errstate(over="ignore"):
-            self.base = W.mix(seen.prefix[self.at] + W.mix(before + _SALTS[WITHIN])[self.pair])
-        self.gate, self.weight = seen.gate[self.at], hits[self.pair]
-        self.word_weight = np.bincount(row, weights=hits, minlength=len(seen.size))[seen.word]
-
-    def bits(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For each of the 8 bits: its number; for the words' symbols its values and slots; the same for the pairs'."""
-        symbol = self.seen.symbol
-        for j in range(8):
-            node = (1 << j) | (symbol >> (8 - j) if j else np.zeros(len(symbol), np.uint8)).astype(np.uint64)
-            bit = ((symbol >> (7 - j)) & 1).astype(np.int64)
-            with np.errstate(over="ignore"):
-                node = node * W.ODD
-                yield j, bit, [_slot(b + node, k) for k, b in enumerate(self.seen.base)], bit[self.at], _slot(
-                    self.base + node[self.at], WITHIN
-                )
-
-
-def _slot(context: np.ndarray, k: int) -> np.ndarray:
-    return (context * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS[k])).astype(np.int64) + _FIRST[k]
+        self.seen, count = seen, seen.count[row]
+        self.first = np.cumsum(count) - count
+        self.at = _spread(seen.first[row], count)
+        context = seen.prefix[self.at] ^ np.repeat(W.mix(before + _SALTS[WITHIN]), count)
+        context *= _MIX
+        context >>= _SHIFTS[WITHIN]
+        self.bit, self.weight = seen.bit[self.at], np.repeat(hits.astype(np.uint32), count)
+        self.cell = _cells(context, seen.node[self.at], self.bit, WITHIN)
+        self.word_weight = np.repeat(np.bincount(row, weights=hits, minlength=len(seen.count)).astype(np.uint32), seen.count)
+
+    def odds(self, table: np.ndarray, by_cell: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The predictors' log-odds, from a table by cell or by slot, and the number of the weights for each decision.
+
+        That goes by place and depth, and by how far the two longest contexts' log-odds are from 0.
+        """
+        seen = self.seen
+        x = np.empty((PREDICTORS, len(self.at)), np.float32)
+        for k in range(WITHIN):
+            within = table[seen.cells[k] if by_cell else seen.cells[k] >> 1]
+            np.take(within, self.at, out=x[k], mode="clip")
+        x[WITHIN] = table[self.cell if by_cell else self.cell >> 1]
+        return x, (seen.gate * 9 + 3 * _far(within))[self.at] + _far(x[WITHIN])
+
+
+def _far(odds: np.ndarray) -> np.ndarray:
+    size = np.abs(odds)
+    return (size > 0.1).view(np.int8) + (size > 1.6).view(np.int8)
+
+
+def _cells(context: np.ndarray, node: np.ndarray, bit: np.ndarray, k: int) -> np.ndarray:
+    """Twice the slot plus the bit: a context's nodes lie behind one another, so that frequent ones are close."""
+    slot = context.view(np.int64) + node
+    slot &= (1 << BITS[k]) - 1
+    slot += _FIRST[k]
+    slot *= 2
+    slot += bit
+    return slot
 
 
 def pairs_of(column: pa.Array) -> Iterator[Pairs]:
@@ -175,7 +238,7 @@ def pairs_of(column: pa.Array) -> Iterator[Pairs]:
         data = W.LOWER[data]
         starts, ends, doc = W.bounds(data, offsets)
         if len(starts):
-            codes, unique = pd.factorize(W.hash_words(data, starts, ends))
+            codes, unique = pd.factorize(W.word_keys(data, starts, ends))
             first = np.empty(len(unique), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             yield Pairs(W.slices(data, starts[first], ends[first]), codes, doc)
@@ -190,7 +253,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    """Adds up vectors (``block``, ``task``, ``vector`` packed) in rounds."""
+    """Adds up the written vectors (``block``, ``task``, ``vector`` packed) in rounds, and drops them."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = 0
@@ -204,42 +267,62 @@ def _summed(rows: DataFrame) -> DataFrame:
     while True:
         tasks = -(-tasks // FAN_IN)
         grouped = rows.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task")
-        rows = written(grouped.applyInPandas(add, "block int, task long, vector binary"), "sums")
+        parts, rows = rows, written(grouped.applyInPandas(add, "block int, task long, vector binary"), "sums")
+        dropped(parts)
         if tasks == 1:
             return rows
 
 
-def _vector(rows: DataFrame, size: int, block: int) -> np.ndarray:
-    out = np.zeros(size)
+def _vector(rows: DataFrame, size: int, block: int, kind: type) -> np.ndarray:
+    out = np.zeros(size, kind)
     for row in rows.collect():  # a table of fixed size
         part = _unpacked(row.vector)
         out[row.block * block : row.block * block + len(part)] = part
+    dropped(rows)
     return out
 
 
-def bit_counts(training: DataFrame) -> np.ndarray:
+def byte_code(training: DataFrame) -> Code:
+    """The code of bytes as often as in the ``text`` of training rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros(256, np.int64)
+        for batch in batches:
+            for _, _, data, _ in W.blocks(batch.column(0), _TEXT):
+                hits += np.bincount(W.LOWER[data], minlength=256)
+        hits[32] += hits[9:14].sum()
+        hits[9:14] = 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(hits)], ["byte", "hits"])
+
+    hits = np.zeros(256, np.int64)
+    rows = training.mapInArrow(count, "byte int, hits long").groupBy("byte").agg(F.sum("hits").alias("hits"))
+    for row in rows.collect():  # 256 at most
+        hits[row.byte] = row.hits
+    return Code(hits)
+
+
+def bit_counts(training: DataFrame, code: Code) -> np.ndarray:
     """Counts of 0 and 1 by slot, over all occurrences of words in the ``text`` of training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.zeros(2 * SLOTS)
+        flat = np.zeros(2 * SLOTS, np.uint32)
         for batch in batches:
             for pairs in pairs_of(batch.column(0)):
-                for _, part in pairs.parts():
-                    for _, bit, slots, pair_bit, slot in part.bits():
-                        for k in range(WITHIN):
-                            np.add.at(flat, 2 * slots[k] + bit, part.word_weight)
-                        np.add.at(flat, 2 * slot + pair_bit, part.weight)
+                for _, part in pairs.parts(code):
+                    for cells in part.seen.cells:
+                        np.add.at(flat, cells, part.word_weight)
+                    np.add.at(flat, part.cell, part.weight)
         task = TaskContext.get().partitionId()
         for block in range(-(-len(flat) // _BLOCK)):
             part = flat[block * _BLOCK : (block + 1) * _BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([_packed(part)], pa.binary())],
+                    [pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([_packed(part.astype(np.float64))], pa.binary())],
                     ["block", "task", "vector"],
                 )
 
     made = written(training.mapInArrow(count, "block int, task long, vector binary"), "bitcounts")
-    return _vector(_summed(made), 2 * SLOTS, _BLOCK).reshape(SLOTS, 2)
+    return _vector(_summed(made), 2 * SLOTS, _BLOCK, np.float32).reshape(SLOTS, 2)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -251,12 +334,6 @@ def _step(x: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(x, -8, 8) * 2).astype(np.int64) + 16
 
 
-def _gates(place: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Number of the weights: by place and bit, and by how far the two longest contexts' log-odds are from 0."""
-    far = [(np.abs(odds[k]) > 0.1).astype(np.int64) + (np.abs(odds[k]) > 1.6) for k in (WITHIN - 1, WITHIN)]
-    return place * 9 + far[0] * 3 + far[1]
-
-
 class Mixer:
     """Weights by gate, and the refining table's log-odds."""
 
@@ -269,44 +346,54 @@ class Mixer:
         return Mixer(np.full((_GATES, PREDICTORS), 0.4), line)
 
 
-def learn(training: DataFrame, counts: np.ndarray, rate: float = 1.0) -> Mixer:
-    """One pass in small steps over all training occurrences; the steps' weights are averaged by their bits."""
-    shared = training.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    weights = np.ascontiguousarray(weights.T, np.float32)
+    z = weights[0][gate] * x[0]
+    for k in range(1, PREDICTORS):
+        z += weights[k][gate] * x[k]
+    return z
+
+
+def learn(training: DataFrame, counts: np.ndarray, code: Code, rate: float = 1.0) -> Mixer:
+    """One pass in small steps over all training occurrences; the steps' weights are averaged by their decisions."""
+    # Log-odds by slot and bit, without an occurrence of the bit; bits that never occur aren't asked for.
+    own = np.empty((SLOTS, 2), np.float32)
+    for at in range(0, SLOTS, _BLOCK):
+        n = counts[at : at + _BLOCK] + np.float32(_DELTA)
+        rest = np.maximum(n - 1, np.float32(_DELTA))
+        own[at : at + _BLOCK, 0] = np.log(n[:, 1] / rest[:, 0])
+        own[at : at + _BLOCK, 1] = np.log(rest[:, 1] / n[:, 0])
+    shared = training.sparkSession.sparkContext.broadcast(own.ravel())
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        own = shared.value
         weights = Mixer.fresh().weights
         table = np.zeros((_GATES * _STEPS, 2))
         events, mean = np.zeros(_GATES), np.zeros_like(weights)
-
-        def without_own(slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
-            n = counts[slot]
-            n[np.arange(len(bit)), bit] -= 1
-            return np.log((n[:, 1] + _DELTA) / (n[:, 0] + _DELTA))
-
+        hit, slope, since = np.zeros(_GATES), np.zeros_like(weights), 0
         for batch in batches:
             for pairs in pairs_of(batch.column(0)):
-                for _, part in pairs.parts():
-                    for j, bit, slots, pair_bit, slot in part.bits():
-                        odds = np.empty((PREDICTORS, len(pair_bit)), np.float32)
-                        for k in range(WITHIN):
-                            odds[k] = without_own(slots[k], bit)[part.at]
-                        odds[WITHIN] = without_own(slot, pair_bit)
-                        gate = _gates(part.gate + j, odds)
-                        steps = -(-len(pair_bit) // _STRIDE)
-                        for begin in range(steps):  # each step sees words from all over the part
-                            at = slice(begin, None, steps)
-                            g, x, y, h = gate[at], odds[:, at], pair_bit[at], part.weight[at]
-                            z = (weights[g].T * x).sum(axis=0)
-                            error = h * (y - _sigmoid(z))
-                            hit = np.bincount(g, weights=h, minlength=_GATES)
-                            slope = np.stack([np.bincount(g, weights=error * x[k], minlength=_GATES) for k in range(PREDICTORS)], 1)
-                            weights = weights + rate * slope / np.maximum(hit, 1)[:, None]
-                            events += hit
-                            mean += weights * hit[:, None]
-                            table += np.bincount(
-                                2 * (g * _STEPS + _step(z)) + y, weights=h, minlength=2 * _GATES * _STEPS
-                            ).reshape(-1, 2)
+                for _, part in pairs.parts(code):
+                    x, g = part.odds(own, True)
+                    z = _mixed(weights, g, x)
+                    h = part.weight.astype(np.float32)
+                    error = h * (part.bit - _sigmoid(z))
+                    met = np.bincount(
+                        2 * (g * _STEPS + _step(z)) + part.bit, weights=h, minlength=2 * _GATES * _STEPS
+                    )
+                    table += met.reshape(-1, 2)
+                    hit += met.reshape(_GATES, -1).sum(axis=1)
+                    for k in range(PREDICTORS):
+                        slope[:, k] += np.bincount(g, weights=error * x[k], minlength=_GATES)
+                    since += len(g)
+                    if since >= _STRIDE:
+                        weights = weights + rate * slope / np.maximum(hit, 1)[:, None]
+                        events += hit
+                        mean += weights * hit[:, None]
+                        hit, slope, since = np.zeros(_GATES), np.zeros_like(weights), 0
+        weights = weights + rate * slope / np.maximum(hit, 1)[:, None]
+        events += hit
+        mean += weights * hit[:, None]
         vector = np.concatenate([mean.ravel(), events, table.ravel()])
         yield pa.RecordBatch.from_arrays(
             [
@@ -318,7 +405,7 @@ def learn(training: DataFrame, counts: np.ndarray, rate: float = 1.0) -> Mixer:
 
     made = written(training.mapInArrow(pass_over, "block int, task long, vector binary"), "passes")
     size = _GATES * (PREDICTORS + 1 + 2 * _STEPS)
-    vector = _vector(_summed(made), size, size)
+    vector = _vector(_summed(made), size, size, np.float64)
     shared.unpersist()
     fresh = Mixer.fresh()
     weights, events, table = np.split(vector, [_GATES * PREDICTORS, _GATES * (PREDICTORS + 1)])
@@ -331,25 +418,16 @@ def learn(training: DataFrame, counts: np.ndarray, rate: float = 1.0) -> Mixer:
     return fresh
 
 
-def log_probability(pairs: Pairs, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """Natural logarithm of each pair's probability by its bits, given the word before."""
+def log_probability(pairs: Pairs, odds: np.ndarray, mixer: Mixer, code: Code) -> np.ndarray:
+    """Natural logarithm of each pair's probability by its decisions, given the word before."""
     out = np.zeros(len(pairs.hits))
-    weights, refine = mixer.weights.astype(np.float32), mixer.refine.astype(np.float32)
-    for place, part in pairs.parts():
-        total = np.zeros(place.stop - place.start)
-        for j, bit, slots, pair_bit, slot in part.bits():
-            x = np.empty((PREDICTORS, len(pair_bit)), np.float32)
-            for k in range(WITHIN):
-                x[k] = odds[slots[k]][part.at]
-            x[WITHIN] = odds[slot]
-            gate = _gates(part.gate + j, x)
-            z = np.zeros(len(pair_bit), np.float32)
-            for k in range(PREDICTORS):
-                z += weights[gate, k] * x[k]
-            sign = (2 * pair_bit - 1).astype(np.float32)
-            p = 0.5 * (_sigmoid(z * sign) + _sigmoid(refine[gate, _step(z)] * sign))
-            total += np.bincount(part.pair, weights=np.log(p), minlength=len(total))
-        out[place] = total
+    refine = mixer.refine.astype(np.float32).ravel()
+    for place, part in pairs.parts(code):
+        x, gate = part.odds(odds, False)
+        z = _mixed(mixer.weights, gate, x)
+        sign = (2 * part.bit - 1).astype(np.float32)
+        p = 0.5 * (_sigmoid(z * sign) + _sigmoid(refine[gate * _STEPS + _step(z)] * sign))
+        out[place] = np.add.reduceat(np.log(p), part.first, dtype=np.float64)
     return out
 
 
@@ -365,9 +443,11 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
     got = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, types = (got[0] or 0) + ends, got[1] + (ends > 0)
     training = docs.where(trains).select(F.col(text_col).alias("text"))
-    count = bit_counts(training)
-    mixer = learn(training, count)
-    odds = np.log((count[:, 1] + _DELTA) / (count[:, 0] + _DELTA)).astype(np.float32)
+    code = byte_code(training)
+    count = bit_counts(training, code)
+    mixer = learn(training, count, code)
+    odds = np.log((count[:, 1] + np.float32(_DELTA)) / (count[:, 0] + np.float32(_DELTA)))
+    del count
     floor = math.log10(tokens + 0.5 * (types + 1))
     end = (ends + 0.5) / (tokens + 1)
     more, end_score = math.log10(1 - end), math.log10(end)
@@ -397,7 +477,7 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
         score = np.full(n, end_score)
         if len(codes):
             pairs = Pairs(text, codes, doc)
-            by_bits = log_probability(pairs, shared.value, mixer) / math.log(10) + more
+            by_bits = log_probability(pairs, shared.value, mixer, code) / math.log(10) + more
             score += np.bincount(doc, weights=by_bits[pairs.inverse], minlength=n)
         n_bytes = total(pc.binary_length(text).to_numpy(zero_copy_only=False) + 1.0) + 1
         columns = [
@@ -411,4 +491,7 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
         "bits_per_byte double"
     )
-    return wordtable.put_back(table, counts.withColumn("text", F.col("word")), ["word"], place, fields)
+    words = wordtable.words_of(table).select(F.col("chunk").alias("at"), "code", F.col("word").alias("text"))
+    found = words.join(counts, F.col("text") == F.col("word")).drop("word")
+    texts = table.where(F.col("code").isNull()).select("chunk", "docs", "marks", "sizes", "codes")
+    return texts.groupBy("chunk").cogroup(found.groupBy("at")).applyInArrow(place, fields)

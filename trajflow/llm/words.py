@@ -24,6 +24,9 @@ _PRIMES = (2147483629, 2147483587)
 _BASES = (1103515249, 1657324663)
 _powers = [np.ones(1, dtype=np.int64), np.ones(1, dtype=np.int64)]
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words hashed at a time, and eights of bytes from which a word counts as long.
+_WORDS, _LANES = 1 << 16, 32
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -99,6 +102,37 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + ODD)
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word from eight bytes at a time; not that of ``hash_words``."""
+    eights = np.zeros(len(data) // 8 + 2, "<u8")
+    eights.view(np.uint8)[: len(data)] = data
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), _WORDS):
+        at, left = starts[i : i + _WORDS], ends[i : i + _WORDS] - starts[i : i + _WORDS]
+        state, live = left.astype(np.uint64), None
+        for _ in range(_LANES):
+            place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            lane = eights[place] >> shift
+            lane |= eights[place + 1] << np.uint64(1) << (np.uint64(63) - shift)
+            lane &= _LOW_BYTES[np.minimum(left, 8)]
+            mixed = (lane ^ (state if live is None else state[live])) * _MIX1
+            mixed ^= mixed >> np.uint64(32)
+            if live is None:
+                state, live = mixed, np.arange(len(at))
+            else:
+                state[live] = mixed
+            more = np.flatnonzero(left > 8)
+            at, left, live = at[more] + 8, left[more] - 8, live[more]
+            if not len(live):
+                break
+        else:
+            for word in live:
+                whole = data[starts[i + word] : ends[i + word]]
+                state[word] = hash_words(whole, np.zeros(1, np.int64), np.array([len(whole)]))[0]
+        out[i : i + _WORDS] = state
+    return mix(out + ODD)
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of every run of ``k`` words within one text."""
     n = len(hashes) - k + 1

@@ -132,7 +132,7 @@ def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: b
     if lower:
         data = W.LOWER[data]
     starts, ends, doc = W.bounds(data, offsets)
-    hashes = W.hash_words(data, starts, ends)
+    hashes = W.word_keys(data, starts, ends)
     kind = kinds(data, starts, ends, doc) if kinds else np.zeros(len(starts), np.int32)
     if kinds:
         hashes = W.mix(hashes + kind.astype(np.uint64))
