@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from trajflow.llm import mixing
+from trajflow.llm import mixing, substring
 from trajflow.llm import words as W
 
 
@@ -29,3 +30,38 @@ def test_word_keys_tell_words_apart_wherever_they_stand():
     keys = W.word_keys(data, starts, ends)
     assert len(set(keys.tolist())) == len(set(spelt)) == len(set(zip(keys.tolist(), spelt)))
     assert W.word_keys(data, starts[:0], ends[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 9, 13])
+def test_least_of_a_span_is_the_first(span):
+    values = np.random.default_rng(span).integers(0, 40, 3000).astype(np.uint64)
+    found = np.lib.stride_tricks.sliding_window_view(values, span).argmin(axis=1)
+    assert substring._least(values, span).tolist() == (found + np.arange(len(found))).tolist()
+
+
+def test_spaced_words_are_what_splitting_and_joining_gives():
+    texts = ["", " a  bc\td\n", "e", "f g ", "  ", "你好  x"]
+    data, offsets = W.text_arrays(pa.array(texts))
+    starts, ends, _ = W.bounds(data, offsets)
+    out, at = W.spaced(data, starts, ends)
+    listed = [w.encode() for t in texts for w in t.split()]
+    assert out.tobytes() == b"".join(w + b" " for w in listed)
+    assert [out[a : b - 1].tobytes() for a, b in zip(at, at[1:])] == listed
+
+
+def test_settled_stretches_move_as_digests(spark, monkeypatch):
+    """The words of stretches stay where the texts are; the result is that of brute force."""
+    written, seen = substring.written, {}
+
+    def spy(df, name):
+        table = written(df, name)
+        if name == "bodies":
+            seen[name] = {len(r.body) for r in table.select("body").collect()}
+        return table
+
+    monkeypatch.setattr(substring, "written", spy)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "x y " + "  ".join(words[5:40]) + " z"), (3, "\t".join(words[10:30]) + " q"), (4, None)]
+    out = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].n_removed for i in (1, 2, 3, 4)] == [0, 35, 20, 0]
+    assert seen["bodies"] == {32}

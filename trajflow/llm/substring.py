@@ -6,9 +6,9 @@ first words to that of its last (k is one less than ``length``).
 1. Only windows that may repeat become edges: equal windows share their anchor, the
    5-mer in them with the smallest hash, so windows whose anchor is in one document
    only are left out, and so are copies of whole texts (told by their SHA-256).
-   Consecutive windows with one anchor are a stretch. Stretches with the same words are
-   settled together by grouping the words themselves; where all stretches of an anchor
-   have the same words nothing branches, and the others go on, window by window.
+   Consecutive windows with one anchor are a stretch. Stretches with the same words (told
+   by their SHA-256) are settled together; where all stretches of an anchor have the
+   same words nothing branches, and the others go on, window by window.
 2. Edges that occur in several documents are kept with the coordinates of their source,
    the first document that has them. A k-mer with one such edge in and one out doesn't
    branch; joins on k-mers link the two, and pointer jumping (a join a round, the
@@ -44,24 +44,31 @@ KMER = 5
 _LAST = (1 << 63) - 1
 
 
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Place of the first smallest of the ``span`` values from each place on, by doubling the reach."""
+    best, reach = np.arange(len(values)), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        near, far = best[:-step], best[step:]
+        best, reach = np.where(values[far] < values[near], far, near), reach + step
+    return best
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     """Text, first window, windows and anchor of every run of windows with one anchor."""
     starts, ends, doc = W.bounds(data, offsets)
-    hashes = W.hash_words(data, starts, ends)
+    hashes = W.word_keys(data, starts, ends)
     begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
-    at, _ = W.windows(hashes, doc, length)
+    n = len(hashes) - length + 1
+    at = np.flatnonzero(doc[:n] == doc[length - 1 :]) if n > 0 else np.empty(0, np.int64)
     if not len(at):
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(np.uint64)
     k = min(KMER, length)
-    span = length - k + 1
     kmer = np.zeros(len(hashes) - k + 1, np.uint64)
     where, found = W.windows(hashes, doc, k)
     kmer[where] = found
-    least = np.lib.stride_tricks.sliding_window_view(kmer, span)
-    anchor = np.empty(len(at), np.int64)
-    for i in range(0, len(at), 1 << 18):
-        anchor[i : i + (1 << 18)] = at[i : i + (1 << 18)] + least[at[i : i + (1 << 18)]].argmin(axis=1)
+    anchor = _least(kmer, length - k + 1)[at]
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]])))
     count = np.diff(np.append(first, len(at)))
     owner = doc[at[first]]
@@ -103,7 +110,7 @@ def _edges(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i, j, data, offsets in W.blocks(batch.column(2), BLOCK_BYTES):
                 starts, ends, doc = W.bounds(data, offsets)
-                at, kmer = W.windows(W.hash_words(data, starts, ends), doc, length - 1)
+                at, kmer = W.windows(W.word_keys(data, starts, ends), doc, length - 1)
                 node = np.zeros(len(starts) + 1, np.uint64)
                 node[at] = kmer
                 begin = np.searchsorted(doc, np.arange(j - i))
@@ -124,8 +131,11 @@ def _edges(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(scan, "src long, dst long, doc long, part long, first int")
 
 
-def _passages(rows: DataFrame, length: int) -> DataFrame:
-    """``doc, part, first, count, anchor, body``: the words of wanted windows, from rows (doc, part, text, wanted)."""
+def _passages(rows: DataFrame, length: int, digest: bool = False) -> DataFrame:
+    """``doc, part, first, count, anchor, body``: the words of wanted windows, from rows (doc, part, text, wanted).
+
+    With ``digest`` the body is the SHA-256 of the words.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,18 +146,26 @@ def _passages(rows: DataFrame, length: int) -> DataFrame:
                 first, count = (flat.field(c).to_numpy().astype(np.int64) for c in (0, 1))
                 low = begin[owner] + first
                 # Equal words may be set apart by different white space, so they are joined anew.
-                bodies = [
-                    b" ".join(data[starts[a] : ends[b - 1]].tobytes().split())
-                    for a, b in zip(low.tolist(), (low + count + length - 1).tolist())
-                ]
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(i, j - i).take(take) for c in (0, 1)),
-                        flat.field(0), flat.field(1), flat.field(2), pa.array(bodies, pa.binary()),
-                    ],
-                    ["doc", "part", "first", "count", "anchor", "body"],
-                )
+                spaced, at = W.spaced(data, starts, ends)
+                high = at[low + count + length - 1] - 1
+                low = at[low]
+                take, size = pa.array(owner), np.cumsum(high - low)
+                x = 0
+                while x < len(low):  # stretches overlap, so their bytes may be many times the block's
+                    y = max(x + 1, int(np.searchsorted(size, size[x] + BLOCK_BYTES)))
+                    if digest:
+                        bodies = [hashlib.sha256(spaced[b:e]).digest() for b, e in zip(low[x:y].tolist(), high[x:y].tolist())]
+                        bodies = pa.array(bodies, pa.binary())
+                    else:
+                        bodies = W.slices(spaced, low[x:y], high[x:y]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(c).slice(i, j - i).take(take[x:y]) for c in (0, 1)),
+                            *(flat.field(c)[x:y] for c in (0, 1, 2)), bodies,
+                        ],
+                        ["doc", "part", "first", "count", "anchor", "body"],
+                    )
+                    x = y
 
     return rows.mapInArrow(scan, "doc long, part long, first int, count int, anchor long, body binary")
 
@@ -221,11 +239,11 @@ def _by_document(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def settled(texts: DataFrame, found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Spans of stretches whose words as a whole are a smaller document's, and the stretches that need the graph.
 
-    Stretches are grouped by their words, so copies leave one row a task. A
+    Stretches are grouped by the SHA-256 of their words, so copies leave one row a task. A
     stretch is for the graph if its document is the first with these words and
     other words stand at the anchor elsewhere.
     """
-    bodies = written(_passages(_by_document(found, texts), length), "bodies")
+    bodies = written(_passages(_by_document(found, texts), length, digest=True), "bodies")
     different = written(bodies.groupBy("anchor", "body").agg(F.min("doc").alias("low")), "different")
     several = different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     both = bodies.join(different, ["anchor", "body"]).drop("body")

@@ -148,6 +148,16 @@ def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return at, mix(total[at])
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space behind each, and where each begins (and, last, the end)."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(at[-1], 32, np.uint8)
+    solid = data[SOLID[data]]
+    out[np.arange(len(solid)) + np.repeat(np.arange(len(size)), size)] = solid
+    return out, at
+
+
 def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The given byte ranges as one Arrow string column."""
     size = ends - starts
