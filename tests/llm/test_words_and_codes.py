@@ -65,3 +65,20 @@ def test_settled_stretches_move_as_digests(spark, monkeypatch):
     out = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [out[i].n_removed for i in (1, 2, 3, 4)] == [0, 35, 20, 0]
     assert seen["bodies"] == {32}
+
+
+def test_texts_are_scored_in_runs(monkeypatch):
+    """What is held for a run doesn't grow with the chunk; every word keeps its place and the word before it."""
+    monkeypatch.setattr(mixing, "_WORDS", 5)
+    words = pa.array(["a", "bb", "ccc", "never"])
+    codes, size = np.array([0, 1, 0, 1, 2, 0, 2, 2, 1, 0, 0], np.uint32), np.array([0, 2, 1, 7, 0, 1, 0])
+    seen, places = [], []
+    for at, pairs in mixing.runs_of(words, codes, size):
+        row = np.repeat(np.arange(len(pairs.word)), np.diff(pairs.edges))
+        found = pairs.words.take(pa.array(pairs.word[row][pairs.inverse])).to_pylist()
+        first = pairs.before[pairs.inverse] == 0  # no word before
+        seen += list(zip(found, first.tolist()))
+        places.append((at.start, at.stop))
+    starts = {0, 2, 3, 10}
+    assert seen == [(words[int(c)].as_py(), i in starts) for i, c in enumerate(codes)]
+    assert places == [(0, 3), (3, 10), (10, 11)]

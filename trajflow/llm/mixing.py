@@ -55,6 +55,8 @@ FAN_IN = 32
 #: Text bytes whose pairs of words are added up at a time, and bytes of pairs looked at at a time.
 _TEXT = 6 << 20
 _SYMBOLS = 1 << 13
+#: Words of texts that are scored at a time.
+_WORDS = 1 << 19
 #: Decisions between updates of the weights.
 _STRIDE = 1 << 18
 #: Places and depths, by how sure the two longest contexts are (three levels each).
@@ -244,6 +246,20 @@ def pairs_of(column: pa.Array) -> Iterator[Pairs]:
             yield Pairs(W.slices(data, starts[first], ends[first]), codes, doc)
 
 
+def runs_of(words: pa.Array, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, Pairs]]:
+    """The pairs of texts of ``size`` words, by runs of texts: a run's place among the ``codes`` and its pairs."""
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        begin = int(ends[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(ends, begin + _WORDS, "right")))
+        at = slice(begin, int(ends[j - 1]))
+        if at.start < at.stop:
+            mine, known = pd.factorize(codes[at])
+            yield at, Pairs(words.take(pa.array(known)), mine, np.repeat(np.arange(j - i), size[i:j]))
+        i = j
+
+
 def _packed(vector: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(vector.tobytes())
 
@@ -475,10 +491,9 @@ def scores(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: st
             return np.bincount(doc, weights=x[codes], minlength=n)
 
         score = np.full(n, end_score)
-        if len(codes):
-            pairs = Pairs(text, codes, doc)
+        for at, pairs in runs_of(text, codes, size):
             by_bits = log_probability(pairs, shared.value, mixer, code) / math.log(10) + more
-            score += np.bincount(doc, weights=by_bits[pairs.inverse], minlength=n)
+            score += np.bincount(doc[at], weights=by_bits[pairs.inverse], minlength=n)
         n_bytes = total(pc.binary_length(text).to_numpy(zero_copy_only=False) + 1.0) + 1
         columns = [
             texts["docs"][0].as_py(), [not m for m in texts["marks"][0].as_py()], size + 1,
