@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trajflow.llm import mixing, substring
+from trajflow.llm import mixing, substring, wordtable
 from trajflow.llm import words as W
 
 
@@ -82,3 +82,35 @@ def test_texts_are_scored_in_runs(monkeypatch):
     starts = {0, 2, 3, 10}
     assert seen == [(words[int(c)].as_py(), i in starts) for i, c in enumerate(codes)]
     assert places == [(0, 3), (3, 10), (10, 11)]
+
+
+def test_mixing_learns_from_packed_chunks_in_narrow_tables():
+    """A chunk's row holds its texts whole; log-odds take two bytes a cell where executors hold them."""
+    texts = ["The cat, the  dog", "", None, "un deux\ttrois the", "x" * 300 + " a"]
+    marks = [True, True, False, False, True]
+    rows = list(wordtable._chunk(7, [pa.array(texts, pa.large_string())], [1, 2, 3, 4, 5], marks, True, None))
+    listed = [w for t in texts for w in (t or "").lower().split()]
+    words = wordtable.unpack_words(rows[0]["words"][0].as_py())
+    codes = wordtable.unpack_codes(rows[0]["codes"][0].as_py())
+    assert words.take(pa.array(codes)).to_pylist() == listed and rows[0]["sizes"][0].as_py() == [4, 0, 0, 4, 2]
+    (row,) = mixing.trained_on([rows[0].select(["marks", "sizes", "codes", "words"])])
+    assert words.take(pa.array(row[0])).to_pylist() == listed[:4] + listed[8:] and row[1].tolist() == [4, 0, 2]
+    assert rows[1]["hits"].to_pylist() == np.bincount(row[0], minlength=len(words)).tolist()
+
+    odds = np.log(np.array([1e-9, 0.4, 1, 7.3, 2e8], np.float32))
+    held = mixing._whole(odds)
+    assert held.dtype == np.int16 and np.abs(held * mixing._UNIT - odds).max() <= mixing._UNIT / 2
+    assert 2 * mixing.SLOTS * held.itemsize < 40 << 20
+
+
+def test_mixing_spells_bytes_by_the_two_before():
+    hits = np.zeros((2, 256))
+    hits[0, [97, 98]], hits[1, 99] = 5, 50
+    row = np.zeros(1 << 16, np.int64)
+    row[97 << 8 | 98] = 1  # after "ba"
+    code = mixing.Code(hits, row)
+    assert all(sum(0.5 ** int(n) for n in length) == 1 for length in code.length.reshape(2, 256))
+    seen = mixing.Symbols(pa.array(["bac", "ca"]), np.zeros(2, np.int64), code)
+    spelt = [98, 97, 256 + 99, 32, 99, 97, 32]
+    assert seen.decisions.tolist() == code.length[spelt].tolist() and code.length[256 + 99] == 1 < code.length[99]
+    assert seen.step.tolist() == [x for i in spelt for x in code.step[code.first[i] : code.first[i] + code.length[i]]]

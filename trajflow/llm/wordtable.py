@@ -1,7 +1,8 @@
 """Chunked distinct-word tables: work once per distinct word, join back by position.
 
-A scan turns each chunk of documents into its distinct words (one row each) and one
-row that holds the documents' words as numbers into them. The answers for all
+A scan turns each chunk of documents into its distinct words (one row each, by a
+64-bit hash, as words are told apart within a chunk too) and one row that holds the
+documents' words as numbers into them, and the words packed. The answers for all
 distinct words are found in one place each, come back to the chunks that use them,
 and are put in position there. A word that is in every document has one row per
 chunk, so no key grows with the number of its occurrences.
@@ -27,23 +28,26 @@ from trajflow.session import scratch_path
 
 #: Text bytes in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 24 << 20
+#: Of these, looked at at a time.
+_BLOCK = 2 << 20
 #: The same where words travel packed: larger, as fewer chunks repeat fewer words.
 PACKED_BYTES = 32 << 20
 _SCHEMA = (
-    "chunk long, code int, word string, kind int, hits long, docs array<long>, marks array<boolean>, "
-    "sizes array<long>, codes binary"
+    "chunk long, code int, key long, kind int, hits long, docs array<long>, marks array<boolean>, "
+    "sizes array<long>, codes binary, words binary"
 )
 _ARROW = pa.schema(
     [
         ("chunk", pa.int64()),
         ("code", pa.int32()),
-        ("word", pa.string()),
+        ("key", pa.int64()),
         ("kind", pa.int32()),
         ("hits", pa.int64()),
         ("docs", pa.list_(pa.int64())),
         ("marks", pa.list_(pa.bool_())),
         ("sizes", pa.list_(pa.int64())),
         ("codes", pa.binary()),
+        ("words", pa.binary()),
     ]
 )
 
@@ -59,6 +63,31 @@ def unpack_codes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def _pack_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words, a line each, compressed."""
+    size = ends - starts + 1
+    stops = np.cumsum(size) - 1
+    inside = np.ones(int(size.sum()), bool)
+    inside[stops] = False
+    lines = np.full(len(inside), 10, np.uint8)
+    places = np.arange(len(inside)) + np.repeat(starts - (stops + 1 - size), size)
+    lines[inside] = data[places[inside]]
+    return zstandard.ZstdCompressor(level=1).compress(lines.tobytes())
+
+
+def unpack_lines(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 40), np.uint8)
+
+
+def unpack_words(blob: bytes) -> pa.Array:
+    """A chunk's words by code."""
+    lines = unpack_lines(blob)
+    inside = lines != 10
+    ends = np.flatnonzero(~inside)
+    offsets = np.append(0, ends - np.arange(len(ends)))
+    return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(lines[inside]))
+
+
 #: First byte from which a code has more bytes.
 WIDE = 160
 
@@ -131,13 +160,24 @@ def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: b
     data, offsets = W.text_arrays(column)
     if lower:
         data = W.LOWER[data]
-    starts, ends, doc = W.bounds(data, offsets)
-    hashes = W.word_keys(data, starts, ends)
-    kind = kinds(data, starts, ends, doc) if kinds else np.zeros(len(starts), np.int32)
-    if kinds:
-        hashes = W.mix(hashes + kind.astype(np.uint64))
+    # Block by block, as the places in the bytes take more room than the words' hashes.
+    found = []
+    for i, j, part, at in W.blocks(column, _BLOCK):
+        part = data[offsets[i] : offsets[j]]
+        starts, ends, doc = W.bounds(part, at)
+        hashes = W.word_keys(part, starts, ends)
+        kind = kinds(part, starts, ends, doc) if kinds else np.zeros(len(starts), np.int32)
+        if kinds:
+            hashes = W.mix(hashes + kind.astype(np.uint64))
+        found.append((hashes, starts + offsets[i], (ends - starts).astype(np.int32), (doc + i).astype(np.int32), kind))
+    hashes, starts, ends, doc, kind = (np.concatenate(x) for x in zip(*found))
+    del found
     codes, unique = pd.factorize(hashes)
+    del hashes
+    keys = unique.view(np.int64)
     first = _first_places(codes, len(unique))
+    starts, kind = starts[first], kind[first]
+    ends = starts + ends[first]
     marked = np.array(marks, dtype=bool)
     hits = np.bincount(codes, weights=marked[doc], minlength=len(unique)).astype(np.int64)
     order, rank = _by_frequency(codes, len(unique))
@@ -149,8 +189,10 @@ def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: b
         "marks": pa.array([marks], pa.list_(pa.bool_())),
         "sizes": pa.array([sizes], pa.list_(pa.int64())),
         "codes": pa.array([pack_codes(rank[codes])], pa.binary()),
+        "words": pa.array([_pack_words(data, starts[order], ends[order])], pa.binary()),
     }
     yield pa.RecordBatch.from_arrays(list(row.values()), schema=_ARROW)
+    del codes, doc
     for i in range(0, len(order), 50_000):
         at = order[i : i + 50_000]
         n = len(at)
@@ -158,8 +200,8 @@ def _chunk(number: int, texts: list[pa.Array], docs: list, marks: list, lower: b
         row |= {
             "chunk": pa.array(np.full(n, number), pa.int64()),
             "code": pa.array(np.arange(i, i + n), pa.int32()),
-            "word": W.slices(data, starts[first[at]], ends[first[at]]),
-            "kind": pa.array(kind[first[at]], pa.int32()),
+            "key": pa.array(keys[at]),
+            "kind": pa.array(kind[at], pa.int32()),
             "hits": pa.array(hits[at], pa.int64()),
         }
         yield pa.RecordBatch.from_arrays(list(row.values()), schema=_ARROW)
@@ -282,7 +324,7 @@ def split_words(blob: bytes) -> list[str]:
 
 
 def words_of(table: DataFrame) -> DataFrame:
-    return table.where(F.col("code").isNotNull()).select("chunk", "code", "word", "kind", "hits")
+    return table.where(F.col("code").isNotNull()).select("chunk", "code", "key", "kind", "hits")
 
 
 def put_back(table: DataFrame, answers: DataFrame, keys: list[str], place: Callable, schema: str) -> DataFrame:
