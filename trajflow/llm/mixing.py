@@ -58,7 +58,7 @@ FAN_IN = 32
 _CHUNK = 14 << 20
 #: Text bytes whose pairs of words are added up at a time, if they come as text, and bytes of pairs looked at at a time.
 _TEXT = 6 << 20
-_SYMBOLS = 1 << 15
+_SYMBOLS = 1 << 16
 #: Words of texts whose pairs are added up at a time: those of a whole chunk, but for odd ones.
 _WORDS = 1 << 22
 #: Decisions between updates of the weights.
@@ -198,10 +198,10 @@ class Pairs:
     """Words with the word before, each distinct pair once, ordered by word.
 
     ``words`` are distinct, ``codes`` the texts' words as numbers into them and ``doc``
-    their texts. ``inverse`` has the pair of each place, ``hits`` its places.
+    their texts. ``inverse`` has the pair of each place, if ``placed``, ``hits`` its places.
     """
 
-    def __init__(self, words: pa.Array, codes: np.ndarray, doc: np.ndarray):
+    def __init__(self, words: pa.Array, codes: np.ndarray, doc: np.ndarray, placed: bool = True):
         data, offsets = W.text_arrays(words)
         n, size = len(words), np.diff(offsets)
         hashes = np.append(W.word_keys(data, offsets[:-1], offsets[1:]) if n else np.empty(0, np.uint64), np.uint64(0))
@@ -218,14 +218,18 @@ class Pairs:
         key *= n + 1
         key += before
         del before
-        order = np.argsort(key)
-        key = key[order]
+        if placed:
+            order = np.argsort(key)
+            key = key[order]
+        else:
+            key.sort()
         new = np.flatnonzero(np.diff(key, prepend=-1))
         unique, self.hits = key[new], np.diff(np.append(new, len(key))).astype(np.int32)
         del key, new
-        self.inverse = np.empty(len(order), np.int32)
-        self.inverse[order] = np.repeat(np.arange(len(unique), dtype=np.int32), self.hits)
-        del order
+        if placed:
+            self.inverse = np.empty(len(order), np.int32)
+            self.inverse[order] = np.repeat(np.arange(len(unique), dtype=np.int32), self.hits)
+            del order
         self.before = hashes[unique % (n + 1)]
         row = unique // (n + 1)
         self.edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
@@ -293,7 +297,7 @@ def pairs_of(column: pa.Array) -> Iterator[Pairs]:
             yield Pairs(W.slices(data, starts[first], ends[first]), codes, doc)
 
 
-def runs_of(words: pa.Array, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, Pairs]]:
+def runs_of(words: pa.Array, codes: np.ndarray, size: np.ndarray, placed: bool = True) -> Iterator[tuple[slice, Pairs]]:
     """The pairs of texts of ``size`` words, by runs of texts: a run's place among the ``codes`` and its pairs."""
     ends = np.cumsum(size)
     i = 0
@@ -304,10 +308,10 @@ def runs_of(words: pa.Array, codes: np.ndarray, size: np.ndarray) -> Iterator[tu
         if at.start < at.stop:
             doc = np.repeat(np.arange(j - i, dtype=np.int32), size[i:j])
             if j - i == len(size):
-                yield at, Pairs(words, codes, doc)
+                yield at, Pairs(words, codes, doc, placed)
             else:
                 mine, known = pd.factorize(codes[at])
-                yield at, Pairs(words.take(pa.array(known)), mine, doc)
+                yield at, Pairs(words.take(pa.array(known)), mine, doc, placed)
         i = j
 
 
@@ -321,7 +325,7 @@ def trained_on(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 def trained_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pairs]:
     for codes, size, words in trained_on(batches):
-        for _, pairs in runs_of(wordtable.unpack_words(words), codes, size):
+        for _, pairs in runs_of(wordtable.unpack_words(words), codes, size, False):
             yield pairs
 
 
